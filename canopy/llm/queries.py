@@ -5,8 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from canopy.llm import quality, sharding
 from canopy.llm import toxicity as tox
 from canopy.llm import url_filter as urls
+from canopy.llm import warc
+from canopy.llm.stage import written
 
 URL_RULES = (urls.Rule("net/", "block"), urls.Rule("example.net/en/", "allow"), urls.Rule("example.com/de/", "block"), urls.Rule("org/fr/", "allow"))
 
@@ -57,3 +60,38 @@ FROM parts p LEFT JOIN best b ON b.page_id IS NOT DISTINCT FROM p.page_id AND b.
 
 QUERIES = {"op5_toxicity": op5_toxicity, "op6_url_filter": op6_url_filter}
 ORACLE_SQL = {"op6_url_filter": _OP6_SQL}
+
+
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Statistics and verdict of every document."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "lang", "source", "text")
+    stats = written(quality.statistics(docs).drop("text"), "quality-stats", spark)
+    keys = ["lang", "source"]
+    judged = quality.judge(stats, quality.fit(stats, keys), keys)
+    return judged.select("doc_id", *(F.col(f"stats.{c}").alias(c) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")), "base_failed", "kept", "distance")
+
+
+QUERIES["op7_quality"] = op7_quality
+
+
+def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Eight shards of equal counts, equal texts together."""
+    return sharding.shard_rows(_table(spark, sf_dir, "documents").select("doc_id", "text")).drop("group")
+
+
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page written to WARC archives and read back."""
+    back = warc.round_trip(_table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return back.select(F.col("id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+_OP10_SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+g AS (SELECT html, max(page_id) AS top FROM p WHERE strlen(html) >= 1000 GROUP BY html)
+SELECT p.page_id, strlen(p.html) AS payload_bytes, sha1(p.html) AS payload_digest,
+       CASE WHEN g.top > p.page_id THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN g.top > p.page_id THEN g.top END AS refers_to
+FROM p LEFT JOIN g ON g.html = p.html
+"""
+QUERIES |= {"op8_sharding": op8_sharding, "op10_warc": op10_warc}
+ORACLE_SQL["op10_warc"] = _OP10_SQL
