@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from canopy.llm import quality, sharding
+from canopy.llm import packing, quality, sharding
 from canopy.llm import toxicity as tox
 from canopy.llm import url_filter as urls
 from canopy.llm import warc
@@ -95,3 +95,11 @@ FROM p LEFT JOIN g ON g.html = p.html
 """
 QUERIES |= {"op8_sharding": op8_sharding, "op10_warc": op10_warc}
 ORACLE_SQL["op10_warc"] = _OP10_SQL
+
+
+def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents as 2048-token sequences."""
+    return packing.pack_documents(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+QUERIES["op3_packing"] = op3_packing
