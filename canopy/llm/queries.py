@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from canopy.llm import packing, quality, sharding
+from canopy.llm import decontamination, line_dedup, packing, quality, sharding
 from canopy.llm import toxicity as tox
 from canopy.llm import url_filter as urls
 from canopy.llm import warc
@@ -103,3 +103,20 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op3_packing"] = op3_packing
+
+
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What line dedup leaves of every document."""
+    done = line_dedup.dedup_lines(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return done.select("doc_id", F.col("lines.n_lines").alias("n_lines"), F.col("lines.n_removed").alias("n_removed"), F.col("lines.removed").alias("removed"), F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("kept_sha256"))
+
+
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of a document and a test item that it holds."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    made = decontamination.build(docs, _table(spark, sf_dir, "benchmark"))
+    found = decontamination.leaks(docs, made).select("doc_id", F.explode("leaks").alias("leak"))
+    return found.select("doc_id", F.col("leak.item").alias("item_id"), F.round("leak.similarity", 6).alias("similarity"), F.col("leak.score").alias("score"), F.col("leak.first_word").alias("first_word"), F.col("leak.words").alias("words"))
+
+
+QUERIES |= {"op9_line_dedup": op9_line_dedup, "op2_decontamination": op2_decontamination}
