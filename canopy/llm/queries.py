@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from canopy.llm import decontamination, line_dedup, packing, quality, sharding
+from canopy.llm import decontamination, line_dedup, minhash, packing, quality, sharding
 from canopy.llm import toxicity as tox
 from canopy.llm import url_filter as urls
 from canopy.llm import warc
@@ -120,3 +120,11 @@ def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES |= {"op9_line_dedup": op9_line_dedup, "op2_decontamination": op2_decontamination}
+
+
+def op4_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The near-duplicate component of every document."""
+    return minhash.near_duplicates(_table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "n_shingles", "component_id", "kept")
+
+
+QUERIES["op4_minhash"] = op4_minhash
