@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from canopy.llm import decontamination, line_dedup, minhash, packing, quality, sharding
+from canopy.llm import decontamination, line_dedup, minhash, packing, quality, sharding, suffix_dedup
 from canopy.llm import toxicity as tox
 from canopy.llm import url_filter as urls
 from canopy.llm import warc
@@ -128,3 +128,12 @@ def op4_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op4_minhash"] = op4_minhash
+
+
+def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What stays of every document when strings of 400 bytes that occur twice go."""
+    done = suffix_dedup.suffix_dedup(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return done.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
+QUERIES["op1_suffix_dedup"] = op1_suffix_dedup
