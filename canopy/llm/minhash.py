@@ -31,6 +31,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from canopy.llm.components import components
 from canopy.llm.stage import written
@@ -264,3 +265,28 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     every = found.unionByName(empty)
     kept = F.col("id").eqNullSafe(F.col("component_id"))
     return every.select(F.col("id").alias(id_col), "th", F.col("n").alias("n_shingles"), "component_id", kept.alias("kept"), "component")
+
+
+def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", similarity: int = SIMILARITY) -> DataFrame:
+    """``docs`` with one row of each near-duplicate group: the smallest id (of repeated ids, one row). Rows without words all stay."""
+    if {"__i", "__th", "__z", "__once", "__row"} & set(docs.columns):
+        raise ValueError("names that start with two underscores are used within")
+    found = near_duplicates(docs, id_col=id_col, text_col=text_col, similarity=similarity)
+    ident = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("\0"))
+    one = found.filter("kept and component is not null").groupBy("component").agg(F.min(F.struct(id_col, "th")).alias("m")).select(ident(f"m.{id_col}").alias("__i"), F.col("m.th").alias("__th"), F.lit(True).alias("__once"))
+    rest = found.filter("component is null").select(ident(id_col).alias("__i"), F.col("th").alias("__th"), F.lit(False).alias("__once")).distinct()
+    chosen = written(one.union(rest), "kept")
+    packed = docs.withColumn("__i", ident(id_col)).withColumn("__th", F.xxhash64(text_col)).withColumn("__z", F.arrow_udf(_zip_null, "binary")(text_col)).drop(text_col)
+    joined = packed.join(chosen, ["__i", "__th"])
+    row = F.row_number().over(Window.partitionBy("__i", "__th").orderBy(F.hash("__z")))
+    single = joined.withColumn("__row", row).filter("not __once or __row = 1")
+    text = F.arrow_udf(_unzip, "string")("__z")
+    return single.withColumn(text_col, text).select(*docs.columns)
+
+
+def _zip_null(text: pa.Array) -> pa.Array:
+    return pa.array([None if t is None else zlib.compress(t, 1) for t in text.cast(pa.binary()).to_pylist()], pa.binary())
+
+
+def _unzip(packed: pa.Array) -> pa.Array:
+    return pa.array([None if z is None else zlib.decompress(z) for z in packed.to_pylist()], pa.binary()).cast(pa.string())
