@@ -143,9 +143,11 @@ def _found(index: Index, similarity: float, hashes, rows, n_rows):
     item, place, row = index.item[entry], index.place[entry], rows[at]
     ok = index.rare[k] | index.use_all[item]
     at, item, place, row, k = at[ok], item[ok], place[ok], row[ok], k[ok]
+    if not len(row):
+        return {}
     order = np.lexsort((at, item, row))
     at, item, place, row, k = (x[order] for x in (at, item, place, row, k))
-    edge = np.flatnonzero(np.append(True, (row[1:] != row[:-1]) | (item[1:] != item[:-1]))) if len(row) else np.zeros(0, np.int64)
+    edge = np.flatnonzero(np.append(True, (row[1:] != row[:-1]) | (item[1:] != item[:-1])))
     first = np.searchsorted(rows, np.arange(n_rows + 1))
     out: dict[int, list] = {}
     for lo, hi in zip(edge, np.append(edge[1:], len(row)), strict=True):
