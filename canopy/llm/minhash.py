@@ -13,7 +13,10 @@ To keep groups of copies from pairing with each other:
 * first every class is confirmed against one representative, the smallest class of the
   band it shares most often; the links found so far give components;
 * only bands that still hold two components are looked at pairwise, in blocks of bounded
-  size, and only pairs of different components leave a block.
+  size. A first look marks members that have a likely partner in another component; a
+  second look, at these alone and with their texts, confirms pairs on full sets and leaves
+  out those that links of the same block have joined meanwhile. A block gives at most as
+  many links as it has members, and a pair is looked at in the first band it shares only.
 
 At similarity 0.85 a pair misses all bands with probability under 1e-8.
 
@@ -44,8 +47,8 @@ REGISTERS = ROWS * BANDS
 MANTISSA = 10
 #: Standard errors below the wanted similarity at which an estimate still passes.
 SLACK = 5
-#: Members of a block of a band.
-BLOCK = 64
+#: Members of a block of a band, about.
+BLOCK = 512
 
 
 def shingles(data: np.ndarray, offsets: np.ndarray, size: int = SHINGLE):
@@ -132,16 +135,20 @@ def _sketches(column) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.uint16).reshape(len(column), REGISTERS)
 
 
+def band_codes(sketch: np.ndarray) -> np.ndarray:
+    """n x BANDS hashes of each band's registers."""
+    x = sketch.astype(np.uint64).reshape(len(sketch), BANDS, ROWS)
+    code = np.broadcast_to(mix(np.arange(1, BANDS + 1, dtype=np.uint64)), (len(sketch), BANDS)).copy()
+    for k in range(ROWS):
+        code = code * np.uint64(0x9E3779B97F4A7C15) + x[:, :, k]
+    return mix(code).view(np.int64)
+
+
 def _bands(batches):
-    salt = mix(np.arange(1, BANDS + 1, dtype=np.uint64))
     for b in batches:
         for lo in range(0, len(b), 4096):
             part = b.slice(lo, 4096)
-            x = _sketches(part.column(1)).astype(np.uint64).reshape(len(part), BANDS, ROWS)
-            code = np.broadcast_to(salt, (len(part), BANDS)).copy()
-            for k in range(ROWS):
-                code = code * np.uint64(0x9E3779B97F4A7C15) + x[:, :, k]
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(part.column(0).to_numpy(), BANDS)), pa.array(mix(code).view(np.int64).ravel())], ["c", "band"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(part.column(0).to_numpy(), BANDS)), pa.array(band_codes(_sketches(part.column(1))).ravel())], ["c", "band"])
 
 
 def _sets(packed: list[bytes]) -> list[np.ndarray]:
@@ -168,43 +175,107 @@ def _confirmed(similarity: int):
     return run
 
 
-def _within(similarity: int):
-    """Pairs of different components within each (band, block pair), by register estimate; rows come sorted by both."""
+def _likely(group, band, own, diagonal, c, comp, sketch, lowest: float):
+    """Pairs of rows of one group and different components whose sketches agree enough, each in the first band it shares.
+
+    Groups of two parts hold pairs across them; pairs within a part belong to the group of that part alone.
+    """
+    left, right = [], []
+    for d in range(1, len(c)):
+        i = np.flatnonzero(group[d:] == group[:-d])
+        if not len(i):
+            break
+        i = i[(comp[i] != comp[i + d]) & (c[i] != c[i + d]) & (diagonal[i] | (own[i] != own[i + d]))]
+        for s in range(0, len(i), 4096):
+            p = i[s : s + 4096]
+            q = p + d
+            equal = sketch[p] == sketch[q]
+            near = estimate(equal.sum(1)) >= lowest
+            p, q, equal = p[near], q[near], equal[near]
+            if len(p):
+                first = equal.reshape(len(p), BANDS, ROWS).all(2).argmax(1)
+                here = band_codes(sketch[p])[np.arange(len(p)), first] == band[p]
+                left.append(p[here])
+                right.append(q[here])
+    none = np.zeros(0, np.int64)
+    return np.concatenate([none, *left]), np.concatenate([none, *right])
+
+
+_MEMBER = ("group", "band", "own", "diagonal", "c", "component")
+
+
+def _groups(batches):
+    """Whole groups (rows come sorted by group): the numeric columns as arrays, the others as Arrow."""
+    held = None
+    for b in batches:
+        if not len(b):
+            continue
+        t = pa.Table.from_batches([b])
+        t = pa.concat_tables([held, t]).combine_chunks() if held is not None else t
+        group = t.column(0).to_numpy()
+        cut = int(np.searchsorted(group, group[-1]))
+        if cut:
+            yield t.slice(0, cut)
+        held = t.slice(cut)
+    if held is not None and len(held):
+        yield held
+
+
+def _numbers(t: pa.Table):
+    return [t.column(k).to_numpy() for k in _MEMBER]
+
+
+def _marked(similarity: int):
     lowest = _lowest(similarity)
 
-    def pairs(group, side, c, comp, sketch):
-        out = []
-        for d in range(1, len(c)):
-            i = np.flatnonzero(group[d:] == group[:-d])
-            if not len(i):
-                break
-            j = i + d
-            ok = comp[i] != comp[j]
-            i, j = i[ok], j[ok]
-            for s in range(0, len(i), 8192):
-                p, q = i[s : s + 8192], j[s : s + 8192]
-                near = estimate((sketch[p] == sketch[q]).sum(1)) >= lowest
-                out.append(np.stack([np.minimum(c[p], c[q])[near], np.maximum(c[p], c[q])[near]]))
-        return np.unique(np.concatenate(out, 1), axis=1) if out else np.zeros((2, 0), np.int64)
+    def run(batches):
+        for t in _groups(batches):
+            columns = _numbers(t)
+            p, q = _likely(*columns, _sketches(t.column("sketch").combine_chunks()), lowest)
+            rows = np.unique(np.concatenate([p, q]))
+            if len(rows):
+                yield pa.RecordBatch.from_arrays([pa.array(x[rows]) for x in columns], list(_MEMBER))
+
+    return run
+
+
+def _linked(similarity: int):
+    lowest = _lowest(similarity)
 
     def run(batches):
-        held = None
-        for b in batches:
-            if not len(b):
+        for t in _groups(batches):
+            columns = _numbers(t)
+            sketch = _sketches(t.column("sketch").combine_chunks())
+            p, q = _likely(*columns, sketch, lowest)
+            if not len(p):
                 continue
-            b = pa.Table.from_batches([b]).combine_chunks()
-            now = [b.column(k).to_numpy() for k in range(3)] + [_sketches(b.column(3).combine_chunks())]
-            if held is not None:
-                now = [np.concatenate([x, y]) for x, y in zip(held, now, strict=True)]
-            cut = int(np.flatnonzero(now[0] != now[0][-1])[-1]) + 1 if (now[0] != now[0][-1]).any() else 0
-            if cut:
-                done = [x[:cut] for x in now]
-                a, c = pairs(done[0], None, *done[1:])
-                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(c)], ["a", "b"])
-            held = [x[cut:] for x in now]
-        if held is not None:
-            a, c = pairs(held[0], None, *held[1:])
-            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(c)], ["a", "b"])
+            order = np.argsort(-np.array((sketch[p] == sketch[q]).sum(1)), kind="stable")
+            c, comp = columns[4], columns[5]
+            sets: dict[int, np.ndarray] = {}
+            used = np.unique(np.concatenate([p, q]))
+            packed = t.column("z").combine_chunks().take(pa.array(used)).to_pylist()
+            sets = dict(zip(used.tolist(), _sets(packed), strict=True))
+            parent: dict[int, int] = {}
+
+            def root(x: int, parent=parent) -> int:
+                while parent.setdefault(x, x) != x:
+                    parent[x] = x = parent[parent[x]]
+                return x
+
+            a, b = [], []
+            for i, j in zip(p[order].tolist(), q[order].tolist(), strict=True):
+                # components of one band's groups meet here: what a link has joined needs no other
+                u, v = root(int(comp[i])), root(int(comp[j]))
+                if u == v:
+                    continue
+                x, y = sets[i], sets[j]
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                if both and 100 * both >= similarity * (len(x) + len(y) - both):
+                    parent[u] = v
+                    a.append(int(c[i]))
+                    b.append(int(c[j]))
+            if a:
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
     return run
 
@@ -249,12 +320,17 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     mixed = written(mixed, "mixed", spark)
     open_ = member.join(mixed, "band").withColumn("parts", F.ceil(F.col("n") / BLOCK).cast("int"))
     own = F.pmod(F.xxhash64("c"), F.col("parts")).cast("int")
-    others = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda k: F.xxhash64("band", F.least(k, own), F.greatest(k, own)))
-    dealt = open_.select("c", "component", F.explode(others).alias("group")).join(classes.select("c", "sketch"), "c")
-    dealt = dealt.repartition("group").sortWithinPartitions("group", "c").select("group", "c", "component", "sketch")
-    rest = dealt.mapInArrow(_within(similarity), "a bigint, b bigint").distinct()
-    known = first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    second = confirmed(written(rest.join(known, ["a", "b"], "left_anti"), "pairs", spark)).filter("ok").select("a", "b")
+    met_parts = F.explode(F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda k: F.struct(F.xxhash64("band", F.least(k, own), F.greatest(k, own)).alias("group"), (k == own).alias("diagonal"))))
+    dealt = open_.select("c", "component", "band", own.alias("own"), met_parts.alias("g")).select("c", "component", "band", "own", "g.group", "g.diagonal")
+    kind = "group bigint, band bigint, own int, diagonal boolean, c bigint, component bigint"
+
+    def in_groups(rows: DataFrame, *more: str) -> DataFrame:
+        return rows.repartition("group").sortWithinPartitions("group", "c").select(*_MEMBER, *more)
+
+    marked = in_groups(dealt.join(classes.select("c", "sketch"), "c"), "sketch").mapInArrow(_marked(similarity), kind)
+    marked = written(marked, "marked", spark)
+    second = in_groups(marked.join(classes.select("c", "sketch"), "c").join(texts, "c"), "sketch", "z").mapInArrow(_linked(similarity), "a bigint, b bigint")
+    second = written(second, "pairs", spark)
     whole = components(links.union(second))
     named = classes.select("c", "key", "low").join(whole.withColumnRenamed("node", "c"), "c", "left").withColumn("component", F.coalesce("component", "c"))
     named = written(named.select("key", "component", "low"), "named", spark)
