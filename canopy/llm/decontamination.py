@@ -25,6 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from canopy.llm.stage import long_rows
 from canopy.llm.text import LOWER, NONWORD, Prefix, blocks, ngrams, spans
 
 SEED = 3
@@ -170,6 +171,7 @@ def _found(index: Index, similarity: float, hashes, rows, n_rows):
 
 def build(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", similarity: float = SIMILARITY, n_docs: int | None = None) -> list[tuple[list, Index]]:
     """Blocks of (item ids, index) with rarity counted over all of ``docs``."""
+    long_rows(docs.sparkSession)
     made = []
     items = benchmark.select(F.col(item_col).alias("id"), F.coalesce(F.col(item_text_col), F.lit("")).alias("text"))
     ids, texts, size = [], [], 0

@@ -23,7 +23,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from canopy.llm.stage import written
+from canopy.llm.stage import long_rows, written
 from canopy.llm.text import Prefix, SPACE, blocks, buffers, mix
 
 #: Lines in the rolling window, and one boundary in so many lines.
@@ -130,7 +130,7 @@ def _cleaned(packed: pa.Array, marks: pa.Array) -> pa.Array:
 
 def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """All columns, the text cleaned, plus ``lines``: struct(n_lines, n_removed, removed spans of lines)."""
-    spark = docs.sparkSession
+    spark = long_rows(docs.sparkSession)
     text = F.col(text_col)
     id_text = F.format_string("%020d", F.col(id_col)) if docs.schema[id_col].dataType.typeName() in ("long", "integer", "short", "byte") else F.col(id_col).cast("string")
     key = F.unhex(F.md5(F.concat(F.coalesce(F.col(id_col).cast("string"), F.lit("\0")), F.lit("\0"), F.coalesce(text, F.lit(""))).cast("binary")))

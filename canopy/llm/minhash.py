@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from canopy.llm.components import components
-from canopy.llm.stage import written
+from canopy.llm.stage import long_rows, written
 from canopy.llm.text import LOWER, Prefix, blocks, mix, ngrams, spans
 
 SHINGLE = 5
@@ -286,7 +286,7 @@ def _zip(text: pa.Array) -> pa.Array:
 
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", similarity: int = SIMILARITY) -> DataFrame:
     """One row per document: id, th (hash of the text), n_shingles, component_id, kept, and component (class number; null for empty sets)."""
-    spark = docs.sparkSession
+    spark = long_rows(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
     th = F.xxhash64(text_col)
     signed = docs.select(F.col(id_col).alias("id"), th.alias("th"), F.col(text_col).alias("text")).mapInArrow(_signatures, f"id {kind}, th bigint, n bigint, key binary, sketch binary")

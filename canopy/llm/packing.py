@@ -23,6 +23,8 @@ from __future__ import annotations
 
 import base64
 import bisect
+import functools
+import json
 import zlib
 from dataclasses import dataclass
 
@@ -33,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from canopy.llm.stage import written
+from canopy.llm.stage import long_rows, written
 
 CAPACITY = 2_048
 END_ID = 0
@@ -62,14 +64,16 @@ def _encoder(files: tuple[str, str]):
         with open(files[1], "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         fast = tiktoken.Encoding("packing", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-        slow = Tokenizer.from_file(files[0])
-        special = [t.content for t in slow.get_added_tokens_decoder().values()]
-        _ENCODERS[files] = (lambda text: fast.encode_to_numpy(text, disallowed_special=()), lambda text: np.array(slow.encode(text, add_special_tokens=False).ids, np.uint32), special)
+        with open(files[0]) as f:
+            special = [t["content"] for t in json.load(f).get("added_tokens", [])]
+        slow = functools.cache(lambda: Tokenizer.from_file(files[0]))
+        _ENCODERS[files] = (lambda text: fast.encode_to_numpy(text, disallowed_special=()), lambda text: np.array(slow().encode(text, add_special_tokens=False).ids, np.uint32), special)
     return _ENCODERS[files]
 
 
 def pieces(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, vocabulary: tuple[str, str] | None = None) -> DataFrame:
     """One row per piece: id, piece, start, length, ids_crc32. Only documents over ``capacity`` ids are cut; the first piece takes the odd rest."""
+    long_rows(docs.sparkSession)
     files = vocabulary or default_vocabulary()
     kind = docs.schema[id_col].dataType
 

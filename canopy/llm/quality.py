@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from canopy.llm.stage import written
+from canopy.llm.stage import long_rows, written
 from canopy.llm.text import Prefix, SPACE, blocks, ngrams, spans
 
 _STATS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
@@ -92,6 +92,7 @@ def _statistics(text: pa.Array) -> pa.Array:
 
 def statistics(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """All columns plus ``stats``: struct of n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words."""
+    long_rows(docs.sparkSession)
     udf = F.arrow_udf(_statistics, "struct<" + ",".join(f"{c}:bigint" for c in _STATS) + ">")
     return docs.withColumn("stats", udf(F.col(text_col)))
 

@@ -7,6 +7,9 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Rows and bytes of an Arrow batch.
+ROWS, BYTES = 1_000, 4 << 20
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The cluster's spark.checkpoint.dir; a temporary folder only where none is set (tests)."""
@@ -17,6 +20,13 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def long_rows(spark: SparkSession) -> SparkSession:
+    """Arrow batches for rows that hold whole texts: few rows and a few MB each, so that workers stay small."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ROWS)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BYTES)
+    return spark
+
+
 def written(df: DataFrame, name: str, spark: SparkSession | None = None) -> DataFrame:
     """``df`` written once as Parquet to the shared folder and read again: cuts lineage, survives lost executors."""
     spark = spark or df.sparkSession

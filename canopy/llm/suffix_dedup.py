@@ -37,7 +37,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from canopy.llm.stage import shared_dir, written
+from canopy.llm.stage import long_rows, shared_dir, written
 from canopy.llm.text import Prefix
 
 LENGTH, GRAM = 400, 32
@@ -278,7 +278,7 @@ def _bucketed(df: DataFrame, key: str, spark: SparkSession) -> DataFrame:
 
 def suffix_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", limit: int = FRAGMENTS) -> DataFrame:
     """One row per document: id, n_bytes, n_removed, n_spans, kept_sha256 and removed (byte ranges a to b)."""
-    spark = docs.sparkSession
+    spark = long_rows(docs.sparkSession)
     text = F.coalesce(F.col(text_col), F.lit(""))
     key = F.unhex(F.md5(text.cast("binary")))
     zipped = docs.select(key.alias("key"), F.arrow_udf(_zip, "binary")(text).alias("z"))

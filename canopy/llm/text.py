@@ -11,7 +11,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-BLOCK = 1 << 20
+#: Bytes of texts that are worked on at once.
+BLOCK = 1 << 18
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INV = pow(_BASE, -1, 1 << 64)
 _NGRAM = np.uint64(0xD6E8FEB86659FD93)

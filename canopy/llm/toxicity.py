@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from canopy.llm.stage import written
+from canopy.llm.stage import long_rows, written
 from canopy.llm.text import LOWER, NONWORD, Prefix, blocks, spans
 
 #: At most so many labelled documents are used to fit (the smallest hashes of their ids).
@@ -125,7 +125,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, max_rows: int = FIT_ROWS, vocabul
     ``labels`` may repeat an id (the larger label counts); null ids and labels are left out.
     Without labelled documents, or without a toxic one, the model scores everything 0.
     """
-    spark = docs.sparkSession
+    spark = long_rows(docs.sparkSession)
     marked = labels.select(F.col(id_col).alias("__id"), F.col(label_col).cast("int").alias("toxic")).dropna().groupBy("__id").agg(F.max("toxic").alias("toxic"))
     chosen = marked.orderBy(F.xxhash64("__id"), "__id").limit(max_rows)
     sample = written(docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "__id").select("text", "toxic"), "toxicity-fit", spark)

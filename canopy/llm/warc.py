@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from canopy.llm.stage import shared_dir
+from canopy.llm.stage import long_rows, shared_dir
 
 MIN_REVISIT = 1_000
 #: Bytes of payload in one record; what is over goes on in continuation records.
@@ -89,6 +89,7 @@ def write_warc(pages: DataFrame, path: str, *, id_col: str = "page_id", url_col:
                 out += [m[:-1] for m in _members(id_, url, payload or b"", sha1, refers)]
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["member"])
 
+    long_rows(pages.sparkSession)
     rows = mark_revisits(pages, id_col, payload_col).select(F.col(id_col).cast("long"), url_col, F.coalesce(F.col(payload_col), F.lit("")).cast("binary"), "__sha1", F.col("__refers_to").cast("long"))
     made = rows.mapInArrow(members, "member binary").select(F.col("member").cast("string").alias("value"))
     made.write.option("lineSep", "\x00").option("maxRecordsPerFile", file_records).text(path)
