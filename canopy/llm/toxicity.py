@@ -28,6 +28,8 @@ FIT_ROWS = 20_000
 #: Words with a weight.
 VOCABULARY = 2_048
 THRESHOLD = 0.3
+#: Steps of the fit and its quadratic penalty.
+ROUNDS, PENALTY = 800, 1e-5
 _END = np.zeros(256, bool)
 _END[[ord(c) for c in ".!?\n"]] = True
 _GOT = pa.struct([("score", pa.float64()), ("n_sentences", pa.int64()), ("worst_start", pa.int64()), ("worst_bytes", pa.int64()), ("worst_score", pa.float64())])
@@ -119,7 +121,7 @@ def _bags(words: np.ndarray):
     return run
 
 
-def fit(docs: DataFrame, labels: DataFrame, *, max_rows: int = FIT_ROWS, vocabulary: int = VOCABULARY, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", rounds: int = 400) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, *, max_rows: int = FIT_ROWS, vocabulary: int = VOCABULARY, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", rounds: int = ROUNDS) -> Model:
     """Train on at most ``max_rows`` labelled documents (documented bound: a fixed-size sample by hashed id).
 
     ``labels`` may repeat an id (the larger label counts); null ids and labels are left out.
@@ -165,7 +167,7 @@ def _train(words: np.ndarray, bags: pa.Table, rounds: int) -> Model:
         each = slope[owner] / (1 + np.exp(-z))
         rest = slope * plain / (1 + np.exp(-base))
         grad = np.concatenate([np.bincount(w, each[where], len(words)), [(each * size[owner]).sum() + (rest * size).sum(), each.sum() + rest.sum()]])
-        grad = grad / len(y) + 2e-4 * np.append(theta[:-2], [0, 0])
+        grad = grad / len(y) + PENALTY * np.append(theta[:-2], [0, 0])
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad**2
         theta = theta - 0.1 * (m / (1 - 0.9**k)) / (np.sqrt(v / (1 - 0.999**k)) + 1e-8)
     return Model(words, theta[:-2], float(theta[-1]), float(theta[-2]))
