@@ -1,7 +1,7 @@
 """Line dedup by content-defined chunks.
 
 A document's lines are cut into chunks where a rolling hash over the last line hashes
-says so, so that boundaries move along with inserted or deleted lines. Chunks of two or
+is smaller than before and after (every third line or so), so that boundaries move along with inserted or deleted lines. Chunks of two or
 more lines that occur more than once in the corpus are removed except for their first
 occurrence (smallest id, then position; null ids last), after their bytes have been
 compared with it.
@@ -26,8 +26,8 @@ from pyspark.sql import functions as F
 from canopy.llm.stage import long_rows, written
 from canopy.llm.text import Prefix, SPACE, blocks, buffers, mix
 
-#: Lines in the rolling window, and one boundary in so many lines.
-WINDOW, MODULUS = 2, 3
+#: Lines in the rolling window.
+WINDOW = 2
 MIN_LINES = 2
 _CHUNK = "key binary, id string, at bigint, until bigint, first_line bigint, lines bigint, hash bigint"
 
@@ -47,22 +47,18 @@ def chunk_table(data: np.ndarray, offsets: np.ndarray):
     prefix = Prefix(data)
     content = ends - (data[ends - 1] == 10)
     hashes = prefix.of(starts, content)
-    rolled = hashes.copy()
-    for k in range(1, WINDOW):
-        rolled[k:] += hashes[:-k] * np.uint64(2 * k + 1)
     number = np.arange(len(rows)) - np.searchsorted(rows, rows)
-    cut = (mix(rolled) % np.uint64(MODULUS) == 0) & (number >= WINDOW - 1)
+    rolled = hashes.copy()
+    for k in range(1, WINDOW):  # never over the start of a row
+        rolled[k:] += np.where(number[k:] >= k, hashes[:-k] * np.uint64(2 * k + 1), np.uint64(0))
+    rolled = mix(rolled)
     last = np.append(rows[1:] != rows[:-1], True)
-    marks = np.flatnonzero(cut | last)
-    # a chunk has MIN_LINES lines at least, so a boundary that comes too early is passed over
-    first, at, row_end = [], 0, last[marks]
-    keep = []
-    for m, final in zip(marks.tolist(), row_end.tolist(), strict=True):
-        if final or m + 1 - at >= MIN_LINES:
-            first.append(at)
-            keep.append(m)
-            at = m + 1
-    first, keep = np.array(first, np.int64), np.array(keep, np.int64)
+    # a boundary is a local minimum: two are never neighbours, and each depends on few lines around it
+    before = np.append(np.uint64(0), rolled[:-1])
+    after = np.append(rolled[1:], np.uint64(0))
+    least = (number > 0) & (rolled < before) & (last | (rolled <= after))
+    keep = np.flatnonzero(least | last)
+    first = np.append(0, keep[:-1] + 1)
     full = np.concatenate([[0], np.cumsum(_with_word(data, starts, content))])
     many = (full[keep + 1] - full[first]) >= MIN_LINES
     first, keep = first[many], keep[many]
