@@ -72,7 +72,7 @@ def plain_removed(texts, k=400):
         for p in range(len(b) - k + 1):
             if seen[b[p : p + k]] > 1:
                 gone[p : p + k] = b"\1" * k
-        runs = len(re.findall(rb"\1+", bytes(gone)))
+        runs = len(re.findall(rb"\x01+", bytes(gone)))
         out.append((len(b), sum(gone), runs, hashlib.sha256(bytes(x for x, g in zip(b, gone) if not g)).hexdigest()))
     return out
 
