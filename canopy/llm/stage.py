@@ -27,9 +27,21 @@ def long_rows(spark: SparkSession) -> SparkSession:
     return spark
 
 
+_made: list[str] = []
+
+
+def clean(spark: SparkSession) -> None:
+    """Delete the tables that this process has written, once no result that reads them is wanted any more."""
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    while _made:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_made.pop())
+        path.getFileSystem(conf).delete(path, True)
+
+
 def written(df: DataFrame, name: str, spark: SparkSession | None = None) -> DataFrame:
     """``df`` written once as Parquet to the shared folder and read again: cuts lineage, survives lost executors."""
     spark = spark or df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _made.append(path)
     return spark.read.schema(df.schema).parquet(path)
