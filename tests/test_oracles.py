@@ -3,6 +3,7 @@
 import os
 
 import duckdb
+import pandas as pd
 import pytest
 
 from canopy import queries
@@ -10,7 +11,7 @@ from canopy import queries
 
 def rows(frame, columns):
     def plain(v):
-        if v is None or v != v:
+        if pd.isna(v):
             return None
         return float(v) if isinstance(v, (int, float)) or hasattr(v, "dtype") else str(v)
 
@@ -29,8 +30,9 @@ def test_same_as_sql(spark, sf_dir, name):
 
 
 @pytest.mark.parametrize("name", sorted(set(queries.QUERIES) - set(queries.ORACLE_SQL)))
-def test_runs(spark, sf_dir, name):
-    assert queries.QUERIES[name](spark, sf_dir).count() > 0
+def test_runs(spark, name):
+    # 15 individuals, as in the smallest tables, leave no split
+    assert queries.QUERIES[name](spark, "/root/testdata/sf0.01").count() > 0
 
 
 def test_entry(spark):
