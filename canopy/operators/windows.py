@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from canopy.functions.draws import hash_order
+from canopy.sources.io import staged
 
 
 def _named(order) -> list[Column]:
@@ -60,9 +61,30 @@ def sample_or_skip(df: DataFrame, keys: list[str], row_key: str, n: int, seed=0)
     return shuffled_first_n(sized, keys, row_key, n, seed)
 
 
+def _in_parts(df: DataFrame, order) -> DataFrame:
+    """``df`` cut into ranges of an order, numbered by ``__part``; written, so that the ranges stay as they are."""
+    return staged(df.repartitionByRange(*_named(order)).withColumn("__part", F.spark_partition_id()), "ranges")
+
+
+def _before(parts: DataFrame, amounts: dict[str, Column]) -> DataFrame:
+    """For each part the sums of all earlier parts; as many rows as there are parts."""
+    sums = parts.groupBy("__part").agg(*[c.alias(n) for n, c in amounts.items()])
+    w = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    return sums.select("__part", *[F.coalesce(F.sum(n).over(w), F.lit(0)).alias(n) for n in amounts])
+
+
 def number_rows(df: DataFrame, order, name: str = "number", keys: list[str] | None = None) -> DataFrame:
-    """A number from 0 in a stated order, within each key (give one wherever the table is large)."""
-    return df.withColumn(name, F.row_number().over(Window.partitionBy(*(keys or [])).orderBy(*_named(order))) - 1)
+    """A number from 0 in a stated order, within each key, or over the whole table.
+
+    Over a whole table the order is cut into ranges; only the ranges' row counts meet.
+    """
+    if keys:
+        return df.withColumn(name, F.row_number().over(Window.partitionBy(*keys).orderBy(*_named(order))) - 1)
+    parts = _in_parts(df, order)
+    own = F.row_number().over(Window.partitionBy("__part").orderBy(*_named(order))) - 1
+    starts = _before(parts, {"__start": F.count("*")})
+    numbered = parts.withColumn("__own", own).join(F.broadcast(starts), "__part")
+    return numbered.withColumn(name, F.col("__own") + F.col("__start")).select(*df.columns, name)
 
 
 def last_k(values: str | Column, k: int) -> Column:
@@ -72,14 +94,21 @@ def last_k(values: str | Column, k: int) -> Column:
 
 
 def running_hits(df: DataFrame, score: str, hit: str, keys: list[str] | None = None) -> DataFrame:
-    """One row per distinct score from the top: hits and rows so far.
+    """One row per distinct score from the top: hits and rows so far, within each key or over the whole table.
 
-    Rows are aggregated by score first, so the window runs over distinct scores only.
+    Rows are aggregated by score first, so running sums go over distinct scores only; over
+    a whole table these are cut into ranges, whose sums alone meet.
     """
     keys = keys or []
     each = df.groupBy(*keys, score).agg(F.sum(F.col(hit).cast("long")).alias("__h"), F.count("*").alias("__n"))
-    w = Window.partitionBy(*keys).orderBy(F.col(score).desc())
-    return each.select(*keys, score, F.sum("__h").over(w).alias("hits"), F.sum("__n").over(w).alias("rows"))
+    if keys:
+        w = Window.partitionBy(*keys).orderBy(F.col(score).desc())
+        return each.select(*keys, score, F.sum("__h").over(w).alias("hits"), F.sum("__n").over(w).alias("rows"))
+    parts = _in_parts(each, [F.col(score).desc()])
+    w = Window.partitionBy("__part").orderBy(F.col(score).desc())
+    starts = _before(parts, {"__h0": F.sum("__h"), "__n0": F.sum("__n")})
+    own = parts.select(score, "__part", F.sum("__h").over(w).alias("__hw"), F.sum("__n").over(w).alias("__nw")).join(F.broadcast(starts), "__part")
+    return own.select(score, (F.col("__hw") + F.col("__h0")).alias("hits"), (F.col("__nw") + F.col("__n0")).alias("rows"))
 
 
 def shuffled_keys(df: DataFrame, key: str, seed=0, keys: list[str] | None = None) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.errors import AnalysisException
@@ -12,6 +14,18 @@ from pyspark.sql.types import DoubleType, FloatType, StructType
 from canopy.functions.tiles import base_name, domain_from_name, geo_index_from_name, nan_to_null, site_from_name, year_from_name, year_from_path
 
 
+def staged(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written once to the folder of spark.checkpoint.dir (a temporary one only where none is set) and read again."""
+    spark = df.sparkSession
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        folder = tempfile.mkdtemp(prefix="spark-")
+        spark.conf.set("spark.checkpoint.dir", folder)
+    path = f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def read_csv(spark: SparkSession, path: str | list[str], schema: StructType) -> DataFrame:
     """A CSV with header; NaN becomes null."""
     df = spark.read.schema(schema).option("header", True).option("nanValue", "NaN").option("nullValue", "").csv(path)

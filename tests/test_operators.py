@@ -228,3 +228,16 @@ def test_windows(spark):
     df = spark.createDataFrame([("a", 1, None), ("a", 2, 5.0), ("b", 3, None), ("b", 4, None), (None, 5, 1.0)], "individual string, seq int, height double").withColumn("eventID", F.concat(F.lit("e"), F.col("seq").cast("string")))
     assert sorted(r["seq"] for r in windows.one_per_individual(df).collect()) == [2, 4]
     assert one(spark, windows.last_k(F.array(F.lit(3), F.lit(1), F.lit(3), F.lit(2)), 2)) == [2, 3]
+
+
+def test_numbers_over_whole_tables(spark):
+    df = spark.range(500).select((F.col("id") * 37 % 101).alias("v"), "id")
+    got = windows.number_rows(df, ["v", "id"]).collect()
+    want = sorted((i * 37 % 101, i) for i in range(500))
+    assert sorted((r["v"], r["id"], r["number"]) for r in got) == [(v, i, k) for k, (v, i) in enumerate(want)]
+    assert windows.number_rows(df.limit(0), ["v"]).count() == 0
+    hits = windows.running_hits(df.withColumn("hit", F.col("id") % 3 == 0), "v", "hit").collect()
+    assert len(hits) == 101
+    for r in hits:
+        above = [i for v, i in want if v >= r["v"]]
+        assert (r["rows"], r["hits"]) == (len(above), sum(i % 3 == 0 for i in above))
