@@ -39,32 +39,59 @@ def _c(x) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
+def _let(f, **values) -> Column:
+    """``f`` of named values, each worked out once: series nest, and repeated expressions would grow with every step."""
+    bound = F.struct(*[v.alias(k) for k, v in values.items()])
+    return F.get(F.transform(F.array(bound), lambda s: f(**{k: s[k] for k in values})), F.lit(0))
+
+
+def _geographic(easting, northing, zone) -> Column:
+    def conformal(xi, eta):
+        xi2 = xi - sum(b * F.sin(2 * (j + 1) * xi) * F.cosh(2 * (j + 1) * eta) for j, b in enumerate(_BETA))
+        eta2 = eta - sum(b * F.cos(2 * (j + 1) * xi) * F.sinh(2 * (j + 1) * eta) for j, b in enumerate(_BETA))
+        return _let(angles, xi2=xi2, eta2=eta2)
+
+    def angles(xi2, eta2):
+        lat = lambda chi: chi + sum(d * F.sin(2 * (j + 1) * chi) for j, d in enumerate(_DELTA))
+        lon = F.radians(6.0 * _c(zone) - 183.0) + F.atan2(F.sinh(eta2), F.cos(xi2))
+        return F.struct(F.degrees(lon).alias("lon"), F.degrees(_let(lat, chi=F.asin(F.sin(xi2) / F.cosh(eta2)))).alias("lat"))
+
+    return _let(conformal, xi=_c(northing) / (_K0 * _RECT), eta=(_c(easting) - _FALSE_E) / (_K0 * _RECT))
+
+
+def _projected(lon, lat, zone) -> Column:
+    def rectified(s, lam):
+        return _let(series_of, t=F.sinh(F.atanh(s) - _E * F.atanh(_E * s)), lam=lam)
+
+    def series_of(t, lam):
+        return _let(plane, xi=F.atan2(t, F.cos(lam)), eta=F.atanh(F.sin(lam) / F.sqrt(1 + t * t)))
+
+    def plane(xi, eta):
+        xi2 = xi + sum(a * F.sin(2 * (j + 1) * xi) * F.cosh(2 * (j + 1) * eta) for j, a in enumerate(_ALPHA))
+        eta2 = eta + sum(a * F.cos(2 * (j + 1) * xi) * F.sinh(2 * (j + 1) * eta) for j, a in enumerate(_ALPHA))
+        return F.struct((_FALSE_E + _K0 * _RECT * eta2).alias("x"), (_K0 * _RECT * xi2).alias("y"))
+
+    return _let(rectified, s=F.sin(F.radians(_c(lat))), lam=F.radians(_c(lon)) - F.radians(6.0 * _c(zone) - 183.0))
+
+
 def to_geographic(easting, northing, zone) -> tuple[Column, Column]:
     """Longitude and latitude in degrees of UTM coordinates (northern half)."""
-    xi, eta = _c(northing) / (_K0 * _RECT), (_c(easting) - _FALSE_E) / (_K0 * _RECT)
-    xi2 = xi - sum(b * F.sin(2 * (j + 1) * xi) * F.cosh(2 * (j + 1) * eta) for j, b in enumerate(_BETA))
-    eta2 = eta - sum(b * F.cos(2 * (j + 1) * xi) * F.sinh(2 * (j + 1) * eta) for j, b in enumerate(_BETA))
-    chi = F.asin(F.sin(xi2) / F.cosh(eta2))
-    lat = chi + sum(d * F.sin(2 * (j + 1) * chi) for j, d in enumerate(_DELTA))
-    lon = F.radians(6.0 * _c(zone) - 183.0) + F.atan2(F.sinh(eta2), F.cos(xi2))
-    return F.degrees(lon), F.degrees(lat)
+    got = _geographic(easting, northing, zone)
+    return got["lon"], got["lat"]
 
 
 def from_geographic(lon, lat, zone) -> tuple[Column, Column]:
     """Easting and northing in a UTM zone (northern half)."""
-    phi, lam = F.radians(_c(lat)), F.radians(_c(lon)) - F.radians(6.0 * _c(zone) - 183.0)
-    s = F.sin(phi)
-    t = F.sinh(F.atanh(s) - _E * F.atanh(_E * s))
-    xi, eta = F.atan2(t, F.cos(lam)), F.atanh(F.sin(lam) / F.sqrt(1 + t * t))
-    xi2 = xi + sum(a * F.sin(2 * (j + 1) * xi) * F.cosh(2 * (j + 1) * eta) for j, a in enumerate(_ALPHA))
-    eta2 = eta + sum(a * F.cos(2 * (j + 1) * xi) * F.sinh(2 * (j + 1) * eta) for j, a in enumerate(_ALPHA))
-    return _FALSE_E + _K0 * _RECT * eta2, _K0 * _RECT * xi2
+    got = _projected(lon, lat, zone)
+    return got["x"], got["y"]
 
 
 def change_zone(easting, northing, source, target) -> tuple[Column, Column]:
     """UTM coordinates of one zone in another."""
-    lon, lat = to_geographic(easting, northing, F.lit(source) if isinstance(source, int) else source)
-    return from_geographic(lon, lat, F.lit(target) if isinstance(target, int) else target)
+    number = lambda z: F.lit(z) if isinstance(z, int) else _c(z)
+    at = _geographic(easting, northing, number(source))
+    got = _let(lambda p: _projected(p["lon"], p["lat"], number(target)), p=at)
+    return got["x"], got["y"]
 
 
 def centre_label(xmin, ymin, xmax, ymax, zone) -> Column:
