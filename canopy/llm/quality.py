@@ -150,7 +150,7 @@ def fit(stats: DataFrame, keys: list[str], *, min_rows: int = 50, steps: int = S
     rows = rows.select(F.explode(F.array(F.col("own"), F.lit(0).cast("long"))).alias("g"), "x")
     # start: medians, and a diagonal scatter from median deviations
     tall = rows.select("g", F.posexplode("x").alias("f", "v"))
-    mid = _quantile(tall, ["g", "f"], F.col("v"), 0.5, "m")
+    mid = written(_quantile(tall, ["g", "f"], F.col("v"), 0.5, "m"), "mcd")  # tables: large groups can be split in joins
     away = tall.join(mid, ["g", "f"]).select("g", "f", F.abs(F.col("v") - F.col("m")).alias("a"))
     mad = _quantile(away, ["g", "f"], F.col("a"), 0.5, "a")
     floor = F.lit(list(FLOOR))
@@ -160,7 +160,7 @@ def fit(stats: DataFrame, keys: list[str], *, min_rows: int = 50, steps: int = S
     estimate = start.select("g", F.transform("z", lambda e: e["m"]).alias("centre"), F.array(*cells).alias("inverse"))
     for _ in range(steps):
         near = rows.join(estimate, "g").select("g", "x", F.log2(1 + _distance("x", "centre", "inverse")).alias("d"))
-        kept = near.join(_quantile(near, ["g"], F.col("d"), SUBSET, "cut"), "g").filter(F.col("d") <= F.col("cut"))
+        kept = near.join(written(_quantile(near, ["g"], F.col("d"), SUBSET, "cut"), "mcd"), "g").filter(F.col("d") <= F.col("cut"))
         e = lambda i: F.element_at("x", i + 1)
         sums = kept.groupBy("g").agg(F.count("*").alias("n"), F.array(*[F.sum(e(i)) for i in range(p)]).alias("s1"), F.array(*[F.sum(e(i) * e(j)) for i in range(p) for j in range(p)]).alias("s2"))
         estimate = written(sums.mapInPandas(_inverted, "g bigint, centre array<double>, inverse array<double>"), "mcd")

@@ -94,7 +94,7 @@ def shard_rows(docs: DataFrame, shards: int = 8, *, id_col: str = "doc_id", text
     total = base.count()
     state = vertices.join(linked, "group").select("group", "first", "n", F.col("first").alias("shard"))
     state = propagate(written(state, "shards"), shards, total, rounds).join(linked, "group")
-    state = state.select("group", "first", F.col("shard").alias("to"), F.ceil(F.col("links") / CELL).alias("parts"))
+    state = written(state.select("group", "first", F.col("shard").alias("to"), F.ceil(F.col("links") / CELL).alias("parts")), "shards")
     placed = base.join(state, ["group", "first"], "left")
     placed = placed.select("id", "size", "crc", "group", F.coalesce("to", "first").alias("wish"), F.pmod("deal", F.coalesce("parts", F.lit(1))).alias("part"), "deal")
     cells = placed.groupBy("wish", "group", "part").agg(F.count("*").alias("n"))

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from canopy.llm.stage import long_rows, shared_dir
+from canopy.llm.stage import long_rows, shared_dir, written
 
 MIN_REVISIT = 1_000
 #: Bytes of payload in one record; what is over goes on in continuation records.
@@ -73,7 +73,8 @@ def mark_revisits(pages: DataFrame, id_col: str = "page_id", payload_col: str =
     # the digest that records carry, plus a second hash, stands for equality of payloads
     keyed = keyed.withColumn("__key", F.when(F.col("__size") >= min_revisit, F.xxhash64(payload)))
     groups = keyed.filter("__key is not null").groupBy("__key", "__sha1").agg(F.max(id_col).alias("__largest"), F.count("*").alias("__n"), F.min(id_col).alias("__smallest"))
-    groups = groups.filter("__smallest < __largest").select("__key", "__sha1", "__largest")
+    # a table, so that a payload that many pages have can be split in the join
+    groups = written(groups.filter("__smallest < __largest").select("__key", "__sha1", "__largest"), "revisits")
     marked = keyed.join(groups, ["__key", "__sha1"], "left")
     refers = F.when(F.coalesce(F.col(id_col) < F.col("__largest"), F.col("__largest").isNotNull()), F.col("__largest"))
     return marked.withColumn("__refers_to", refers).drop("__key", "__largest", "__size")
