@@ -98,15 +98,13 @@ def registers(own: np.ndarray, grams: np.ndarray, n: int) -> np.ndarray:
     return out.astype(np.uint16)
 
 
-def collisions(n_a, n_b) -> float:
-    """Chance that registers of unlike buckets agree: about one in 2**(MANTISSA + 1) once leading zeros match."""
-    return 1.0 / (3 << MANTISSA)
+#: Chance that registers of unlike buckets agree: their leading zeros match in one of three cases, then the mantissa has to.
+CHANCE = 1.0 / (3 << MANTISSA)
 
 
 def estimate(equal: np.ndarray) -> np.ndarray:
     """Jaccard estimate from the number of equal registers, less the expected chance agreements."""
-    p = collisions(0, 0)
-    return np.maximum(0.0, (equal / REGISTERS - p) / (1 - p))
+    return np.maximum(0.0, (equal / REGISTERS - CHANCE) / (1 - CHANCE))
 
 
 def _lowest(similarity: int) -> float:
