@@ -4,8 +4,10 @@ Each document's set of word shingles is cut into ``REGISTERS`` buckets by hash;
 keeps its smallest value as a register of leading-zero count and ``MANTISSA`` bits. Empty
 registers take the next full one (rotation), so short documents have whole sketches.
 ``ROWS`` neighbouring registers make a band; documents that share a band are candidates.
-Candidates pass on a collision-corrected Jaccard estimate and are then confirmed on full
-shingle sets, so sketches decide what is looked at, never what is linked.
+Candidates are confirmed on full shingle sets, so sketches decide what is looked at, never
+what is linked. Before that, pairs of ``WHOLE`` shingles or more each have to pass on a
+collision-corrected Jaccard estimate; sketches of smaller sets repeat registers, which makes
+estimates far noisier than their number says, so smaller sets are compared at once.
 
 To keep groups of copies from pairing with each other:
 
@@ -47,6 +49,8 @@ REGISTERS = ROWS * BANDS
 MANTISSA = 10
 #: Standard errors below the wanted similarity at which an estimate still passes.
 SLACK = 5
+#: Shingles from which on nearly all registers have values of their own, so that they scatter no more than as many draws.
+WHOLE = 2 * REGISTERS
 #: Members of a block of a band, about.
 BLOCK = 512
 
@@ -173,22 +177,24 @@ def _confirmed(similarity: int):
     return run
 
 
-def _likely(group, band, own, diagonal, c, comp, sketch, lowest: float):
-    """Pairs of rows of one group and different components whose sketches agree enough, each in the first band it shares.
+def _likely(group, band, own, diagonal, c, comp, size, sketch, similarity: int):
+    """Pairs of rows of one group and different components that may be similar, each in the first band it shares.
 
-    Groups of two parts hold pairs across them; pairs within a part belong to the group of that part alone.
+    Sizes bound the similarity of any pair; sketches are asked for pairs of large sets only. Groups of two parts hold pairs across them; pairs within a part belong to the group of that part alone.
     """
+    lowest = _lowest(similarity)
     left, right = [], []
     for d in range(1, len(c)):
         i = np.flatnonzero(group[d:] == group[:-d])
         if not len(i):
             break
         i = i[(comp[i] != comp[i + d]) & (c[i] != c[i + d]) & (diagonal[i] | (own[i] != own[i + d]))]
+        i = i[100 * np.minimum(size[i], size[i + d]) >= similarity * np.maximum(size[i], size[i + d])]
         for s in range(0, len(i), 4096):
             p = i[s : s + 4096]
             q = p + d
             equal = sketch[p] == sketch[q]
-            near = estimate(equal.sum(1)) >= lowest
+            near = (np.minimum(size[p], size[q]) < WHOLE) | (estimate(equal.sum(1)) >= lowest)
             p, q, equal = p[near], q[near], equal[near]
             if len(p):
                 first = equal.reshape(len(p), BANDS, ROWS).all(2).argmax(1)
@@ -199,7 +205,7 @@ def _likely(group, band, own, diagonal, c, comp, sketch, lowest: float):
     return np.concatenate([none, *left]), np.concatenate([none, *right])
 
 
-_MEMBER = ("group", "band", "own", "diagonal", "c", "component")
+_MEMBER = ("group", "band", "own", "diagonal", "c", "component", "size")
 
 
 def _groups(batches):
@@ -224,12 +230,10 @@ def _numbers(t: pa.Table):
 
 
 def _marked(similarity: int):
-    lowest = _lowest(similarity)
-
     def run(batches):
         for t in _groups(batches):
             columns = _numbers(t)
-            p, q = _likely(*columns, _sketches(t.column("sketch").combine_chunks()), lowest)
+            p, q = _likely(*columns, _sketches(t.column("sketch").combine_chunks()), similarity)
             rows = np.unique(np.concatenate([p, q]))
             if len(rows):
                 yield pa.RecordBatch.from_arrays([pa.array(x[rows]) for x in columns], list(_MEMBER))
@@ -238,13 +242,11 @@ def _marked(similarity: int):
 
 
 def _linked(similarity: int):
-    lowest = _lowest(similarity)
-
     def run(batches):
         for t in _groups(batches):
             columns = _numbers(t)
             sketch = _sketches(t.column("sketch").combine_chunks())
-            p, q = _likely(*columns, sketch, lowest)
+            p, q = _likely(*columns, sketch, similarity)
             if not len(p):
                 continue
             order = np.argsort(-np.array((sketch[p] == sketch[q]).sum(1)), kind="stable")
@@ -290,7 +292,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     signed = docs.select(F.col(id_col).alias("id"), th.alias("th"), F.col(text_col).alias("text")).mapInArrow(_signatures, f"id {kind}, th bigint, n bigint, key binary, sketch binary")
     signed = written(signed, "sketches", spark)
     full = signed.filter("n > 0")
-    classes = full.groupBy("key").agg(F.min("id").alias("low"), F.min(F.struct("id", "th")).alias("rep"), F.first("sketch").alias("sketch"))
+    classes = full.groupBy("key").agg(F.min("id").alias("low"), F.min(F.struct("id", "th")).alias("rep"), F.first("n").alias("size"), F.first("sketch").alias("sketch"))
     classes = written(classes.withColumn("c", F.monotonically_increasing_id()), "classes", spark)
     # one representative for each class: the smallest class of the band it shares most often
     bands = classes.select("c", "sketch").mapInArrow(_bands, "c bigint, band bigint")
@@ -320,12 +322,12 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     own = F.pmod(F.xxhash64("c"), F.col("parts")).cast("int")
     met_parts = F.explode(F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda k: F.struct(F.xxhash64("band", F.least(k, own), F.greatest(k, own)).alias("group"), (k == own).alias("diagonal"))))
     dealt = open_.select("c", "component", "band", own.alias("own"), met_parts.alias("g")).select("c", "component", "band", "own", "g.group", "g.diagonal")
-    kind = "group bigint, band bigint, own int, diagonal boolean, c bigint, component bigint"
+    kind = "group bigint, band bigint, own int, diagonal boolean, c bigint, component bigint, size bigint"
 
     def in_groups(rows: DataFrame, *more: str) -> DataFrame:
         return rows.repartition("group").sortWithinPartitions("group", "c").select(*_MEMBER, *more)
 
-    marked = in_groups(dealt.join(classes.select("c", "sketch"), "c"), "sketch").mapInArrow(_marked(similarity), kind)
+    marked = in_groups(dealt.join(classes.select("c", "size", "sketch"), "c"), "sketch").mapInArrow(_marked(similarity), kind)
     marked = written(marked, "marked", spark)
     second = in_groups(marked.join(classes.select("c", "sketch"), "c").join(texts, "c"), "sketch", "z").mapInArrow(_linked(similarity), "a bigint, b bigint")
     second = written(second, "pairs", spark)

@@ -240,6 +240,24 @@ def test_minhash_blocks(spark, monkeypatch):
     assert got == plain_components(list(enumerate(texts)))
 
 
+def test_minhash_chains_of_short_texts(spark):
+    """Chains in which only neighbours are similar: sketches of few shingles say little about a pair."""
+    r = random.Random(4)
+    texts = []
+    for k in range(260):
+        m = r.choice([6, 13, 14, 17, 20, 26, 37, 56])  # shingles
+        step = max(s for s in range(9) if 100 * (m - s) >= 85 * (m + s))
+        words = prose(40_000 + k, m + 4 + 4 * max(step, 1)).split(" ")
+        if step:
+            texts += [" ".join(words[i * step : i * step + m + 4]) for i in range(5)]
+        else:
+            texts += [" ".join(words[: m + 4]), " ".join(words[: m + 5]), " ".join(words[: m + 6])]
+    r.shuffle(texts)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = collections.Counter((r["doc_id"], r["n_shingles"], r["component_id"], r["kept"]) for r in minhash.near_duplicates(docs).collect())
+    assert got == plain_components(list(enumerate(texts)))
+
+
 def test_keep_one(edge, empty):
     kept = minhash.keep_one(edge)
     assert kept.columns == edge.columns
