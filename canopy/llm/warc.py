@@ -9,6 +9,9 @@ top byte of its length, 0 for records under 16 MiB. Members are written without
 byte and the writer's line separator (U+0000) puts it back, so files are plain
 concatenated members. Longer payloads are split into continuation records.
 
+Each row that is written is a whole file, closed by records or bytes between two payloads, so
+that the records of a payload never part and a file fits the memory of a task that reads it.
+
 Of records with equal payloads of ``min_revisit`` bytes or more, those with the largest
 id are responses and the others revisit it; rows that repeat that id and payload are all
 responses. Null payloads are empty. A null id is written without an id field and read
@@ -31,8 +34,8 @@ from canopy.llm.stage import long_rows, shared_dir, written
 MIN_REVISIT = 1_000
 #: Bytes of payload in one record; what is over goes on in continuation records.
 SEGMENT = 8 << 20
-#: Records in one file at most.
-FILE_RECORDS = 4_000
+#: Payloads in one file at most, and bytes after which it is closed (a larger payload has a file to itself).
+FILE_RECORDS, FILE_BYTES = 4_000, 32 << 20
 _HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
 _END = b"\r\n\r\n"
 READ_SCHEMA = "record_id string, id bigint, url string, record_type string, refers_to bigint, payload_bytes bigint, payload_digest string, digest_ok boolean, payload binary"
@@ -80,20 +83,30 @@ def mark_revisits(pages: DataFrame, id_col: str = "page_id", payload_col: str =
     return marked.withColumn("__refers_to", refers).drop("__key", "__largest", "__size")
 
 
-def write_warc(pages: DataFrame, path: str, *, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", file_records: int = FILE_RECORDS) -> None:
+def write_warc(pages: DataFrame, path: str, *, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", file_records: int = FILE_RECORDS, file_bytes: int = FILE_BYTES) -> None:
     """Write one record per row (and continuations) to ``path``/part-*; the files are plain .warc.gz streams."""
 
+    def closed(members):
+        return pa.RecordBatch.from_arrays([pa.array([b"".join(members)[:-1]], pa.binary())], ["member"])
+
     def members(batches):
+        out, records, size = [], 0, 0
         for b in batches:
-            out = []
             for id_, url, payload, sha1, refers in zip(*(b.column(k).to_pylist() for k in range(5)), strict=True):
-                out += [m[:-1] for m in _members(id_, url, payload or b"", sha1, refers)]
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["member"])
+                made = list(_members(id_, url, payload or b"", sha1, refers))
+                more = sum(map(len, made))
+                if out and (records >= file_records or size + more > file_bytes):
+                    yield closed(out)
+                    out, records, size = [], 0, 0
+                out += made
+                records, size = records + 1, size + more
+        if out:
+            yield closed(out)
 
     long_rows(pages.sparkSession)
     rows = mark_revisits(pages, id_col, payload_col).select(F.col(id_col).cast("long"), url_col, F.coalesce(F.col(payload_col), F.lit("")).cast("binary"), "__sha1", F.col("__refers_to").cast("long"))
     made = rows.mapInArrow(members, "member binary").select(F.col("member").cast("string").alias("value"))
-    made.write.option("lineSep", "\x00").option("maxRecordsPerFile", file_records).text(path)
+    made.write.option("lineSep", "\x00").option("maxRecordsPerFile", 1).text(path)
 
 
 class _Members:

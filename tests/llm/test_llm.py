@@ -447,6 +447,25 @@ def test_warc(spark, tmp_path, monkeypatch):
     assert warc.round_trip(pages.limit(0)).count() == 0
 
 
+def test_warc_keeps_the_records_of_a_payload_in_one_file(spark, tmp_path):
+    """Payloads of three records don't part where a file ends (workers don't see patched constants, so they have to be large)."""
+    n = 2 * warc.SEGMENT + 10
+    pages = spark.range(5).select(F.col("id").alias("page_id"), F.lit("u").alias("url"), F.when(F.col("id") == 0, "short").otherwise(F.repeat(F.col("id").cast("string"), n)).alias("html")).coalesce(1)
+    path = tmp_path / "records"
+    warc.write_warc(pages, str(path), file_records=2)
+    got = [(r["id"], r["payload_bytes"], r["digest_ok"]) for r in warc.read_warc(spark, str(path), payload=False).collect()]
+    assert sorted(got) == [(i, n if i else 5, True) for i in range(5)]
+    assert len(list(path.glob("part-*"))) >= 3
+
+
+def test_warc_closes_files_by_bytes(spark, tmp_path):
+    rows = [(i, "u", random.Random(i).randbytes(60_000).hex()) for i in range(20)]
+    warc.write_warc(spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1), str(tmp_path / "bytes"), file_bytes=150_000)
+    got = {r["id"]: bytes(r["payload"]).decode() for r in warc.read_warc(spark, str(tmp_path / "bytes")).collect()}
+    assert got == {i: h for i, _, h in rows}
+    assert max(f.stat().st_size for f in (tmp_path / "bytes").glob("part-*")) <= 150_000
+
+
 def test_warc_reader_rejects_damage():
     def member(block, digest=None, size=None):
         fields = [("WARC-Type", "response"), ("WARC-Record-ID", "<urn:uuid:1>"), ("WARC-Payload-Digest", digest or warc._digest(block)), ("WARC-Payload-Length", str(len(block)))]
