@@ -35,7 +35,8 @@ _NEWLINE[10] = True
 
 FEATURES = ("word_length", "symbols", "dup_lines", "repeats")
 #: Least spread of each feature (added to the scatter): constant features stay regular, and a single repeated line or a stray symbol is ordinary.
-FLOOR = (0.1, 0.3, 1.0, 1.0)
+#: Small enough that each feature's range can pass the cut-off by itself (7 repeated lines, or 30 repeated words, of 100 words).
+FLOOR = (0.1, 0.3, 0.3, 0.5)
 #: Share of a group's documents in the concentrated half.
 SUBSET = 0.75
 STEPS = 3

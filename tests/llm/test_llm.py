@@ -367,6 +367,25 @@ def test_quality(spark, edge, empty):
         assert all(r["base_failed"] and not r["kept"] for r in judged.filter("text is null or trim(text) = ''").collect())
 
 
+def test_quality_rejects_repeated_lines(spark):
+    """A third to nearly half of the lines repeated, or many two-word lines (no repeated 3-word window); single repeats stay."""
+    rows = [(i, "\n".join(prose(60_000 + i * 50 + k, 8) for k in range(10 + i % 20)), "en", "a") for i in range(300)]
+    for i in range(30):
+        lines = [prose(90_000 + i * 50 + k, 8) for k in range(12 + i)]
+        share = (0.3, 0.38, 0.45)[i % 3]
+        for k in range(int(share * len(lines) / (1 - share)) + (i % 3 == 0)):
+            lines.insert(2 + 2 * k, lines[0])
+        rows.append((1000 + i, "\n".join(lines), "en", "a"))
+        short = [x for k in range(12 + i) for x in (prose(95_000 + i * 50 + k, 6), "read more")]
+        rows.append((1100 + i, "\n".join(short), "en", "a"))
+        single = [prose(97_000 + i * 50 + k, 8) for k in range(12 + i)]
+        rows.append((500 + i, "\n".join([*single, single[3]]), "en", "a"))
+    stats = quality.statistics(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).drop("text").cache()
+    keys = ["lang", "source"]
+    for r in quality.judge(stats, quality.fit(stats, keys), keys).collect():
+        assert not r["base_failed"] and r["kept"] == (r["doc_id"] < 1000), r
+
+
 # ---- op 8 ----------------------------------------------------------------------------
 
 
