@@ -6,7 +6,7 @@ every task. Seeds are windows of ``SEED`` words. How many documents have a seed
 counted over the whole corpus; seeds in more than ``COMMON`` of all documents are not
 rare. A document is a candidate for an item if it has as many of the item's rare seeds
 as an alignment of the wanted similarity must leave intact (each edited word destroys at
-most ``SEED`` seeds); items with too few rare seeds to tell use all of theirs. Candidates
+most ``SEED`` seeds; inserted and swapped words aren't allowed for); items with too few rare seeds to tell use all of theirs. Candidates
 are aligned word by word around their densest seeds.
 
 Words are letter or digit runs, A-Z lower-cased. Similarity: matched words of the best
