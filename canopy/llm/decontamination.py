@@ -1,41 +1,68 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment of words.
-
-Test items are a stated query set: they are held against all documents in blocks of
-``ITEMS`` items, whose seed index (bounded by ``ITEM_WORDS`` words a block) is sent to
-every task. Seeds are windows of ``SEED`` words. How many documents have a seed is
-counted over the whole corpus; seeds in more than ``COMMON`` of all documents are not
-rare. A document is a candidate for an item if it has as many of the item's rare seeds
-as an alignment of the wanted similarity must leave intact (each edited word destroys at
-most ``SEED`` seeds; inserted and swapped words aren't allowed for); items with too few rare seeds to tell use all of theirs. Candidates
-are aligned word by word around their densest seeds.
-
-Words are letter or digit runs, A-Z lower-cased. Similarity: matched words of the best
-local alignment over the item's words. Items with fewer than ``SEED`` words need their
-whole word sequence; items without words match nothing, nor do null texts. Repeated
-items and documents each give their own pairs.
+"""Benchmark decontamination: rare n-gram seeds joined in Spark, then Smith-Waterman alignment of words.
+
+Words are letter or digit runs, A-Z lower-cased. A document leaks an item if the best local
+alignment of their words (match 2, mismatch and gap -1) scores ``SIMILARITY`` of a perfect
+copy's score; items of one or two words have to occur as they are. Which pairs are aligned is
+decided by seeds and loses none of these:
+
+* A seed is three words of which each follows the one before at once or with one word between
+  (items under ``LONG`` words: two such words), so that it survives inserted, dropped, replaced
+  and swapped words around it. Of m item words, an alignment of that score leaves neighbouring
+  matches so close together at no fewer than a count of places that follows from m alone
+  (:func:`least_places`): every gap between matches that breaks a seed costs two points.
+* How many documents have a seed is counted over all documents. Of each item's places, the
+  commonest may be left out as long as one of the count stays: places whose seeds are in more
+  than ``COMMON`` of all documents go first. The others are its rare seeds; a document is a
+  candidate where it has as many of them as must be left, close enough for one alignment.
+* Seeds of documents are joined with the table of rare seeds; before that, most are dropped by
+  a bitmap of the table (a fixed number of bits at most, false positives only). Only documents
+  with a candidate stretch move, and only these stretches are aligned, in slices of bounded
+  length, each longer than any alignment.
+
+Null and empty texts, and items without words, match nothing. Repeated items each give their own
+pairs; rows that repeat an id and text count once in :func:`leaks`, and all go in
+:func:`without_leaks`. Extra columns are ignored by the one and kept by the other; their names may
+not start with two underscores. Empty tables give no pairs.
 """
 
 from __future__ import annotations
 
-import math
-from dataclasses import dataclass
-
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from canopy.llm.stage import long_rows
-from canopy.llm.text import LOWER, NONWORD, Prefix, blocks, ngrams, spans
+from canopy.llm.stage import long_rows, reserved, written
+from canopy.llm.text import LOWER, NONWORD, Prefix, blocks, mix, spans
 
-SEED = 3
-SIMILARITY = 0.75
+#: Share of a perfect copy's score.
+SIMILARITY = 0.6
 #: Share of documents above which a seed isn't rare.
-COMMON = 0.01
-#: Items and words of one block of the query set.
-ITEMS, ITEM_WORDS = 20_000, 2_000_000
-_LEAK = pa.struct([("item", pa.int64()), ("similarity", pa.float64()), ("score", pa.int64()), ("first_word", pa.int64()), ("words", pa.int64())])
-_LEAK_DDL = "array<struct<item:bigint,similarity:double,score:bigint,first_word:bigint,words:bigint>>"
+COMMON = 0.001
+#: Item words from which on seeds have three words.
+LONG = 11
+#: Bits of a bitmap: about so many for each entry, and at most (16 MiB).
+SPARSE, BITS = 16, 1 << 27
+#: Words of a slice that is aligned at once, at least (longer for long items).
+SLICE = 512
+_KIND = (np.uint64(0x8CB92BA72F3D8DD7), np.uint64(0xD1B54A32D192ED03), np.uint64(0xABC98388FB8FAC03))
+_MUL = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9))
+
+
+def least_places(words: int, similarity: float = SIMILARITY) -> int:
+    """Item places at which any alignment of the wanted score has a seed of the item's kind, at least.
+
+    With M matched words and penalty P, the score 2M - P reaches 2 * similarity * words, so P <= 2M - 2 * similarity * words.
+    Between neighbouring matches a gap breaks a seed only at a penalty of two or more: at most P / 2 of M - 1 gaps.
+    A three-word seed needs two good gaps in a row. Both counts are least for M = words (three) or for any M (two).
+    """
+    if words < 3:
+        return 1
+    if words < LONG:
+        return max(1, int(np.ceil(similarity * words - 1 - 1e-9)))
+    return max(1, int(np.ceil((2 * similarity - 1) * words - 2 - 1e-9)))
 
 
 def _words(data, offsets):
@@ -44,184 +71,306 @@ def _words(data, offsets):
     return Prefix(low).of(at, to), rows
 
 
-def _seeds(hashes, rows, n_rows):
-    """Seed hashes with their first word; rows with fewer words than a seed give all of them as one."""
-    seeds, at = ngrams(hashes, rows, SEED)
-    first = np.searchsorted(rows, np.arange(n_rows))
-    size = np.bincount(rows, minlength=n_rows)
-    for k in range(1, SEED):
-        short = first[size == k]
-        grams, where = ngrams(hashes, rows, k)
-        own = np.isin(where, short) if len(short) else np.zeros(len(where), bool)
-        seeds, at = np.concatenate([seeds, grams[own] + np.uint64(k)]), np.concatenate([at, where[own]])
-    return seeds, at, first, size
-
-
-@dataclass
-class Index:
-    """Seeds of a block of items: sorted hashes, and for each the items and places that have it."""
-
-    hashes: np.ndarray
-    cuts: np.ndarray  # entries of hash k: cuts[k] to cuts[k + 1]
-    item: np.ndarray
-    place: np.ndarray
-    words: np.ndarray  # word hashes of all items
-    first: np.ndarray  # first word of each item, and the end
-    short: list[int]  # lengths under SEED that occur
-    rare: np.ndarray  # of each hash
-    need: np.ndarray  # seeds of each item that a document must have
-    use_all: np.ndarray  # items that need their common seeds, too
-
-    @classmethod
-    def of(cls, texts: list[str]) -> Index:
-        column = pa.array(texts, pa.string())
-        parts = [(_words(d, o), lo, len(o) - 1) for lo, d, o in blocks(column)]
-        words = np.concatenate([np.zeros(0, np.uint64), *(h for (h, _), _, _ in parts)])
-        rows = np.concatenate([np.zeros(0, np.int64), *(r + lo for (_, r), lo, _ in parts)])
-        seeds, at, first, size = _seeds(words, rows, len(texts))
-        order = np.lexsort((at, seeds))
-        hashes, begin = np.unique(seeds[order], return_index=True)
-        item = rows[at[order]]
-        return cls(hashes, np.append(begin, len(order)), item, at[order] - first[item], words, np.append(first, len(words)), sorted({int(k) for k in size if 0 < k < SEED}), np.ones(len(hashes), bool), np.zeros(0), np.zeros(0, bool))
-
-    def hits(self, hashes, rows, n_rows):
-        """(row, word in the block, hash number) of each seed that a document has."""
-        seeds, at = ngrams(hashes, rows, SEED)
-        for k in self.short:
-            grams, where = ngrams(hashes, rows, k)
-            seeds, at = np.concatenate([seeds, grams + np.uint64(k)]), np.concatenate([at, where])
-        if not len(self.hashes) or not len(seeds):
-            return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        k = np.minimum(np.searchsorted(self.hashes, seeds), len(self.hashes) - 1)
-        got = np.flatnonzero(self.hashes[k] == seeds)
-        return at[got], k[got]
-
-    def weigh(self, counts: np.ndarray, n_docs: int, similarity: float) -> None:
-        """Set which seeds are rare and how many each item needs."""
-        self.rare = counts <= max(1.0, COMMON * n_docs)
-        n = len(self.first) - 1
-        distinct = np.unique(self.item * (len(self.hashes) + 1) + np.repeat(np.arange(len(self.hashes)), np.diff(self.cuts)))
-        of, which = distinct // (len(self.hashes) + 1), distinct % (len(self.hashes) + 1)
-        own, common = np.bincount(of, minlength=n), np.bincount(of[~self.rare[which]], minlength=n)
-        edits = np.floor((1 - similarity) * np.diff(self.first) + 1e-9)
-        intact = own - SEED * edits
-        self.use_all = intact - common < 1
-        self.use_all &= common > 0
-        self.need = np.maximum(1, np.where(self.use_all, intact, intact - common)).astype(np.int64)
-
-
-def align(doc: np.ndarray, item: np.ndarray) -> tuple[int, int, int, int]:
-    """Smith-Waterman (match 2, else -1): score, matched words, first and end word in ``doc``."""
-    m, n = len(item), len(doc)
-    score = np.zeros((m + 1, n + 1), np.int32)
-    index = np.arange(n + 1)
-    for i in range(1, m + 1):
-        row = np.maximum(0, score[i - 1] - 1)
-        row[1:] = np.maximum(row[1:], score[i - 1, :-1] + np.where(doc == item[i - 1], 2, -1))
-        score[i] = np.maximum.accumulate(row + index) - index  # gaps along the document cost 1 each
-    best = int(score.argmax())
-    i, j = divmod(best, n + 1)
-    end, matched, total = j, 0, int(score[i, j])
-    while i and j and score[i, j]:
-        here = score[i, j]
-        hit = doc[j - 1] == item[i - 1]
-        if here == score[i - 1, j - 1] + (2 if hit else -1):
-            matched += bool(hit)
-            i, j = i - 1, j - 1
-        elif here == score[i - 1, j] - 1:
-            i -= 1
-        else:
-            j -= 1
-    return total, matched, j, end
-
-
-def _found(index: Index, similarity: float, hashes, rows, n_rows):
-    """Leaks of each row of a block: {row: [(item, similarity, score, first word, words)]}."""
-    at, k = index.hits(hashes, rows, n_rows)
-    reps = np.diff(index.cuts)[k]
-    entry = np.repeat(index.cuts[k] - np.concatenate([[0], np.cumsum(reps)[:-1]]), reps) + np.arange(reps.sum())
-    at, k = np.repeat(at, reps), np.repeat(k, reps)
-    item, place, row = index.item[entry], index.place[entry], rows[at]
-    ok = index.rare[k] | index.use_all[item]
-    at, item, place, row, k = at[ok], item[ok], place[ok], row[ok], k[ok]
-    if not len(row):
-        return {}
-    order = np.lexsort((at, item, row))
-    at, item, place, row, k = (x[order] for x in (at, item, place, row, k))
-    edge = np.flatnonzero(np.append(True, (row[1:] != row[:-1]) | (item[1:] != item[:-1])))
-    first = np.searchsorted(rows, np.arange(n_rows + 1))
-    out: dict[int, list] = {}
-    for lo, hi in zip(edge, np.append(edge[1:], len(row)), strict=True):
-        it, r = int(item[lo]), int(row[lo])
-        if len(np.unique(k[lo:hi])) < index.need[it]:
+def _seeds(words: np.ndarray, rows: np.ndarray, kind: int):
+    """Yield (seed hashes, first word) of every seed of ``kind`` words, variant by variant."""
+    if kind == 1:
+        yield mix(words + _KIND[0]), np.arange(len(words))
+        return
+    scaled = [words * m for m in _MUL[:kind]]
+    steps = [(d,) for d in (1, 2)] if kind == 2 else [(a, a + b) for a in (1, 2) for b in (1, 2)]
+    for step in steps:
+        n = len(words) - step[-1]
+        if n <= 0:
             continue
-        words = index.words[index.first[it] : index.first[it + 1]]
-        m, begin, end = len(words), first[r], first[r + 1]
-        # the densest stretch of seeds, where a copy of the item can lie
-        places = at[lo:hi]
-        upto = np.searchsorted(places, places + 2 * m, "right")
-        dense = int(np.argmax(upto - np.arange(len(places))))
-        a = max(begin, places[dense] - m)
-        b = min(end, places[upto[dense] - 1] + m + SEED)
-        total, matched, x, y = align(hashes[a:b], words)
-        if matched >= similarity * m:
-            out.setdefault(r, []).append((it, matched / m, total, int(a - begin + x), y - x))
-    return out
+        value = scaled[0][:n] + _KIND[kind - 1]
+        for k, d in enumerate(step, 1):
+            value = value + scaled[k][d : d + n]
+        same = rows[:n] == rows[step[-1] :]
+        yield (mix(value[same]), np.flatnonzero(same)) if not same.all() else (mix(value), np.arange(n))
+
+
+def _item_kind(m: int) -> int:
+    return 1 if m == 1 else 2 if m < LONG else 3
+
+
+def _itemised(batches):
+    """Word hashes of each item."""
+    for b in batches:
+        for lo, data, offsets in blocks(b.column(1)):
+            words, rows = _words(data, offsets)
+            edge = np.searchsorted(rows, np.arange(len(offsets)))
+            n = np.diff(edge)
+            full = np.flatnonzero(n)
+            keys = pc.take(b.column(0), pa.array(lo + full))
+            yield pa.RecordBatch.from_arrays([keys, pa.array(n[full]), pa.array([words[edge[i] : edge[i + 1]].tobytes() for i in full], pa.binary())], ["item", "m", "words"])
+
+
+def _item_seeds(batches):
+    """(item, m, kind, place, seed) of each item."""
+    for b in batches:
+        for item, m, raw in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            words, kind = np.frombuffer(raw, np.uint64), _item_kind(m)
+            found = list(_seeds(words, np.zeros(m, np.int64), kind))
+            if m == 2:
+                found = found[:1]
+            seed, at = (np.concatenate(x) for x in zip(*found, strict=True))
+            yield pa.RecordBatch.from_arrays([pa.array([item] * len(seed), pa.binary()), pa.array(np.full(len(seed), m)), pa.array(np.full(len(seed), kind, np.int32)), pa.array(at), pa.array(seed.view(np.int64))], ["item", "m", "kind", "place", "seed"])
+
+
+def bitmap(table: DataFrame, column: str):
+    """A broadcast bitmap of a column of hashes: one bit for each value's lowest bits. At most ``BITS`` bits, whatever the table."""
+    n = table.count()
+    bits = 1 << 15
+    while bits < min(BITS, SPARSE * n):
+        bits *= 2
+    place = F.pmod(F.col(column), F.lit(bits))
+    parts = table.groupBy(F.floor(place / (1 << 15)).alias("part")).agg(F.bitmap_construct_agg(F.pmod(place, F.lit(1 << 15)).cast("long")).alias("bits")).collect()
+    whole = np.zeros(bits // 8, np.uint8)
+    for r in parts:
+        whole[r["part"] * 4096 : (r["part"] + 1) * 4096] = np.frombuffer(r["bits"], np.uint8)
+    return table.sparkSession.sparkContext.broadcast(whole)
 
 
-def build(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", similarity: float = SIMILARITY, n_docs: int | None = None) -> list[tuple[list, Index]]:
-    """Blocks of (item ids, index) with rarity counted over all of ``docs``."""
-    long_rows(docs.sparkSession)
-    made = []
-    items = benchmark.select(F.col(item_col).alias("id"), F.coalesce(F.col(item_text_col), F.lit("")).alias("text"))
-    ids, texts, size = [], [], 0
-    for r in items.orderBy("id", "text").toLocalIterator():
-        ids.append(r["id"])
-        texts.append(r["text"])
-        size += len(r["text"])
-        if len(ids) >= ITEMS or size >= 2 * ITEM_WORDS:
-            made.append((ids, Index.of(texts)))
-            ids, texts, size = [], [], 0
-    if ids:
-        made.append((ids, Index.of(texts)))
-    n_docs = docs.count() if n_docs is None else n_docs
-    for _, index in made:
-        counted = docs.select(text_col).mapInArrow(_counter(index), "k bigint, n bigint").groupBy("k").agg(F.sum("n").alias("n")).toPandas()  # as many rows as the block has seeds
-        counts = np.zeros(len(index.hashes))
-        counts[counted["k"].to_numpy(np.int64)] = counted["n"].to_numpy(np.float64)
-        index.weigh(counts, n_docs, similarity)
-    return made
-
-
-def _counter(index: Index):
+def _inside(whole: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    at = hashes & np.uint64(8 * len(whole) - 1)
+    return (whole[(at >> np.uint64(3)).view(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 > 0
+
+
+def _hits(whole, kinds, data, offsets):
+    """Row, seed and first word (within the row) of seeds in the bitmap, and every row's first word."""
+    words, rows = _words(data, offsets)
+    first = np.searchsorted(rows, np.arange(len(offsets)))
+    row, seed, at = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+    for kind in kinds:
+        for hashes, places in _seeds(words, rows, kind):
+            got = np.flatnonzero(_inside(whole, hashes))
+            own = rows[places[got]]
+            row.append(own)
+            seed.append(hashes[got])
+            at.append(places[got] - first[own])
+    return np.concatenate(row), np.concatenate(seed), np.concatenate(at)
+
+
+def _counter(bits, kinds):
+    """Partial document counts of seeds."""
+
     def run(batches):
-        counts = np.zeros(len(index.hashes), np.int64)
+        held, size = [], 0
         for b in batches:
             for _, data, offsets in blocks(b.column(0)):
-                hashes, rows = _words(data, offsets)
-                at, k = index.hits(hashes, rows, len(offsets) - 1)
-                pairs = np.unique(rows[at] * max(1, len(counts)) + k)
-                counts += np.bincount(pairs % max(1, len(counts)), minlength=len(counts))
-        k = np.flatnonzero(counts)
-        yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(counts[k])], ["k", "n"])
+                row, seed, _ = _hits(bits.value, kinds, data, offsets)
+                order = np.lexsort((seed, row))
+                new = np.ones(len(order), bool)
+                new[1:] = (np.diff(row[order]) != 0) | (np.diff(seed[order].view(np.int64)) != 0)
+                held.append(seed[order][new])
+                size += int(new.sum())
+                if size > 1 << 20:
+                    yield _summed(held)
+                    held, size = [], 0
+        if held:
+            yield _summed(held)
+
+    return run
+
+
+def _summed(held):
+    seed, n = np.unique(np.concatenate(held), return_counts=True)
+    return pa.RecordBatch.from_arrays([pa.array(seed.view(np.int64)), pa.array(n)], ["seed", "n"])
+
+
+def _finder(bits, kinds):
+    """One row for each seed of a document: its places."""
+
+    def run(batches):
+        for b in batches:
+            for lo, data, offsets in blocks(b.column(2)):
+                row, seed, at = _hits(bits.value, kinds, data, offsets)
+                if not len(row):
+                    continue
+                order = np.lexsort((at, seed, row))
+                row, seed, at = row[order], seed[order], at[order]
+                new = np.flatnonzero(np.append(True, (row[1:] != row[:-1]) | (seed[1:] != seed[:-1])))
+                own = pa.array(lo + row[new])
+                lists = pa.ListArray.from_arrays(pa.array(np.append(new, len(at)).astype(np.int32)), pa.array(at))
+                yield pa.RecordBatch.from_arrays([pc.take(b.column(0), own), pc.take(b.column(1), own), pa.array(seed[new].view(np.int64)), lists], ["key", "id", "seed", "at"])
+
+    return run
+
+
+def span(m: int, similarity: float = SIMILARITY) -> int:
+    """Words of a document that an alignment with an item of ``m`` words covers, at most."""
+    return int(np.ceil(2 * (1 - similarity) * m)) + m + 2
+
+
+def _stretches(m: int, need: int, seeds: list, similarity: float) -> list[tuple[int, int]]:
+    """Word ranges of a document in which an item's seeds suffice: (first, end), slices that overlap by an alignment's length."""
+    at = np.concatenate([np.repeat(np.asarray(s["at"], np.int64), len(s["places"])) for s in seeds])
+    place = np.concatenate([np.tile(np.asarray(s["places"], np.int64), len(s["at"])) for s in seeds])
+    order = np.argsort(at, kind="stable")
+    at, place = at[order], place[order]
+    reach, out = span(m, similarity), []
+    length = max(SLICE, 4 * reach)
+    cuts = np.flatnonzero(np.diff(at) > reach) + 1
+    for lo, hi in zip([0, *cuts], [*cuts, len(at)], strict=True):
+        begin, end = max(0, int(at[lo]) - reach), int(at[hi - 1]) + reach
+        while begin < end:
+            stop = min(end, begin + length)
+            i, j = lo + np.searchsorted(at[lo:hi], [begin, stop])
+            if len(np.unique(place[i:j])) >= need:
+                out.append((begin, stop))
+            if stop == end:
+                break
+            begin = stop - 2 * reach
+    return out
+
+
+def _candidates(similarity: float):
+    def run(batches):
+        for b in batches:
+            keys, items, firsts, ends = [], [], [], []
+            for key, item, m, need, seeds in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                for first, end in _stretches(m, need, seeds, similarity):
+                    for column, v in zip((keys, items, firsts, ends), (key, item, first, end), strict=True):
+                        column.append(v)
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(items, pa.binary()), pa.array(firsts, pa.int64()), pa.array(ends, pa.int64())], ["key", "item", "first", "end"])
+
+    return run
+
+
+def _slices(batches):
+    """The word hashes of each candidate stretch of a document, in batches of a few MB."""
+    for b in batches:
+        for lo, data, offsets in blocks(b.column(1)):
+            words, rows = _words(data, offsets)
+            edge = np.searchsorted(rows, np.arange(len(offsets)))
+            out, size = [[] for _ in range(4)], 0
+            for i, found in enumerate(b.column(2).slice(lo, len(offsets) - 1)):
+                key = b.column(0)[lo + i].as_py()
+                for s in found.as_py():
+                    part = words[edge[i] + s["first"] : min(edge[i + 1], edge[i] + s["end"])].tobytes()
+                    for column, v in zip(out, (key, s["item"], s["first"], part), strict=True):
+                        column.append(v)
+                    size += len(part)
+                    if size > 4 << 20:
+                        yield _sliced(out)
+                        out, size = [[] for _ in range(4)], 0
+            if out[0]:
+                yield _sliced(out)
+
+
+def _sliced(out):
+    kinds = (pa.binary(), pa.binary(), pa.int64(), pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], ["key", "item", "first", "part"])
+
+
+def _scores(doc: np.ndarray, item: np.ndarray) -> tuple[int, int]:
+    """Best local score (match 2, mismatch and gap -1) and the end of the first alignment that has it."""
+    index = np.arange(len(doc) + 1, dtype=np.int32)
+    row, best, end = np.zeros(len(doc) + 1, np.int32), 0, 0
+    for word in item:
+        new = np.maximum(0, row - 1)
+        np.maximum(new[1:], row[:-1] + np.where(doc == word, 2, -1), out=new[1:])
+        row = np.maximum.accumulate(new + index) - index  # gaps along the document cost 1 each
+        at = int(row.argmax())
+        if row[at] > best or (row[at] == best and at < end):
+            best, end = int(row[at]), at
+    return best, end
+
+
+def align(doc: np.ndarray, item: np.ndarray) -> tuple[int, int, int]:
+    """Smith-Waterman in two rows of memory: score, first and end word in ``doc``."""
+    score, end = _scores(doc, item)
+    if not score:
+        return 0, 0, 0
+    back, length = _scores(doc[:end][::-1], item[::-1])
+    return score, end - length, end
+
+
+def _aligned(similarity: float):
+    def run(batches):
+        for b in batches:
+            out = [[] for _ in range(5)]
+            for key, item, first, part, m, raw in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                words, doc = np.frombuffer(raw, np.uint64), np.frombuffer(part, np.uint64)
+                score, lo, hi = align(doc, words)
+                if score >= (1.0 if m < 3 else similarity) * 2 * m - 1e-9:
+                    for column, v in zip(out, (key, item, score, first + lo, hi - lo), strict=True):
+                        column.append(v)
+            kinds = (pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], ["key", "item", "score", "first_word", "words"])
 
     return run
 
 
-def _finder(ids: list, index: Index, similarity: float):
-    def find(text: pa.Array) -> pa.Array:
-        out: list[list[dict]] = [[] for _ in range(len(text))]
-        for lo, data, offsets in blocks(text):
-            n = len(offsets) - 1
-            hashes, rows = _words(data, offsets)
-            for r, found in _found(index, similarity, hashes, rows, n).items():
-                out[lo + r] = [dict(zip((f.name for f in _LEAK), (ids[it], *rest), strict=True)) for it, *rest in found]
-        return pa.array(out, pa.list_(_LEAK))
+def _key(id_col: str, text_col: str):
+    """Identity of a document: its id and text."""
+    return F.unhex(F.md5(F.concat(F.coalesce(F.col(id_col).cast("string"), F.lit("\0")), F.lit("\0"), F.coalesce(F.col(text_col), F.lit(""))).cast("binary")))
+
+
+def rare_seeds(docs: DataFrame, items: DataFrame, *, text_col: str, similarity: float, n_docs: int, spark: SparkSession) -> tuple[DataFrame, list[int]]:
+    """(seed, item, m, need, places) of the rare seeds of each item, and the kinds of seeds that occur."""
+    seeds = written(items.mapInArrow(_item_seeds, "item binary, m bigint, kind int, place bigint, seed bigint"), "item-seeds", spark)
+    kinds = sorted(r["kind"] for r in seeds.select("kind").distinct().collect())  # three at most
+    counted = docs.select(text_col).mapInArrow(_counter(bitmap(seeds, "seed"), kinds), "seed bigint, n bigint").groupBy("seed").agg(F.sum("n").alias("n"))
+    counts = written(counted, "seed-counts", spark)
+    m = F.col("m")
+    least = F.when(m < 3, 1).when(m < LONG, F.greatest(F.lit(1), F.ceil(similarity * m - 1 - 1e-9))).otherwise(F.greatest(F.lit(1), F.ceil((2 * similarity - 1) * m - 2 - 1e-9)))
+    places = seeds.join(counts, "seed", "left").groupBy("item", "m", "place").agg(F.max(F.coalesce("n", F.lit(0))).alias("n"))
+    rank = F.row_number().over(Window.partitionBy("item").orderBy(F.col("n").desc(), "place"))
+    common = (F.col("rank") < F.col("least")) & (F.col("n") > max(1.0, COMMON * n_docs))
+    ranked = places.withColumn("least", least.cast("long")).withColumn("rank", rank).withColumn("common", common)
+    need = F.col("least") - F.sum(F.col("common").cast("long")).over(Window.partitionBy("item"))
+    kept = written(ranked.withColumn("need", need).filter("not common").select("item", "place", "need"), "rare-places", spark)
+    rare = seeds.join(kept, ["item", "place"]).groupBy("seed", "item").agg(F.first("m").alias("m"), F.first("need").alias("need"), F.collect_set("place").alias("places"))
+    return written(rare, "rare-seeds", spark), kinds
+
+
+def _found(docs: DataFrame, benchmark: DataFrame, id_col: str, text_col: str, item_col: str, item_text_col: str, similarity: float) -> tuple[DataFrame, DataFrame]:
+    """Tables (key, id, item, score, first_word, words, m) of leaks by item text, and (item, item id) of the benchmark."""
+    spark = long_rows(docs.sparkSession)
+    named = benchmark.select(F.col(item_col).alias("item_id"), F.coalesce(F.col(item_text_col), F.lit("")).alias("text"))
+    named = written(named.withColumn("item", F.unhex(F.md5(F.col("text").cast("binary")))), "items", spark)
+    items = written(named.dropDuplicates(["item"]).select("item", "text").mapInArrow(_itemised, "item binary, m bigint, words binary"), "item-words", spark)
+    rare, kinds = rare_seeds(docs, items, text_col=text_col, similarity=similarity, n_docs=docs.count(), spark=spark)
+    keyed = docs.select(_key(id_col, text_col).alias("key"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    kind = docs.schema[id_col].dataType.simpleString()
+    hits = keyed.mapInArrow(_finder(bitmap(rare, "seed"), kinds), f"key binary, id {kind}, seed bigint, at array<bigint>")
+    met = written(hits.join(rare, "seed").select("key", "id", "item", "m", "need", "places", "at"), "seed-hits", spark)
+    enough = met.groupBy("key", "item", "m", "need").agg(F.collect_set(F.struct("places", "at")).alias("seeds"), F.sum(F.size("places")).alias("n")).filter("n >= need")
+    near = enough.select("key", "item", "m", "need", "seeds").mapInArrow(_candidates(similarity), "key binary, item binary, first bigint, end bigint")
+    near = written(near.groupBy("key").agg(F.collect_set(F.struct("item", "first", "end")).alias("stretches")), "stretches", spark)
+    texts = suspects(keyed, near).dropDuplicates(["key"]).join(near, "key").select("key", "text", "stretches")
+    parts = texts.mapInArrow(_slices, "key binary, item binary, first bigint, part binary")
+    pairs = parts.join(items, "item").select("key", "item", "first", "part", "m", "words").mapInArrow(_aligned(similarity), "key binary, item binary, score bigint, first_word bigint, words bigint")
+    best = pairs.groupBy("key", "item").agg(F.max(F.struct("score", (-F.col("first_word")).alias("first"), "words")).alias("b"))
+    best = best.select("key", "item", "b.score", (-F.col("b.first")).alias("first_word"), "b.words")
+    ids = met.select("key", "id").distinct()
+    return written(best.join(items.select("item", "m"), "item").join(ids, "key"), "leaks", spark), named
+
+
+def suspects(docs: DataFrame, keys: DataFrame, key: str = "key", among: bool = True) -> DataFrame:
+    """Rows of ``docs`` whose binary ``key`` may be in ``keys`` (with ``among`` false: surely isn't), without a shuffle."""
+    bits = bitmap(keys.select(F.xxhash64(key).alias("h")), "h")
+
+    def may_be(hashes: pa.Array) -> pa.Array:
+        return pa.array(_inside(bits.value, hashes.to_numpy(zero_copy_only=False).view(np.uint64)))
+
+    hit = F.arrow_udf(may_be, "boolean")(F.xxhash64(key))
+    return docs.filter(hit if among else ~hit)
+
 
-    return find
+def leaks(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
+    """One row per document and item that it leaks: their ids, similarity (share of a perfect copy's score), score, first_word, words."""
+    found, named = _found(docs, benchmark, id_col, text_col, item_col, item_text_col, similarity)
+    pairs = found.join(named.select("item", "item_id"), "item")
+    return pairs.select(F.col("id").alias(id_col), F.col("item_id").alias(item_col), (F.col("score") / (2 * F.col("m"))).alias("similarity"), "score", "first_word", "words")
 
 
-def leaks(docs: DataFrame, made: list[tuple[list, Index]], *, text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
-    """All columns plus ``leaks``: the test items in each document (empty where there are none)."""
-    parts = [F.array().cast(_LEAK_DDL), *(F.arrow_udf(_finder(ids, index, similarity), _LEAK_DDL)(F.col(text_col)) for ids, index in made)]
-    return docs.withColumn("leaks", F.concat(*parts))
+def without_leaks(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
+    """``docs`` without the documents that leak an item. Only rows that may have to go are shuffled."""
+    reserved(docs)
+    found, _ = _found(docs, benchmark, id_col, text_col, item_col, item_text_col, similarity)
+    gone = written(found.select(F.col("key").alias("__key")).distinct(), "leaking")
+    keyed = docs.withColumn("__key", _key(id_col, text_col))
+    rest = suspects(keyed, gone, "__key").join(gone, "__key", "left_anti")
+    return suspects(keyed, gone, "__key", among=False).unionByName(rest.select(*keyed.columns)).drop("__key")

@@ -11,10 +11,19 @@ from pyspark.sql import DataFrame, SparkSession
 ROWS, BYTES = 1_000, 4 << 20
 
 
+def reserved(df: DataFrame, *more: str) -> None:
+    """Input columns may have any name but those that a result gets and those that start with two underscores."""
+    clash = sorted(c for c in df.columns if c.startswith("__") or c in more)
+    if clash:
+        raise ValueError(f"column names that are used within or by the result: {', '.join(clash)}")
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's spark.checkpoint.dir; a temporary folder only where none is set (tests)."""
+    """The cluster's spark.checkpoint.dir; a temporary folder only where none is set and the master is local (tests)."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
         found = tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")

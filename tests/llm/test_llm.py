@@ -99,29 +99,101 @@ def test_suffix_dedup_edges(edge, empty):
 # ---- op 2 ----------------------------------------------------------------------------
 
 
-def test_decontamination(spark, edge, empty):
+def item_words(text):
+    return re.findall(r"[a-z0-9\x80-\U0010ffff]+", (text or "").translate(str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")))
+
+
+def plain_score(doc, item):
+    """Smith-Waterman, cell by cell."""
+    row, best = [0] * (len(doc) + 1), 0
+    for w in item:
+        new = [0]
+        for j, d in enumerate(doc, 1):
+            new.append(max(0, row[j - 1] + (2 if d == w else -1), row[j] - 1, new[-1] - 1))
+        row, best = new, max(best, *new)
+    return best
+
+
+def plain_leaks(docs, items):
+    """Every document against every item."""
+    out = collections.Counter()
+    for d, text in {(d, t) for d, t in docs}:
+        words = item_words(text)
+        for i, t in items:
+            item = item_words(t)
+            score = plain_score(words, item) if item and len(set(words) & set(item)) * 2 >= min(2, len(set(item))) else 0
+            if item and score >= (1.0 if len(item) < 3 else decontamination.SIMILARITY) * 2 * len(item) - 1e-9:
+                out[d, i, score] += 1
+    return out
+
+
+def edited(words, r, share):
+    """Words replaced, dropped, inserted and swapped with a neighbour."""
+    out = []
+    for w in words:
+        kind = r.random()
+        if kind < share / 4:
+            out.append(r.choice(WORDS))
+        elif kind < share / 2:
+            continue
+        elif kind < 0.75 * share:
+            out += [w, r.choice(WORDS)]
+        elif kind < share and out:
+            out.insert(len(out) - 1, w)
+        else:
+            out.append(w)
+    return out
+
+
+def test_decontamination_against_all_pairs(spark):
+    """Copies, edited copies, insertions, short and long items, repeated words and items, seeds that are everywhere."""
+    r = random.Random(8)
+    items = [(k, prose(900 + k, r.choice([1, 2, 3, 4, 5, 8, 10, 11, 12, 20, 35, 60]))) for k in range(40)]
+    items += [(40, "no no no " + prose(70, 27)), (41, prose(71, 400)), (42, "w1 " * 30), (43, items[9][1]), (44, ""), (45, None), (46, "w1 w2 w1 w2 w1 w2 w3"), (47, prose(72, 30)), (47, prose(73, 25))]
+    docs = []
+    for i in range(160):
+        own = item_words(r.choice(items)[1])
+        body = prose(i, r.randint(0, 120)).split(" ")
+        share = r.choice([0, 0.1, 0.2, 0.3, 0.4, 0.5])
+        docs.append((i, " ".join(body + edited(own, r, share) + prose(5000 + i, r.randint(0, 60)).split(" "))))
+    every_second = " ".join(w if k % 2 else f"{w} extra{k}" for k, w in enumerate(items[47][1].split(" ")))
+    docs += [(200, "no " * 200 + prose(90, 300) + " " + items[40][1].upper().replace("W", "w")), (201, every_second), (202, "w1 " * 700), (203, None), (204, ""), (205, prose(6, 2000) + " " + " ".join(edited(item_words(items[41][1]), r, 0.2)) + " " + prose(7, 50))]
+    docs += [(300 + i, "w1 w2 w3 " + prose(8000 + i, 20) + " w1 w2 w1 w2") for i in range(60)] + [docs[3], docs[3]]
+    want = plain_leaks(docs, items)
+    got = collections.Counter((g["doc_id"], g["item_id"], g["score"]) for g in decontamination.leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect())
+    assert got == want
+    assert {(200, 40), (201, 47), (202, 42), (205, 41)} <= {k[:2] for k in want} and len(want) > 120
+
+
+def test_decontamination_edges(spark, edge, empty):
     items = [(k, prose(900 + k, 12 + 5 * k)) for k in range(6)] + [(6, "two words"), (7, ""), (8, None), (8, prose(900, 12))]
-    bench = spark.createDataFrame(items, "item_id long, text string")
-    edited = items[4][1].split(" ")
-    edited[5] = edited[15] = edited[25] = "changed"
-    docs = [(0, prose(1, 50) + " " + items[2][1].upper().replace("W", "w") + " " + prose(2, 50)), (1, prose(3, 200)), (2, " ".join(edited) + " " + prose(4, 40)), (3, "some two words, here"), (4, None), (5, ""), (6, prose(5, 10) + " " + " ".join(items[5][1].split(" ")[:10]))]
-    df = spark.createDataFrame(docs, "doc_id long, text string")
-    found = decontamination.leaks(df, decontamination.build(df, bench)).select("doc_id", F.explode("leaks").alias("l")).collect()
-    assert {(r["doc_id"], r["l"]["item"]) for r in found} == {(0, 2), (2, 4), (3, 6)}
-    hit = next(r["l"] for r in found if r["doc_id"] == 2)
-    assert 0.75 <= hit["similarity"] < 1 and hit["first_word"] == 0
-    for df in (edge, empty):
-        done = decontamination.leaks(df, decontamination.build(df, bench))
-        assert done.count() == df.count() and done.columns == [*df.columns, "leaks"]
-    assert decontamination.leaks(df, decontamination.build(df, bench.limit(0))).count() == 0
+    bench = spark.createDataFrame(items, "item_id long, text string").withColumn("key", F.lit("x"))
+    docs = edge.union(spark.createDataFrame([(70, "a " + items[3][1], *[None] * (len(edge.columns) - 2)), (71, "Two, words", *[None] * (len(edge.columns) - 2))], edge.schema))
+    assert sorted((r["doc_id"], r["item_id"]) for r in decontamination.leaks(docs, bench).collect()) == [(70, 3), (71, 6)]
+    left = decontamination.without_leaks(docs, bench)
+    assert left.columns == docs.columns
+    assert sorted(map(str, left.collect())) == sorted(map(str, edge.collect()))
+    assert decontamination.leaks(empty, bench).count() == 0 and decontamination.without_leaks(empty, bench).count() == 0
+    assert decontamination.leaks(docs, bench.limit(0)).count() == 0 and decontamination.without_leaks(docs, bench.limit(0)).count() == docs.count()
+    with pytest.raises(ValueError, match="__key"):
+        decontamination.without_leaks(docs.withColumn("__key", F.lit(1)), bench)
+
+
+def test_alignment():
+    import numpy as np
+
+    r = random.Random(3)
+    for _ in range(60):
+        doc, item = ([r.randrange(5) for _ in range(n)] for n in (r.randint(1, 40), r.randint(1, 15)))
+        score, lo, hi = decontamination.align(np.array(doc, np.uint64), np.array(item, np.uint64))
+        assert score == plain_score(doc, item) == plain_score(doc[lo:hi], item)
 
 
 def test_every_copy_of_a_common_item_is_found(spark):
     item = prose(31, 30)
     bench = spark.createDataFrame([(0, item)], "item_id long, text string")
     df = spark.createDataFrame([(i, prose(i, 20) + " " + item) for i in range(200)] + [(i, prose(i, 50)) for i in range(200, 300)], "doc_id long, text string")
-    found = decontamination.leaks(df, decontamination.build(df, bench)).filter(F.size("leaks") > 0)
-    assert {r["doc_id"] for r in found.collect()} == set(range(200))
+    assert {r["doc_id"] for r in decontamination.leaks(df, bench).collect()} == set(range(200))
 
 
 # ---- op 3 ----------------------------------------------------------------------------
