@@ -38,8 +38,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a copy of a benchmark item."""
-    made = decontamination.build(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return decontamination.leaks(docs, made).filter(F.size("leaks") == 0).select(*docs.columns)
+    return decontamination.without_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
