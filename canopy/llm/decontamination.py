@@ -6,7 +6,7 @@ copy's score; items of one or two words have to occur as they are. Which pairs a
 decided by seeds and loses none of these:
 
 * A seed is three words of which each follows the one before at once or with one word between
-  (items under ``LONG`` words: two such words), so that it survives inserted, dropped, replaced
+  (items under :func:`long_from` words: two such words), so that it survives inserted, dropped, replaced
   and swapped words around it. Of m item words, an alignment of that score leaves neighbouring
   matches so close together at no fewer than a count of places that follows from m alone
   (:func:`least_places`): every gap between matches that breaks a seed costs two points.
@@ -21,8 +21,8 @@ decided by seeds and loses none of these:
 
 Null and empty texts, and items without words, match nothing. Repeated items each give their own
 pairs; rows that repeat an id and text count once in :func:`leaks`, and all go in
-:func:`without_leaks`. Extra columns are ignored by the one and kept by the other; their names may
-not start with two underscores. Empty tables give no pairs.
+:func:`without_leaks`. Extra columns, of any name, are ignored by the one and kept by the other.
+Empty tables give no pairs.
 """
 
 from __future__ import annotations
@@ -34,15 +34,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from canopy.llm.stage import long_rows, reserved, written
+from canopy.llm.stage import held, long_rows, quoted, released, written
 from canopy.llm.text import LOWER, NONWORD, Prefix, blocks, mix, spans
 
 #: Share of a perfect copy's score.
 SIMILARITY = 0.6
 #: Share of documents above which a seed isn't rare.
 COMMON = 0.001
-#: Item words from which on seeds have three words.
-LONG = 11
 #: Bits of a bitmap: about so many for each entry, and at most (16 MiB).
 SPARSE, BITS = 16, 1 << 27
 #: Words of a slice that is aligned at once, at least (longer for long items).
@@ -51,6 +49,11 @@ _KIND = (np.uint64(0x8CB92BA72F3D8DD7), np.uint64(0xD1B54A32D192ED03), np.uint64
 _MUL = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9))
 
 
+def long_from(similarity: float = SIMILARITY) -> int:
+    """Item words from which on seeds have three words: those whose alignments surely keep one."""
+    return int(2 / (2 * similarity - 1) + 1e-9) + 1 if similarity > 0.5 else 1 << 62
+
+
 def least_places(words: int, similarity: float = SIMILARITY) -> int:
     """Item places at which any alignment of the wanted score has a seed of the item's kind, at least.
 
@@ -60,7 +63,7 @@ def least_places(words: int, similarity: float = SIMILARITY) -> int:
     """
     if words < 3:
         return 1
-    if words < LONG:
+    if words < long_from(similarity):
         return max(1, int(np.ceil(similarity * words - 1 - 1e-9)))
     return max(1, int(np.ceil((2 * similarity - 1) * words - 2 - 1e-9)))
 
@@ -89,8 +92,8 @@ def _seeds(words: np.ndarray, rows: np.ndarray, kind: int):
         yield (mix(value[same]), np.flatnonzero(same)) if not same.all() else (mix(value), np.arange(n))
 
 
-def _item_kind(m: int) -> int:
-    return 1 if m == 1 else 2 if m < LONG else 3
+def _item_kind(m: int, similarity: float) -> int:
+    return 1 if m == 1 else 2 if m < long_from(similarity) else 3
 
 
 def _itemised(batches):
@@ -105,16 +108,21 @@ def _itemised(batches):
             yield pa.RecordBatch.from_arrays([keys, pa.array(n[full]), pa.array([words[edge[i] : edge[i + 1]].tobytes() for i in full], pa.binary())], ["item", "m", "words"])
 
 
-def _item_seeds(batches):
-    """(item, m, kind, place, seed) of each item."""
-    for b in batches:
-        for item, m, raw in zip(*(c.to_pylist() for c in b.columns), strict=True):
-            words, kind = np.frombuffer(raw, np.uint64), _item_kind(m)
-            found = list(_seeds(words, np.zeros(m, np.int64), kind))
-            if m == 2:
-                found = found[:1]
-            seed, at = (np.concatenate(x) for x in zip(*found, strict=True))
-            yield pa.RecordBatch.from_arrays([pa.array([item] * len(seed), pa.binary()), pa.array(np.full(len(seed), m)), pa.array(np.full(len(seed), kind, np.int32)), pa.array(at), pa.array(seed.view(np.int64))], ["item", "m", "kind", "place", "seed"])
+def _item_seeds(similarity: float):
+    """(item, m, kind, place, seed, least) of each item."""
+
+    def run(batches):
+        for b in batches:
+            for item, m, raw in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                words, kind = np.frombuffer(raw, np.uint64), _item_kind(m, similarity)
+                found = list(_seeds(words, np.zeros(m, np.int64), kind))
+                if m == 2:
+                    found = found[:1]
+                seed, at = (np.concatenate(x) for x in zip(*found, strict=True))
+                n = len(seed)
+                yield pa.RecordBatch.from_arrays([pa.array([item] * n, pa.binary()), pa.array(np.full(n, m)), pa.array(np.full(n, kind, np.int32)), pa.array(at), pa.array(seed.view(np.int64)), pa.array(np.full(n, least_places(m, similarity)))], ["item", "m", "kind", "place", "seed", "least"])
+
+    return run
 
 
 def bitmap(table: DataFrame, column: str):
@@ -304,21 +312,18 @@ def _aligned(similarity: float):
 
 def _key(id_col: str, text_col: str):
     """Identity of a document: its id and text."""
-    return F.unhex(F.md5(F.concat(F.coalesce(F.col(id_col).cast("string"), F.lit("\0")), F.lit("\0"), F.coalesce(F.col(text_col), F.lit(""))).cast("binary")))
+    return F.unhex(F.md5(F.concat(F.coalesce(quoted(id_col).cast("string"), F.lit("\0")), F.lit("\0"), F.coalesce(quoted(text_col), F.lit(""))).cast("binary")))
 
 
 def rare_seeds(docs: DataFrame, items: DataFrame, *, text_col: str, similarity: float, n_docs: int, spark: SparkSession) -> tuple[DataFrame, list[int]]:
     """(seed, item, m, need, places) of the rare seeds of each item, and the kinds of seeds that occur."""
-    seeds = written(items.mapInArrow(_item_seeds, "item binary, m bigint, kind int, place bigint, seed bigint"), "item-seeds", spark)
+    seeds = written(items.mapInArrow(_item_seeds(similarity), "item binary, m bigint, kind int, place bigint, seed bigint, least bigint"), "item-seeds", spark)
     kinds = sorted(r["kind"] for r in seeds.select("kind").distinct().collect())  # three at most
     counted = docs.select(text_col).mapInArrow(_counter(bitmap(seeds, "seed"), kinds), "seed bigint, n bigint").groupBy("seed").agg(F.sum("n").alias("n"))
     counts = written(counted, "seed-counts", spark)
-    m = F.col("m")
-    least = F.when(m < 3, 1).when(m < LONG, F.greatest(F.lit(1), F.ceil(similarity * m - 1 - 1e-9))).otherwise(F.greatest(F.lit(1), F.ceil((2 * similarity - 1) * m - 2 - 1e-9)))
-    places = seeds.join(counts, "seed", "left").groupBy("item", "m", "place").agg(F.max(F.coalesce("n", F.lit(0))).alias("n"))
+    places = seeds.join(counts, "seed", "left").groupBy("item", "place", "least").agg(F.max(F.coalesce("n", F.lit(0))).alias("n"))
     rank = F.row_number().over(Window.partitionBy("item").orderBy(F.col("n").desc(), "place"))
-    common = (F.col("rank") < F.col("least")) & (F.col("n") > max(1.0, COMMON * n_docs))
-    ranked = places.withColumn("least", least.cast("long")).withColumn("rank", rank).withColumn("common", common)
+    ranked = places.withColumn("common", (rank < F.col("least")) & (F.col("n") > max(1.0, COMMON * n_docs)))
     need = F.col("least") - F.sum(F.col("common").cast("long")).over(Window.partitionBy("item"))
     kept = written(ranked.withColumn("need", need).filter("not common").select("item", "place", "need"), "rare-places", spark)
     rare = seeds.join(kept, ["item", "place"]).groupBy("seed", "item").agg(F.first("m").alias("m"), F.first("need").alias("need"), F.collect_set("place").alias("places"))
@@ -348,14 +353,14 @@ def _found(docs: DataFrame, benchmark: DataFrame, id_col: str, text_col: str, it
     return written(best.join(items.select("item", "m"), "item").join(ids, "key"), "leaks", spark), named
 
 
-def suspects(docs: DataFrame, keys: DataFrame, key: str = "key", among: bool = True) -> DataFrame:
+def suspects(docs: DataFrame, keys: DataFrame, among: bool = True) -> DataFrame:
     """Rows of ``docs`` whose binary ``key`` may be in ``keys`` (with ``among`` false: surely isn't), without a shuffle."""
-    bits = bitmap(keys.select(F.xxhash64(key).alias("h")), "h")
+    bits = bitmap(keys.select(F.xxhash64("key").alias("h")), "h")
 
     def may_be(hashes: pa.Array) -> pa.Array:
         return pa.array(_inside(bits.value, hashes.to_numpy(zero_copy_only=False).view(np.uint64)))
 
-    hit = F.arrow_udf(may_be, "boolean")(F.xxhash64(key))
+    hit = F.arrow_udf(may_be, "boolean")(F.xxhash64("key"))
     return docs.filter(hit if among else ~hit)
 
 
@@ -368,9 +373,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
     """``docs`` without the documents that leak an item. Only rows that may have to go are shuffled."""
-    reserved(docs)
     found, _ = _found(docs, benchmark, id_col, text_col, item_col, item_text_col, similarity)
-    gone = written(found.select(F.col("key").alias("__key")).distinct(), "leaking")
-    keyed = docs.withColumn("__key", _key(id_col, text_col))
-    rest = suspects(keyed, gone, "__key").join(gone, "__key", "left_anti")
-    return suspects(keyed, gone, "__key", among=False).unionByName(rest.select(*keyed.columns)).drop("__key")
+    gone = written(found.select("key").distinct(), "leaking")
+    rows = held(docs, key=_key(id_col, text_col))
+    rest = suspects(rows, gone).join(gone, "key", "left_anti").select("row", "key")
+    return released(suspects(rows, gone, among=False).union(rest), docs.columns)

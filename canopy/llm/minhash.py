@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from canopy.llm.components import components
-from canopy.llm.stage import long_rows, written
+from canopy.llm.stage import held, long_rows, quoted, released, written
 from canopy.llm.text import LOWER, Prefix, blocks, mix, ngrams, spans
 
 SHINGLE = 5
@@ -288,8 +288,8 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     """One row per document: id, th (hash of the text), n_shingles, component_id, kept, and component (class number; null for empty sets)."""
     spark = long_rows(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
-    th = F.xxhash64(text_col)
-    signed = docs.select(F.col(id_col).alias("id"), th.alias("th"), F.col(text_col).alias("text")).mapInArrow(_signatures, f"id {kind}, th bigint, n bigint, key binary, sketch binary")
+    th = F.xxhash64(quoted(text_col))
+    signed = docs.select(quoted(id_col).alias("id"), th.alias("th"), quoted(text_col).alias("text")).mapInArrow(_signatures, f"id {kind}, th bigint, n bigint, key binary, sketch binary")
     signed = written(signed, "sketches", spark)
     full = signed.filter("n > 0")
     classes = full.groupBy("key").agg(F.min("id").alias("low"), F.min(F.struct("id", "th")).alias("rep"), F.first("n").alias("size"), F.first("sketch").alias("sketch"))
@@ -302,7 +302,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     stars = stars.groupBy("c").agg(F.max(F.struct("n", (-F.col("head")).alias("h"))).alias("m")).select(F.col("c").alias("a"), (-F.col("m.h")).alias("b"))
     stars = written(stars, "stars", spark)
     wanted = met.select("c").distinct().join(classes.select("c", "rep.id", "rep.th"), "c")
-    texts = docs.select(F.col(id_col).alias("__id"), th.alias("__th"), F.arrow_udf(_zip, "binary")(text_col).alias("z"))
+    texts = docs.select(quoted(id_col).alias("__id"), th.alias("__th"), F.arrow_udf(_zip, "binary")(quoted(text_col)).alias("z"))
     texts = texts.join(wanted, F.col("__id").eqNullSafe(F.col("id")) & (F.col("__th") == F.col("th"))).groupBy("c").agg(F.first("z").alias("z"))
     texts = written(texts, "texts", spark)
 
@@ -344,20 +344,16 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
 
 
 def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", similarity: int = SIMILARITY) -> DataFrame:
-    """``docs`` with one row of each near-duplicate group: the smallest id (of repeated ids, one row). Rows without words all stay."""
-    if {"__i", "__th", "__z", "__once", "__row"} & set(docs.columns):
-        raise ValueError("names that start with two underscores are used within")
+    """``docs`` with one row of each near-duplicate group: the smallest id (of repeated ids, one row). Rows without words all stay, and so do all columns."""
     found = near_duplicates(docs, id_col=id_col, text_col=text_col, similarity=similarity)
-    ident = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("\0"))
-    one = found.filter("kept and component is not null").groupBy("component").agg(F.min(F.struct(id_col, "th")).alias("m")).select(ident(f"m.{id_col}").alias("__i"), F.col("m.th").alias("__th"), F.lit(True).alias("__once"))
-    rest = found.filter("component is null").select(ident(id_col).alias("__i"), F.col("th").alias("__th"), F.lit(False).alias("__once")).distinct()
+    ident = lambda c: F.coalesce(c.cast("string"), F.lit("\0"))
+    one = found.filter("kept and component is not null").groupBy("component").agg(F.min(F.struct(quoted(id_col).alias("id"), "th")).alias("m")).select(ident(F.col("m.id")).alias("i"), "m.th", F.lit(True).alias("once"))
+    rest = found.filter("component is null").select(ident(quoted(id_col)).alias("i"), "th", F.lit(False).alias("once")).distinct()
     chosen = written(one.union(rest), "kept")
-    packed = docs.withColumn("__i", ident(id_col)).withColumn("__th", F.xxhash64(text_col)).withColumn("__z", F.arrow_udf(_zip_null, "binary")(text_col)).drop(text_col)
-    joined = packed.join(chosen, ["__i", "__th"])
-    row = F.row_number().over(Window.partitionBy("__i", "__th").orderBy(F.hash("__z")))
-    single = joined.withColumn("__row", row).filter("not __once or __row = 1")
-    text = F.arrow_udf(_unzip, "string")("__z")
-    return single.withColumn(text_col, text).select(*docs.columns)
+    rows = held(docs, (text_col,), i=ident(quoted(id_col)), th=F.xxhash64(quoted(text_col)), z=F.arrow_udf(_zip_null, "binary")(quoted(text_col)))
+    joined = rows.join(chosen, ["i", "th"])
+    single = joined.withColumn("n", F.row_number().over(Window.partitionBy("i", "th").orderBy(F.hash("z")))).filter("not once or n = 1")
+    return released(single, docs.columns, **{text_col: F.arrow_udf(_unzip, "string")("z")})
 
 
 def _zip_null(text: pa.Array) -> pa.Array:

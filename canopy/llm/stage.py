@@ -5,17 +5,36 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Rows and bytes of an Arrow batch.
 ROWS, BYTES = 1_000, 4 << 20
 
 
-def reserved(df: DataFrame, *more: str) -> None:
-    """Input columns may have any name but those that a result gets and those that start with two underscores."""
-    clash = sorted(c for c in df.columns if c.startswith("__") or c in more)
-    if clash:
-        raise ValueError(f"column names that are used within or by the result: {', '.join(clash)}")
+def quoted(name: str):
+    """The column of just this name, whatever characters it has."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def fresh(docs: DataFrame, name: str) -> str:
+    """``name``, or the first variant of it that isn't a column of ``docs``."""
+    taken = {c.lower() for c in docs.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def held(docs: DataFrame, without: tuple[str, ...] = (), **columns: Column) -> DataFrame:
+    """``row`` (all columns of ``docs`` but ``without``, as one struct) and the named columns, so that no input name meets a working name."""
+    others = [quoted(c).alias(c) for c in docs.columns if c not in without]
+    return docs.select(F.struct(*(others or [F.lit(None).alias("none")])).alias("row"), *(c.alias(n) for n, c in columns.items()))
+
+
+def released(df: DataFrame, columns: list[str], **given: Column) -> DataFrame:
+    """The columns of ``row`` in the order of ``columns``; those ``given`` take the place of an input column of the same name or follow."""
+    own = [given[c].alias(c) if c in given else F.col("row").getField(c).alias(c) for c in columns]
+    return df.select(*own, *(c.alias(n) for n, c in given.items() if n not in columns))
 
 
 def shared_dir(spark: SparkSession) -> str:

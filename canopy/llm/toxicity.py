@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from canopy.llm.stage import long_rows, written
+from canopy.llm.stage import fresh, long_rows, quoted, written
 from canopy.llm.text import LOWER, NONWORD, Prefix, blocks, spans
 
 #: At most so many labelled documents are used to fit (the smallest hashes of their ids).
@@ -202,6 +202,12 @@ def scorer(model: Model):
     return F.arrow_udf(run, _GOT_DDL)
 
 
-def toxicity(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """All columns of ``docs`` plus ``toxicity``: the struct of :func:`scorer`."""
-    return docs.withColumn("toxicity", scorer(model)(F.col(text_col)))
+def toxicity(docs: DataFrame, model: Model, text_col: str = "text", result: str = "toxicity") -> DataFrame:
+    """All columns of ``docs`` plus ``result``: the struct of :func:`scorer`; it takes the place of an input column of its name."""
+    return docs.select(*(quoted(c) for c in docs.columns if c.lower() != result.lower()), scorer(model)(quoted(text_col)).alias(result))
+
+
+def below(docs: DataFrame, model: Model, threshold: float = THRESHOLD, text_col: str = "text") -> DataFrame:
+    """The documents whose score is under the threshold, with the columns of ``docs``."""
+    name = fresh(docs, "toxicity")
+    return toxicity(docs, model, text_col, name).filter(F.col(name)["score"] < threshold).drop(name)
