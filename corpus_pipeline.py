@@ -8,7 +8,6 @@ as Parquet to the shared folder and reads it again for the next.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from canopy.llm import decontamination, line_dedup, minhash, packing
 from canopy.llm import toxicity as tox
@@ -19,21 +18,17 @@ from canopy.llm.stage import written
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose toxicity score is under the threshold."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").filter(~held_out())
-    scored = tox.toxicity(docs, tox.fit(docs, labels))
-    return scored.filter(F.col("toxicity.score") < tox.THRESHOLD).select(*docs.columns)
+    return tox.below(docs, tox.fit(docs, labels))
 
 
 def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without repeated chunks of lines; documents of which nothing is left go."""
-    done = line_dedup.dedup_lines(docs)
-    cut = F.col("lines.n_removed") > 0
-    left = done.filter(~cut | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
-    return left.withColumn("n_chars", F.when(cut, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
+    return line_dedup.remaining(docs, size_col="n_chars")
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group."""
-    return minhash.keep_one(docs)
+    """One document of each near-duplicate group (five words, similarity 0.8)."""
+    return minhash.keep_one(docs, similarity=80)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
