@@ -42,7 +42,9 @@ SIMILARITY = 0.6
 #: Share of documents above which a seed isn't rare.
 COMMON = 0.001
 #: Bits of a bitmap: about so many for each entry, and at most (16 MiB).
-SPARSE, BITS = 16, 1 << 27
+SPARSE, BITS = 64, 1 << 27
+#: Words of documents in a batch of alignments, about.
+TOGETHER = 1 << 15
 #: Words of a slice that is aligned at once, at least (longer for long items).
 SLICE = 512
 _KIND = (np.uint64(0x8CB92BA72F3D8DD7), np.uint64(0xD1B54A32D192ED03), np.uint64(0xABC98388FB8FAC03))
@@ -126,24 +128,32 @@ def _item_seeds(similarity: float):
 
 
 def bitmap(table: DataFrame, column: str):
-    """A broadcast bitmap of a column of hashes: one bit for each value's lowest bits. At most ``BITS`` bits, whatever the table."""
+    """A broadcast bitmap of a column of hashes, two bits for each (a Bloom filter). At most ``BITS`` bits, whatever the table."""
     n = table.count()
     bits = 1 << 15
     while bits < min(BITS, SPARSE * n):
         bits *= 2
-    place = F.pmod(F.col(column), F.lit(bits))
-    parts = table.groupBy(F.floor(place / (1 << 15)).alias("part")).agg(F.bitmap_construct_agg(F.pmod(place, F.lit(1 << 15)).cast("long")).alias("bits")).collect()
+    value = F.explode(F.array(F.col(column), F.shiftright(column, 32))).alias("value")
+    place = F.pmod("value", F.lit(bits))
+    parts = table.select(value).groupBy(F.floor(place / (1 << 15)).alias("part")).agg(F.bitmap_construct_agg(F.pmod(place, F.lit(1 << 15)).cast("long")).alias("bits")).collect()
     whole = np.zeros(bits // 8, np.uint8)
     for r in parts:
         whole[r["part"] * 4096 : (r["part"] + 1) * 4096] = np.frombuffer(r["bits"], np.uint8)
     return table.sparkSession.sparkContext.broadcast(whole)
 
 
-def _inside(whole: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+def _set(whole: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     at = hashes & np.uint64(8 * len(whole) - 1)
     return (whole[(at >> np.uint64(3)).view(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 > 0
 
 
+def _inside(whole: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    hit = _set(whole, hashes)
+    got = np.flatnonzero(hit)
+    hit[got] = _set(whole, (hashes[got].view(np.int64) >> 32).view(np.uint64))
+    return hit
+
+
 def _hits(whole, kinds, data, offsets):
     """Row, seed and first word (within the row) of seeds in the bitmap, and every row's first word."""
     words, rows = _words(data, offsets)
@@ -294,15 +304,40 @@ def align(doc: np.ndarray, item: np.ndarray) -> tuple[int, int, int]:
     return score, end - length, end
 
 
+def best_scores(docs: list[np.ndarray], items: list[np.ndarray]) -> np.ndarray:
+    """Best local scores of many pairs, word by word of all items at once; what is padded matches nothing."""
+    width, height = max(map(len, docs)), max(map(len, items))
+    doc, item = np.zeros((width, len(docs)), np.uint64), np.ones((height, len(docs)), np.uint64)
+    for k, (d, i) in enumerate(zip(docs, items, strict=True)):
+        doc[: len(d), k], item[: len(i), k] = d, i
+    kind = np.int16 if 2 * height + width < 30_000 else np.int32
+    index = np.arange(width + 1, dtype=kind)[:, None]
+    row, best = np.zeros((width + 1, len(docs)), kind), np.zeros(len(docs), kind)
+    for words in item:
+        new = np.maximum(row - 1, 0)
+        np.maximum(new[1:], row[:-1] + np.where(doc == words, kind(2), kind(-1)), out=new[1:])
+        new += index
+        row = np.maximum.accumulate(new, 0, out=new) - index
+        np.maximum(best, row.max(0), out=best)
+    return best
+
+
 def _aligned(similarity: float):
     def run(batches):
         for b in batches:
             out = [[] for _ in range(5)]
-            for key, item, first, part, m, raw in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                words, doc = np.frombuffer(raw, np.uint64), np.frombuffer(part, np.uint64)
-                score, lo, hi = align(doc, words)
-                if score >= (1.0 if m < 3 else similarity) * 2 * m - 1e-9:
-                    for column, v in zip(out, (key, item, score, first + lo, hi - lo), strict=True):
+            keys, names, firsts, parts, lengths, raws = (c.to_pylist() for c in b.columns)
+            docs, items = ([np.frombuffer(x, np.uint64) for x in column] for column in (parts, raws))
+            order = sorted((i for i in range(len(docs)) if len(docs[i])), key=lambda i: (len(items[i]), len(docs[i])))
+            while order:
+                n = 1
+                while n < len(order) and (n + 1) * max(len(docs[order[n]]), len(docs[order[0]])) <= TOGETHER and len(items[order[n]]) <= 1.25 * len(items[order[0]]):
+                    n += 1
+                now, order = order[:n], order[n:]
+                best = best_scores([docs[i] for i in now], [items[i] for i in now])
+                for i in (i for i, s in zip(now, best.tolist(), strict=True) if s >= (1.0 if lengths[i] < 3 else similarity) * 2 * lengths[i] - 1e-9):
+                    score, lo, hi = align(docs[i], items[i])
+                    for column, v in zip(out, (keys[i], names[i], score, firsts[i] + lo, hi - lo), strict=True):
                         column.append(v)
             kinds = (pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], ["key", "item", "score", "first_word", "words"])

@@ -185,6 +185,9 @@ def test_alignment():
         doc, item = ([r.randrange(5) for _ in range(n)] for n in (r.randint(1, 40), r.randint(1, 15)))
         score, lo, hi = decontamination.align(np.array(doc, np.uint64), np.array(item, np.uint64))
         assert score == plain_score(doc, item) == plain_score(doc[lo:hi], item)
+    pairs = [([r.randrange(2, 7) for _ in range(r.randint(1, 40))], [r.randrange(2, 7) for _ in range(r.randint(1, 15))]) for _ in range(50)]
+    together = decontamination.best_scores([np.array(d, np.uint64) for d, _ in pairs], [np.array(i, np.uint64) for _, i in pairs])
+    assert together.tolist() == [plain_score(d, i) for d, i in pairs]
 
 
 def test_every_copy_of_a_common_item_is_found(spark):
