@@ -460,6 +460,50 @@ def test_quality_rejects_repeated_lines(spark):
         assert not r["base_failed"] and r["kept"] == (r["doc_id"] < 1000), r
 
 
+def plain_mcd(x, r, starts=60):
+    """Smallest determinant over many random starts, with exact subsets."""
+    import numpy as np
+
+    floor, h, best = np.diag(np.square(quality.FLOOR)), int(np.ceil(quality.SUBSET * len(x))), None
+    for _ in range(starts):
+        own = x[r.choice(len(x), 8, replace=False)]
+        for _ in range(50):
+            mean, scatter = own.mean(0), np.cov(own.T, bias=True) + floor
+            away = np.einsum("ij,jk,ik->i", x - mean, np.linalg.inv(scatter), x - mean)
+            own = x[np.argsort(away, kind="stable")[:h]]
+        det = np.linalg.slogdet(np.cov(own.T, bias=True) + floor)[1]
+        if best is None or det < best[0]:
+            best = det, own.mean(0), np.cov(own.T, bias=True) + floor
+    return best
+
+
+def test_quality_against_plain_mcd(spark):
+    """Two groups with a quarter of odd documents in a clump: the determinant is as small as by many exact starts, and the same documents go."""
+    import numpy as np
+
+    r = np.random.default_rng(4)
+    rows = []
+    for i in range(1200):
+        n = int(r.integers(60, 400))
+        odd = i % 4 == 0
+        rows.append((i, "a" if i % 3 else "b", (n, int(n * (r.normal(5.0, 0.25) + odd * 1.4)), int(n * (0.01 * r.random() + odd * 0.3)), int(n * 0.04 * odd), int(0.1 * n * r.random() * (r.random() < 0.2)))))
+    stats = spark.createDataFrame(rows, "doc_id long, lang string, stats struct<n_words:bigint,word_chars:bigint,n_symbols:bigint,n_dup_lines:bigint,n_repeat_words:bigint>").cache()
+    made = quality.fit(stats, ["lang"])
+    found = {k["g"]: k for k in made.collect()}
+    judged = quality.judge(stats, made, ["lang"]).withColumn("x", F.array(*quality.features())).withColumn("g", F.xxhash64(F.coalesce("lang", F.lit("\0")))).collect()
+    assert len(found) == 2
+    for g, e in found.items():
+        own = [k for k in judged if k["g"] == g]
+        x = np.array([k["x"] for k in own])
+        det, mean, scatter = plain_mcd(x, r)
+        assert e["det"] <= det + 0.05
+        away = np.einsum("ij,jk,ik->i", x - mean, np.linalg.inv(scatter), x - mean)
+        cut = quality.CHI2_CUT * max(1.0, np.median(away) / quality.CHI2_MEDIAN)
+        clear = np.abs(np.log(away / cut)) > 0.1
+        assert [bool(k["kept"]) for k, c in zip(own, clear) if c] == (away[clear] <= cut).tolist()
+        assert all(k["kept"] == (k["doc_id"] % 4 > 0) for k in own)
+
+
 # ---- op 8 ----------------------------------------------------------------------------
 
 
