@@ -15,7 +15,10 @@ To keep groups of copies from pairing with each other:
 * first every class is confirmed against one representative, the smallest class of the
   band it shares most often; the links found so far give components;
 * only bands that still hold two components are looked at pairwise, in blocks of bounded
-  size. A first look marks members that have a likely partner in another component; a
+  size; of bands with over ``HOT`` members, only those pairs that share a shingle of both
+  prefixes: sets of s shingles as similar as wanted share one of the s - ceil(similarity * s) + 1
+  that are rarest among all members of such bands, so what everyone shares brings nobody
+  together, and no pair is lost. A first look marks members that have a likely partner in another component; a
   second look, at these alone and with their texts, confirms pairs on full sets and leaves
   out those that links of the same block have joined meanwhile. A block gives at most as
   many links as it has members, and a pair is looked at in the first band it shares only.
@@ -51,8 +54,8 @@ MANTISSA = 10
 SLACK = 5
 #: Shingles from which on nearly all registers have values of their own, so that they scatter no more than as many draws.
 WHOLE = 2 * REGISTERS
-#: Members of a block of a band, about.
-BLOCK = 512
+#: Members of a block of a band, about, and of a band from which on shingle prefixes decide who meets.
+BLOCK, HOT = 512, 2_048
 
 
 def shingles(data: np.ndarray, offsets: np.ndarray, size: int = SHINGLE):
@@ -177,8 +180,8 @@ def _confirmed(similarity: int):
     return run
 
 
-def _likely(group, band, own, diagonal, c, comp, size, sketch, similarity: int):
-    """Pairs of rows of one group and different components that may be similar, each in the first band it shares.
+def _likely(group, band, own, diagonal, c, comp, size, sketch, similarity: int, banded: bool):
+    """Pairs of rows of one group and different components that may be similar; if groups are of bands, each in the first band it shares.
 
     Sizes bound the similarity of any pair; sketches are asked for pairs of large sets only. Groups of two parts hold pairs across them; pairs within a part belong to the group of that part alone.
     """
@@ -196,7 +199,10 @@ def _likely(group, band, own, diagonal, c, comp, size, sketch, similarity: int):
             equal = sketch[p] == sketch[q]
             near = (np.minimum(size[p], size[q]) < WHOLE) | (estimate(equal.sum(1)) >= lowest)
             p, q, equal = p[near], q[near], equal[near]
-            if len(p):
+            if len(p) and not banded:
+                left.append(p)
+                right.append(q)
+            elif len(p):
                 first = equal.reshape(len(p), BANDS, ROWS).all(2).argmax(1)
                 here = band_codes(sketch[p])[np.arange(len(p)), first] == band[p]
                 left.append(p[here])
@@ -229,11 +235,11 @@ def _numbers(t: pa.Table):
     return [t.column(k).to_numpy() for k in _MEMBER]
 
 
-def _marked(similarity: int):
+def _marked(similarity: int, banded: bool):
     def run(batches):
         for t in _groups(batches):
             columns = _numbers(t)
-            p, q = _likely(*columns, _sketches(t.column("sketch").combine_chunks()), similarity)
+            p, q = _likely(*columns, _sketches(t.column("sketch").combine_chunks()), similarity, banded)
             rows = np.unique(np.concatenate([p, q]))
             if len(rows):
                 yield pa.RecordBatch.from_arrays([pa.array(x[rows]) for x in columns], list(_MEMBER))
@@ -241,12 +247,12 @@ def _marked(similarity: int):
     return run
 
 
-def _linked(similarity: int):
+def _linked(similarity: int, banded: bool):
     def run(batches):
         for t in _groups(batches):
             columns = _numbers(t)
             sketch = _sketches(t.column("sketch").combine_chunks())
-            p, q = _likely(*columns, sketch, similarity)
+            p, q = _likely(*columns, sketch, similarity, banded)
             if not len(p):
                 continue
             order = np.argsort(-np.array((sketch[p] == sketch[q]).sum(1)), kind="stable")
@@ -280,6 +286,38 @@ def _linked(similarity: int):
     return run
 
 
+def _tokens(batches):
+    """Every shingle of each class."""
+    for b in batches:
+        for lo in range(0, len(b), 64):
+            part = b.slice(lo, 64)
+            sets = _sets(part.column(1).to_pylist())
+            own = np.repeat(part.column(0).to_numpy(), [len(x) for x in sets])
+            yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(np.concatenate([np.zeros(0, np.uint64), *sets]).view(np.int64))], ["c", "token"])
+
+
+def _dealt(members: DataFrame) -> DataFrame:
+    """``members`` (group, n, c, component, ...) over the blocks of their group, each pair of blocks once."""
+    sized = members.withColumn("parts", F.ceil(F.col("n") / BLOCK).cast("int"))
+    own = F.pmod(F.xxhash64("c"), F.col("parts")).cast("int")
+    parts = F.explode(F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda k: F.struct(F.xxhash64("band", F.least(k, own), F.greatest(k, own)).alias("group"), (k == own).alias("diagonal"))))
+    return sized.select("c", "component", "band", own.alias("own"), parts.alias("g")).select("c", "component", "band", "own", "g.group", "g.diagonal")
+
+
+def prefix_members(hot: DataFrame, texts: DataFrame, classes: DataFrame, similarity: int) -> DataFrame:
+    """Members of hot bands by the shingles of their prefixes that two components share: band (the shingle), c, component, n."""
+    each = hot.select("c", "component").distinct()
+    tokens = written(each.select("c").join(texts, "c").select("c", "z").mapInArrow(_tokens, "c bigint, token bigint"), "hot-shingles")
+    counts = written(tokens.groupBy("token").agg(F.count("*").alias("n")), "hot-counts")
+    rank = F.row_number().over(Window.partitionBy("c").orderBy("n", "token"))
+    short = F.col("size") - F.ceil(F.lit(similarity) * F.col("size") / 100) + 1
+    prefix = tokens.join(counts.filter("n > 1"), "token", "left").withColumn("n", F.coalesce("n", F.lit(1))).withColumn("rank", rank)
+    prefix = prefix.join(classes.select("c", "size"), "c").filter((F.col("rank") <= short) & (F.col("n") > 1))
+    prefix = written(prefix.join(each, "c").select(F.col("token").alias("band"), "c", "component"), "prefixes")
+    shared = prefix.groupBy("band").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("n")).filter("lo < hi")
+    return written(prefix.join(written(shared.select("band", "n"), "shared-prefixes"), "band"), "prefix-members")
+
+
 def _zip(text: pa.Array) -> pa.Array:
     return pa.array([zlib.compress(t or b"", 1) for t in text.cast(pa.binary()).to_pylist()], pa.binary())
 
@@ -318,19 +356,22 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     member = written(met.join(joined.withColumnRenamed("node", "c"), "c", "left").select("band", "c", "n", F.coalesce("component", "c").alias("component")), "members", spark)
     mixed = member.groupBy("band").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("band")
     mixed = written(mixed, "mixed", spark)
-    open_ = member.join(mixed, "band").withColumn("parts", F.ceil(F.col("n") / BLOCK).cast("int"))
-    own = F.pmod(F.xxhash64("c"), F.col("parts")).cast("int")
-    met_parts = F.explode(F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda k: F.struct(F.xxhash64("band", F.least(k, own), F.greatest(k, own)).alias("group"), (k == own).alias("diagonal"))))
-    dealt = open_.select("c", "component", "band", own.alias("own"), met_parts.alias("g")).select("c", "component", "band", "own", "g.group", "g.diagonal")
+    open_ = written(member.join(mixed, "band"), "open", spark)
     kind = "group bigint, band bigint, own int, diagonal boolean, c bigint, component bigint, size bigint"
 
     def in_groups(rows: DataFrame, *more: str) -> DataFrame:
         return rows.repartition("group").sortWithinPartitions("group", "c").select(*_MEMBER, *more)
 
-    marked = in_groups(dealt.join(classes.select("c", "size", "sketch"), "c"), "sketch").mapInArrow(_marked(similarity), kind)
-    marked = written(marked, "marked", spark)
-    second = in_groups(marked.join(classes.select("c", "sketch"), "c").join(texts, "c"), "sketch", "z").mapInArrow(_linked(similarity), "a bigint, b bigint")
-    second = written(second, "pairs", spark)
+    def linked(members: DataFrame, banded: bool) -> DataFrame:
+        marked = in_groups(_dealt(members).join(classes.select("c", "size", "sketch"), "c"), "sketch").mapInArrow(_marked(similarity, banded), kind)
+        marked = written(marked, "marked", spark)
+        second = in_groups(marked.join(classes.select("c", "sketch"), "c").join(texts, "c"), "sketch", "z").mapInArrow(_linked(similarity, banded), "a bigint, b bigint")
+        return written(second, "pairs", spark)
+
+    second = linked(open_.filter(F.col("n") <= HOT), True)
+    hot = open_.filter(F.col("n") > HOT)
+    if not hot.isEmpty():
+        second = second.union(linked(prefix_members(hot, texts, classes, similarity), False))
     whole = components(links.union(second))
     named = classes.select("c", "key", "low").join(whole.withColumnRenamed("node", "c"), "c", "left").withColumn("component", F.coalesce("component", "c"))
     named = written(named.select("key", "component", "low"), "named", spark)

@@ -297,9 +297,25 @@ def test_minhash_components(spark, edge, empty):
     assert minhash.near_duplicates(empty).count() == 0
 
 
-def test_minhash_blocks(spark, monkeypatch):
-    """A large family of near copies over many small blocks."""
+def test_hot_bands_bring_together_only_what_shares_a_prefix(spark, monkeypatch):
+    """Texts that share four fifths of their words meet in bands; with none alike, no shingle of a prefix is shared, and what is alike is found."""
+    monkeypatch.setattr(minhash, "HOT", 16)
+    base = prose(5, 240)
+    texts = [base + " " + prose(50_000 + i, 60) for i in range(400)]
+    texts += [texts[k].rsplit(" ", 2)[0] + " x y" for k in range(0, 400, 40)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    looked = []
+    monkeypatch.setattr(minhash, "prefix_members", lambda *a, f=minhash.prefix_members: looked.append(f(*a)) or looked[0])
+    got = collections.Counter((r["doc_id"], r["n_shingles"], r["component_id"], r["kept"]) for r in minhash.near_duplicates(docs).collect())
+    assert got == plain_components(list(enumerate(texts)))
+    assert len(looked) == 1 and looked[0].count() < 20 * len(texts)
+
+
+@pytest.mark.parametrize("hot", [2_048, 12])
+def test_minhash_blocks(spark, monkeypatch, hot):
+    """A large family of near copies over many small blocks, and by prefixes."""
     monkeypatch.setattr(minhash, "BLOCK", 8)
+    monkeypatch.setattr(minhash, "HOT", hot)
     r = random.Random(2)
     base = prose(5, 120).split(" ")
     texts = []
