@@ -49,27 +49,47 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def long_rows(spark: SparkSession) -> SparkSession:
-    """Arrow batches for rows that hold whole texts: few rows and a few MB each, so that workers stay small."""
+    """Arrow batches for rows that hold whole texts: few rows and a few MB each, so that workers stay small.
+
+    Plans are lazy, so the limits stay set for the session.
+    """
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ROWS)
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BYTES)
     return spark
 
 
 _made: list[str] = []
+_tables: list[str] = []
+
+
+def made(path: str) -> str:
+    """Note a folder of this process in the shared folder for :func:`clean`."""
+    _made.append(path)
+    return path
 
 
 def clean(spark: SparkSession) -> None:
-    """Delete the tables that this process has written, once no result that reads them is wanted any more."""
+    """Delete the tables and folders that this process has written, once no result that reads them is wanted any more."""
     conf = spark.sparkContext._jsc.hadoopConfiguration()
+    while _tables:
+        spark.sql(f"DROP TABLE IF EXISTS {_tables.pop()}")
     while _made:
         path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_made.pop())
         path.getFileSystem(conf).delete(path, True)
 
 
+def bucketed(df: DataFrame, key: str, name: str, spark: SparkSession) -> DataFrame:
+    """``df`` as a table in the shared folder, bucketed by ``key`` into as many parts as a shuffle has."""
+    name = f"{name}_{uuid.uuid4().hex}"
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    df.write.bucketBy(parts, key).option("path", made(f"{shared_dir(spark)}/{name}")).format("parquet").saveAsTable(name)
+    _tables.append(name)
+    return spark.table(name)
+
+
 def written(df: DataFrame, name: str, spark: SparkSession | None = None) -> DataFrame:
     """``df`` written once as Parquet to the shared folder and read again: cuts lineage, survives lost executors."""
     spark = spark or df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = made(f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}")
     df.write.parquet(path)
-    _made.append(path)
     return spark.read.schema(df.schema).parquet(path)

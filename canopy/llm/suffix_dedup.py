@@ -28,21 +28,20 @@ text of ``LENGTH`` bytes or more goes if it occurs twice). An empty table gives
 from __future__ import annotations
 
 import hashlib
-import uuid
 import zlib
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from canopy.llm.stage import long_rows, shared_dir, written
+from canopy.llm.stage import bucketed, long_rows, quoted, written
 from canopy.llm.text import Prefix
 
 LENGTH, GRAM = 400, 32
 #: Different fragments of one anchor (or core) that one task orders, and of one batch of anchors.
-FRAGMENTS, BATCH = 50_000, 16_000
+FRAGMENTS, BATCH = 4_000, 16_000
 #: Bytes of a text that are hashed at once.
 SLICE = 4 << 20
 
@@ -268,21 +267,13 @@ def _zip(text: pa.Array) -> pa.Array:
     return pa.array([zlib.compress(t or b"", 1) for t in text.cast(pa.binary()).to_pylist()], pa.binary())
 
 
-def _bucketed(df: DataFrame, key: str, spark: SparkSession) -> DataFrame:
-    """``df`` as a table in the shared folder, bucketed by ``key`` into as many parts as a shuffle has."""
-    name = f"texts_{uuid.uuid4().hex}"
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    df.write.bucketBy(parts, key).option("path", f"{shared_dir(spark)}/{name}").format("parquet").saveAsTable(name)
-    return spark.table(name)
-
-
 def suffix_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", limit: int = FRAGMENTS) -> DataFrame:
     """One row per document: id, n_bytes, n_removed, n_spans, kept_sha256 and removed (byte ranges a to b)."""
     spark = long_rows(docs.sparkSession)
-    text = F.coalesce(F.col(text_col), F.lit(""))
+    text = F.coalesce(quoted(text_col), F.lit(""))
     key = F.unhex(F.md5(text.cast("binary")))
     zipped = docs.select(key.alias("key"), F.arrow_udf(_zip, "binary")(text).alias("z"))
-    texts = _bucketed(zipped.groupBy("key").agg(F.first("z").alias("z"), F.count("*").alias("copies")), "key", spark)
+    texts = bucketed(zipped.groupBy("key").agg(F.first("z").alias("z"), F.count("*").alias("copies")), "key", "texts", spark)
     runs = written(texts.select("key", "z").mapInArrow(_runs, "key binary, anchor bigint, at bigint, lo bigint, hi bigint"), "anchors", spark)
     again = written(runs.groupBy("anchor").agg(F.count("*").alias("n")).filter("n > 1").select("anchor"), "repeated-anchors", spark)
     mark = F.collect_list(F.struct("anchor", "at", "lo", "hi")).alias("marks")
@@ -311,4 +302,4 @@ def suffix_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     done = texts.select("key", "z", "copies").join(spans.hint("merge"), "key", "left").select("key", "z", "copies", "spans")
     kind = "key binary, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, removed array<struct<a:bigint,b:bigint>>"
     done = written(done.mapInArrow(_result, kind), "removed", spark)
-    return docs.select(F.col(id_col), key.alias("__key")).join(done.withColumnRenamed("key", "__key"), "__key").drop("__key")
+    return docs.select(quoted(id_col).alias("id"), key.alias("key")).join(done, "key").withColumnRenamed("id", id_col).drop("key")
