@@ -15,7 +15,9 @@ that the records of a payload never part and a file fits the memory of a task th
 Of records with equal payloads of ``min_revisit`` bytes or more, those with the largest
 id are responses and the others revisit it; rows that repeat that id and payload are all
 responses. Null payloads are empty. A null id is written without an id field and read
-back as null.
+back as null. Ids are carried in a field of their own (WARC-Source-ID); a revisit names the
+response by WARC-Refers-To as well, and the payload's length is the HTTP header's. A file is
+read as one value, so foreign archives have to be under 2 GB each.
 """
 
 from __future__ import annotations
@@ -29,14 +31,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from canopy.llm.stage import long_rows, shared_dir, written
+from canopy.llm.stage import long_rows, made, quoted, shared_dir, written
 
 MIN_REVISIT = 1_000
 #: Bytes of payload in one record; what is over goes on in continuation records.
 SEGMENT = 8 << 20
 #: Payloads in one file at most, and bytes after which it is closed (a larger payload has a file to itself).
 FILE_RECORDS, FILE_BYTES = 4_000, 32 << 20
-_HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
+_HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n"
 _END = b"\r\n\r\n"
 READ_SCHEMA = "record_id string, id bigint, url string, record_type string, refers_to bigint, payload_bytes bigint, payload_digest string, digest_ok boolean, payload binary"
 
@@ -51,20 +53,24 @@ def _member(fields: list[tuple[str, str]], block: bytes) -> bytes:
     return z.compress(head.encode() + block + _END) + z.flush()
 
 
+def _record_id(id_, sha1: bytes) -> str:
+    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{id_}|{sha1.hex()}')}>"
+
+
 def _members(id_, url, payload: bytes, sha1: bytes, refers_to):
-    record_id = f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{id_}|{sha1.hex()}')}>"
+    record_id, http = _record_id(id_, sha1), _HTTP % len(payload)
     shared = [("WARC-Record-ID", record_id), ("WARC-Date", "1970-01-01T00:00:00Z")]
     if id_ is not None:
         shared.append(("WARC-Source-ID", str(id_)))
     if url is not None:
         shared.append(("WARC-Target-URI", url.replace("\r", "%0D").replace("\n", "%0A")))
-    shared += [("WARC-Payload-Digest", "sha1:" + base64.b32encode(sha1).decode()), ("WARC-Payload-Length", str(len(payload)))]
+    shared += [("WARC-Payload-Digest", "sha1:" + base64.b32encode(sha1).decode())]
     if refers_to is not None:
-        yield _member([("WARC-Type", "revisit"), *shared, ("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"), ("WARC-Refers-To-Source-ID", str(refers_to)), ("Content-Type", "application/http;msgtype=response")], _HTTP)
+        yield _member([("WARC-Type", "revisit"), *shared, ("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"), ("WARC-Refers-To", _record_id(refers_to, sha1)), ("WARC-Refers-To-Source-ID", str(refers_to)), ("Content-Type", "application/http;msgtype=response")], http)
         return
     pieces = [payload[i : i + SEGMENT] for i in range(0, len(payload), SEGMENT)] or [b""]
     number = [("WARC-Segment-Number", "1")] if len(pieces) > 1 else []
-    yield _member([("WARC-Type", "response"), *shared, *number, ("Content-Type", "application/http;msgtype=response")], _HTTP + pieces[0])
+    yield _member([("WARC-Type", "response"), *shared, *number, ("Content-Type", "application/http;msgtype=response")], http + pieces[0])
     for k, piece in enumerate(pieces[1:], 2):
         yield _member([("WARC-Type", "continuation"), ("WARC-Record-ID", record_id[:-1] + f"-{k}>"), ("WARC-Date", "1970-01-01T00:00:00Z"), ("WARC-Segment-Origin-ID", record_id), ("WARC-Segment-Number", str(k))], piece)
 
@@ -104,7 +110,8 @@ def write_warc(pages: DataFrame, path: str, *, id_col: str = "page_id", url_col:
             yield closed(out)
 
     long_rows(pages.sparkSession)
-    rows = mark_revisits(pages, id_col, payload_col).select(F.col(id_col).cast("long"), url_col, F.coalesce(F.col(payload_col), F.lit("")).cast("binary"), "__sha1", F.col("__refers_to").cast("long"))
+    named = pages.select(quoted(id_col).alias("id"), quoted(url_col).alias("url"), quoted(payload_col).alias("payload"))
+    rows = mark_revisits(named, "id", "payload").select(F.col("id").cast("long"), "url", F.coalesce("payload", F.lit("")).cast("binary"), "__sha1", F.col("__refers_to").cast("long"))
     made = rows.mapInArrow(members, "member binary").select(F.col("member").cast("string").alias("value"))
     made.write.option("lineSep", "\x00").option("maxRecordsPerFile", 1).text(path)
 
@@ -144,23 +151,25 @@ def parse_archive(data: bytes):
     """Response and revisit records of one archive, with continuations joined, as READ_SCHEMA tuples."""
     held = None
 
-    def done(fields, payload):
+    def done(fields, http, payload):
         digest = fields["WARC-Payload-Digest"]
         revisit = fields["WARC-Type"] == "revisit"
-        ok = revisit or (_digest(payload) == digest and len(payload) == int(fields["WARC-Payload-Length"]))
+        size = next(int(x[15:]) for x in http.split(b"\r\n") if x.lower().startswith(b"content-length:"))
+        ok = revisit or (_digest(payload) == digest and len(payload) == size)
         number = lambda k: int(fields[k]) if k in fields else None
-        return fields["WARC-Record-ID"], number("WARC-Source-ID"), fields.get("WARC-Target-URI"), fields["WARC-Type"], number("WARC-Refers-To-Source-ID"), number("WARC-Payload-Length"), base64.b32decode(digest[5:]).hex(), ok, None if revisit else payload
+        return fields["WARC-Record-ID"], number("WARC-Source-ID"), fields.get("WARC-Target-URI"), fields["WARC-Type"], number("WARC-Refers-To-Source-ID"), size, base64.b32decode(digest[5:]).hex(), ok, None if revisit else payload
 
     for record in _Members(data):
         fields, block = _parsed(record)
         if fields["WARC-Type"] == "continuation":
-            held[1].append(block)
+            held[2].append(block)
             continue
         if held:
-            yield done(held[0], b"".join(held[1]))
-        held = (fields, [block.partition(b"\r\n\r\n")[2]])
+            yield done(*held[:2], b"".join(held[2]))
+        http, _, first = block.partition(b"\r\n\r\n")
+        held = (fields, http, [first])
     if held:
-        yield done(held[0], b"".join(held[1]))
+        yield done(*held[:2], b"".join(held[2]))
 
 
 def read_warc(spark: SparkSession, path: str, payload: bool = True, strict: bool = True) -> DataFrame:
@@ -190,6 +199,6 @@ def read_warc(spark: SparkSession, path: str, payload: bool = True, strict: bool
 def round_trip(pages: DataFrame, **columns) -> DataFrame:
     """Write ``pages`` to the shared folder and read the archives back (without payloads)."""
     spark = pages.sparkSession
-    path = f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
+    path = made(f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}")
     write_warc(pages, path, **columns)
     return read_warc(spark, path, payload=False)
