@@ -19,12 +19,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from canopy.llm.stage import fresh, long_rows, quoted, written
 from canopy.llm.text import LOWER, NONWORD, Prefix, blocks, spans
 
 #: At most so many labelled documents are used to fit (the smallest hashes of their ids).
 FIT_ROWS = 20_000
+#: ... with so many bytes of text in all, and none longer than this: with FIT_ROWS the bound of what the driver trains on.
+FIT_BYTES, FIT_LONGEST = 64 << 20, 1 << 20
 #: Words with a weight.
 VOCABULARY = 2_048
 THRESHOLD = 0.3
@@ -115,22 +118,25 @@ def _bags(words: np.ndarray):
                 cut = np.searchsorted(own, np.arange(n + 1))
                 yield pa.RecordBatch.from_pylist(
                     [{"toxic": toxic[lo + i], "n": int(np.searchsorted(row, i, "right") - first[i]), "size": float(size[i]), "s": (s[cut[i] : cut[i + 1]] - first[i]).tolist(), "w": k[cut[i] : cut[i + 1]].tolist()} for i in range(n)],
-                    schema=pa.schema([("toxic", pa.int32()), ("n", pa.int64()), ("size", pa.float64()), ("s", pa.list_(pa.int64())), ("w", pa.list_(pa.int64()))]),
+                    schema=pa.schema([("toxic", pa.int32()), ("n", pa.int64()), ("size", pa.float64()), ("s", pa.list_(pa.int32())), ("w", pa.list_(pa.int32()))]),
                 )
 
     return run
 
 
 def fit(docs: DataFrame, labels: DataFrame, *, max_rows: int = FIT_ROWS, vocabulary: int = VOCABULARY, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", rounds: int = ROUNDS) -> Model:
-    """Train on at most ``max_rows`` labelled documents (documented bound: a fixed-size sample by hashed id).
+    """Train on at most ``max_rows`` labelled documents and ``FIT_BYTES`` of whole texts (documented bound: a fixed-size sample by hashed id; a null or empty text isn't in it).
 
     ``labels`` may repeat an id (the larger label counts); null ids and labels are left out.
     Without labelled documents, or without a toxic one, the model scores everything 0.
     """
     spark = long_rows(docs.sparkSession)
     marked = labels.select(F.col(id_col).alias("__id"), F.col(label_col).cast("int").alias("toxic")).dropna().groupBy("__id").agg(F.max("toxic").alias("toxic"))
-    chosen = marked.orderBy(F.xxhash64("__id"), "__id").limit(max_rows)
-    sample = written(docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "__id").select("text", "toxic"), "toxicity-fit", spark)
+    sized = docs.select(quoted(id_col).alias("__id"), F.octet_length(quoted(text_col)).alias("size")).join(marked, "__id").filter(F.col("size") <= FIT_LONGEST)
+    sized = written(sized.groupBy("__id").agg(F.sum("size").alias("size"), F.max("toxic").alias("toxic")).orderBy(F.xxhash64("__id"), "__id").limit(max_rows), "toxicity-chosen", spark)
+    upto = F.sum("size").over(Window.orderBy(F.xxhash64("__id"), "__id"))  # as many rows as the sample
+    chosen = sized.withColumn("upto", upto).filter(F.col("upto") <= FIT_BYTES).select("__id", "toxic")
+    sample = written(docs.select(quoted(id_col).alias("__id"), quoted(text_col).alias("text")).filter(F.octet_length("text") <= FIT_LONGEST).join(F.broadcast(chosen), "__id").select("text", "toxic"), "toxicity-fit", spark)
     counts = sample.mapInArrow(_counts, "word bigint, n1 bigint, n0 bigint").groupBy("word").agg(F.sum("n1").alias("n1"), F.sum("n0").alias("n0"))
     totals = {r["toxic"]: r["n"] for r in sample.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     bad, good = totals.get(1, 0), totals.get(0, 0)
@@ -140,7 +146,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, max_rows: int = FIT_ROWS, vocabul
     spread = (share1 - share0) / F.sqrt((F.col("n1") + F.col("n0") + 4) / F.lit(float(bad + good)))
     top = counts.filter("n1 + n0 >= 3").orderBy(F.abs(spread).desc(), "word").limit(vocabulary).toPandas()
     words = np.sort(top["word"].to_numpy().astype(np.int64).view(np.uint64))
-    bags = sample.mapInArrow(_bags(words), "toxic int, n bigint, size double, s array<bigint>, w array<bigint>").toArrow()
+    bags = sample.mapInArrow(_bags(words), "toxic int, n bigint, size double, s array<int>, w array<int>").toArrow()
     return _train(words, bags, rounds)
 
 
