@@ -54,7 +54,7 @@ WITH rest AS (
   SELECT page_id, host, path, arg_max(rule, length(rule)) AS rule, arg_max(rverdict, length(rule)) AS rverdict FROM fits GROUP BY ALL
 )
 SELECT p.page_id, p.host, p.path, b.rule,
-       coalesce(b.rverdict, CASE WHEN regexp_matches(lower(p.host || p.path), '(^|[^a-z0-9])(casino|bets|poker|porn|xxx|viagra|pills)([^a-z0-9]|$)') THEN 'block' ELSE 'allow' END) AS verdict
+       coalesce(b.rverdict, CASE WHEN regexp_matches(lower(p.host || p.path), '(?s)(^|[^a-z0-9])((casino|bets|poker|porn|xxx|viagra|pills)([^a-z0-9]|$)|ads\..*/banner|tracker[^a-z0-9].*[^a-z0-9]pixel([^a-z0-9]|$)|login[^a-z0-9].*[^a-z0-9]verify([^a-z0-9]|$))|/download/.*\.exe([^a-z0-9]|$)') THEN 'block' ELSE 'allow' END) AS verdict
 FROM parts p LEFT JOIN best b ON b.page_id IS NOT DISTINCT FROM p.page_id AND b.host = p.host AND b.path = p.path
 """
 

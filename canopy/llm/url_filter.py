@@ -8,6 +8,7 @@ over the tokens that occur in rules, so the counts are as small as the rule list
 
 from __future__ import annotations
 
+import functools
 import re
 from collections import defaultdict
 from dataclasses import dataclass
@@ -16,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from canopy.llm.stage import held, quoted, released
+
 _UPPER, _SMALL = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _TOKEN = re.compile(r"[a-z0-9]+")
 
@@ -49,6 +52,15 @@ class Rule:
         return list(dict.fromkeys(found))
 
 
+#: Rules of a list that fit into every task with their index.
+MOST_RULES = 500_000
+
+
+@functools.lru_cache(1 << 16)
+def _compiled(regex: str) -> re.Pattern:
+    return re.compile(regex)
+
+
 #: Addresses that the pattern rules reject when no host rule fits.
 PATTERNS = (
     Rule("^casino^", "block", "pattern"),
@@ -58,12 +70,24 @@ PATTERNS = (
     Rule("^xxx^", "block", "pattern"),
     Rule("^viagra^", "block", "pattern"),
     Rule("^pills^", "block", "pattern"),
+    Rule("^ads.*/banner", "block", "pattern"),
+    Rule("^tracker^*^pixel^", "block", "pattern"),
+    Rule("^login^*^verify^", "block", "pattern"),
+    Rule("/download/*.exe^", "block", "pattern"),
 )
 
 
-def url_parts(url) -> tuple[F.Column, F.Column]:
+def read_rules(table: DataFrame) -> list[Rule]:
+    """Rules from a table of text, verdict and kind (host or pattern), in text order; at most ``MOST_RULES``, more is an error. Nulls and repeats go."""
+    rows = table.select("text", "verdict", "kind").dropna().distinct().orderBy("kind", "text", "verdict").limit(MOST_RULES + 1).collect()
+    if len(rows) > MOST_RULES:
+        raise ValueError(f"more than {MOST_RULES} rules")
+    return [Rule(*r) for r in rows]
+
+
+def url_parts(url: str) -> tuple[F.Column, F.Column]:
     """Host (A-Z lower-cased) and path after the first ``://``; both empty without one or for null."""
-    url = F.coalesce(url if not isinstance(url, str) else F.col(url), F.lit(""))
+    url = F.coalesce(quoted(url), F.lit(""))
     at = F.instr(url, "://")
     rest = F.when(at > 0, F.substr(url, at + 3)).otherwise(F.lit(""))
     host = F.translate(F.regexp_extract(rest, r"^[^/?#]*", 0), _UPPER, _SMALL)
@@ -100,7 +124,8 @@ def judge_urls(urls: DataFrame, rules, patterns=PATTERNS, default: str = "allow"
     Host rules come first: the longest that fits decides (ties: the smaller text).
     Otherwise the first pattern rule that matches ``host + path`` (lower-cased) decides,
     else ``default``. Null and malformed URLs have an empty host and path and get the
-    default unless a pattern without literals matches. Repeated rows are judged alike.
+    default unless a pattern without literals matches. Repeated rows are judged alike. Other
+    columns pass; ``judged`` takes the place of an input column of its name.
     """
     rules = list(rules) + list(patterns)
     if counts is None:
@@ -110,7 +135,6 @@ def judge_urls(urls: DataFrame, rules, patterns=PATTERNS, default: str = "allow"
     kind = pa.struct([("rule", pa.string()), ("verdict", pa.string()), ("pattern", pa.string()), ("n_regex", pa.int64())])
 
     def judge(address: pa.Array) -> pa.Array:
-        compiled = [re.compile(x) for x in regexes]
         out = {k: [] for k in ("rule", "verdict", "pattern", "n_regex")}
         for text in address.to_pylist():
             low = text.translate(_FOLD)
@@ -119,9 +143,9 @@ def judge_urls(urls: DataFrame, rules, patterns=PATTERNS, default: str = "allow"
             for i in found:
                 r = rules[i]
                 if r.kind == "host":
-                    if compiled[i].match(text) and (best is None or (-len(r.text), r.text) < (-len(best.text), best.text)):
+                    if _compiled(regexes[i]).match(text) and (best is None or (-len(r.text), r.text) < (-len(best.text), best.text)):
                         best = r
-                elif pattern is None and compiled[i].match(low):
+                elif pattern is None and _compiled(regexes[i]).match(low):
                     pattern = r
             decided = best or pattern
             out["rule"].append(best.text if best else None)
@@ -132,9 +156,8 @@ def judge_urls(urls: DataFrame, rules, patterns=PATTERNS, default: str = "allow"
 
     host, path = url_parts(url_col)
     udf = F.arrow_udf(judge, "struct<rule:string,verdict:string,pattern:string,n_regex:bigint>")
-    got = urls.withColumn("__at", F.struct(host.alias("host"), path.alias("path"))).withColumn("__got", udf(F.concat(F.col("__at.host"), F.col("__at.path"))))
-    made = F.struct(F.col("__at.host"), F.col("__at.path"), F.col("__got.rule"), F.col("__got.verdict"), F.col("__got.pattern"), F.col("__got.n_regex"))
-    return got.withColumn("judged", made).drop("__at", "__got")
+    got = held(urls, at=F.struct(host.alias("host"), path.alias("path"))).withColumn("got", udf(F.concat("at.host", "at.path")))
+    return released(got, urls.columns, judged=F.struct("at.host", "at.path", "got.rule", "got.verdict", "got.pattern", "got.n_regex"))
 
 
 _FOLD = str.maketrans(_UPPER, _SMALL)
