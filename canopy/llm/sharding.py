@@ -2,8 +2,10 @@
 
 Documents with equal texts are linked. Each (group of links, first shard) is a vertex
 with a weight; every round a vertex wants the shard where most of its group already is.
-Moves are admitted under quotas: from shard a to shard b no more documents move than
-move back or than b has room for, strongest wishes first. Then exact positions are
+Moves are admitted under quotas: from shard a to shard b about as many documents move as
+move back or as b has room for, strongest wishes first (a hash decides who of a class of
+wishes goes, so a quota holds on average, and one heavy vertex can overshoot it). The law
+doesn't hang on that: exact positions are then
 handed out along the propagated order, so shard counts differ by one at most, groups
 stay together, and at most ``shards - 1`` groups (beside those larger than a shard) are
 cut by a shard's end.
