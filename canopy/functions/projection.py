@@ -1,7 +1,7 @@
 """Transverse Mercator as column expressions.
 
-Series in the third flattening (Krueger), to the sixth order; about a micrometre within a
-UTM zone and its neighbours. WGS 84 ellipsoid, UTM scale and false easting.
+Series in the third flattening (Krueger), to the fourth order (four terms each); far under a
+millimetre within a UTM zone and its neighbours. WGS 84 ellipsoid, UTM scale and false easting.
 """
 
 from __future__ import annotations
@@ -14,6 +14,8 @@ _N = _F / (2 - _F)
 _RECT = _A / (1 + _N) * (1 + _N**2 / 4 + _N**4 / 64 + _N**6 / 256)
 _K0, _FALSE_E = 0.9996, 500_000.0
 _E = (_F * (2 - _F)) ** 0.5
+#: Metres of a unit of the rectified sphere.
+SCALE = _K0 * _RECT
 #: Series coefficients of the forward and the inverse mapping.
 _ALPHA = (
     _N / 2 - 2 * _N**2 / 3 + 5 * _N**3 / 16 + 41 * _N**4 / 180,
@@ -56,7 +58,7 @@ def _geographic(easting, northing, zone) -> Column:
         lon = F.radians(6.0 * _c(zone) - 183.0) + F.atan2(F.sinh(eta2), F.cos(xi2))
         return F.struct(F.degrees(lon).alias("lon"), F.degrees(_let(lat, chi=F.asin(F.sin(xi2) / F.cosh(eta2)))).alias("lat"))
 
-    return _let(conformal, xi=_c(northing) / (_K0 * _RECT), eta=(_c(easting) - _FALSE_E) / (_K0 * _RECT))
+    return _let(conformal, xi=_c(northing) / SCALE, eta=(_c(easting) - _FALSE_E) / SCALE)
 
 
 def _projected(lon, lat, zone) -> Column:
@@ -69,7 +71,7 @@ def _projected(lon, lat, zone) -> Column:
     def plane(xi, eta):
         xi2 = xi + sum(a * F.sin(2 * (j + 1) * xi) * F.cosh(2 * (j + 1) * eta) for j, a in enumerate(_ALPHA))
         eta2 = eta + sum(a * F.cos(2 * (j + 1) * xi) * F.sinh(2 * (j + 1) * eta) for j, a in enumerate(_ALPHA))
-        return F.struct((_FALSE_E + _K0 * _RECT * eta2).alias("x"), (_K0 * _RECT * xi2).alias("y"))
+        return F.struct((_FALSE_E + SCALE * eta2).alias("x"), (SCALE * xi2).alias("y"))
 
     return _let(rectified, s=F.sin(F.radians(_c(lat))), lam=F.radians(_c(lon)) - F.radians(6.0 * _c(zone) - 183.0))
 

@@ -70,9 +70,15 @@ def mean_scores(df: DataFrame, individual: str, scores: str) -> DataFrame:
     return rows.select(individual, F.transform("s", lambda p: p["v"]).alias(scores))
 
 
-def fingerprint(df: DataFrame) -> DataFrame:
-    """One row that changes with any value of the table, whatever the order of rows; and their number."""
-    h = F.xxhash64(*df.columns)
+def fingerprint(df: DataFrame, portable: bool = False) -> DataFrame:
+    """One row that changes with any value of the table, whatever the order of rows; and their number.
+
+    ``portable``: from MD5 of the values as text, which other engines can repeat (slower; nulls are left out).
+    """
+    if portable:
+        h = F.conv(F.substring(F.md5(F.concat_ws("|", *[F.col(c).cast("string") for c in df.columns]).cast("binary")), 1, 15), 16, 10).cast("long")
+    else:
+        h = F.xxhash64(*df.columns)
     return df.agg(F.count("*").alias("rows"), F.coalesce(F.bit_xor(h), F.lit(0)).alias("xor"), F.coalesce(F.sum(F.pmod(h, F.lit(2**31 - 1))), F.lit(0)).alias("sum"))
 
 

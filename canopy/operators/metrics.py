@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from canopy.functions.arrays import normalise_row, ranked
-from canopy.operators.windows import running_hits
+from canopy.operators.spatial import natural
+from canopy.operators.windows import first_n, running_hits
 
 
 def micro_accuracy(df: DataFrame, truth: str = "label", pred: str = "pred", keys: list[str] | None = None) -> DataFrame:
@@ -93,6 +96,16 @@ def pr_curve(df: DataFrame, score: str, hit: str) -> DataFrame:
     return run.select(F.col(score).alias("threshold"), (F.col("hits") / F.col("rows")).alias("precision"), recall.alias("recall"))
 
 
+def truth_pairs(predictions: DataFrame, truth: DataFrame, individual: str, order: list[str]) -> DataFrame:
+    """Each individual's first prediction beside its truth; individuals without either are left out."""
+    return natural(first_n(predictions, [individual], order), truth)
+
+
+def evaluation_frame(predictions: DataFrame, crowns: DataFrame, *tables: DataFrame) -> DataFrame:
+    """Predictions joined to their crowns and these to dictionary tables (species, sites), each on the columns they share."""
+    return reduce(natural, tables, natural(predictions, crowns))
+
+
 def evaluation(df: DataFrame, site: str, truth: str = "label", pred: str = "pred") -> dict[str, DataFrame]:
-    """All tables of an evaluation."""
+    """All tables of an evaluation, of a frame with truth, prediction and site."""
     return {"micro": micro_accuracy(df, truth, pred), "macro": macro_accuracy(df, truth, pred), "classes": class_table(df, truth, pred), "sites": site_scores(df, site, truth, pred), "confusion": confusion(df, truth, pred)}

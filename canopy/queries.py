@@ -11,9 +11,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from canopy.functions import arrays, tiles
+from canopy.functions import arrays, projection, tiles
 from canopy.functions.geometry import literal_ring
-from canopy.functions.projection import change_zone, to_geographic
 from canopy.operators import abundance, aggregates, clean, hierarchy, metrics, raster, scoring, spatial, split, windows
 from canopy.plans import pipelines
 
@@ -348,13 +347,30 @@ def url_tokens(spark, sf_dir):
     return _t(spark, sf_dir, "pages").select("page_id", path.alias("path")).select("page_id", tiles.base_name("path").alias("base"), tiles.year_from_name("path").cast("bigint").alias("tile_year"), tiles.site_from_name("path").alias("site"), tiles.domain_from_name("path").alias("domain"))
 
 
-@query()
+def _series_sql(terms, angle: str, wave: str, other: str | None = None) -> str:
+    return "(" + " + ".join(f"{c!r}::DOUBLE*{wave[0]}({2 * (j + 1)}*{angle})" + (f"*{wave[1]}({2 * (j + 1)}*{other})" if other else "") for j, c in enumerate(terms)) + ")"
+
+
+_ZONE_SQL = f"""
+WITH b AS (SELECT o_orderkey, 400000 + o_orderkey*7919%5000 AS x, 3280000 + o_orderkey*104729%5000 AS y FROM orders),
+i AS (SELECT o_orderkey, y / {projection.SCALE!r}::DOUBLE AS xi, (x - 500000) / {projection.SCALE!r}::DOUBLE AS eta FROM b),
+j AS (SELECT o_orderkey, xi - {_series_sql(projection._BETA, 'xi', ('sin', 'cosh'), 'eta')} AS xi, eta - {_series_sql(projection._BETA, 'xi', ('cos', 'sinh'), 'eta')} AS eta FROM i),
+k AS (SELECT o_orderkey, asin(sin(xi) / cosh(eta)) AS chi, radians(-75.0::DOUBLE) + atan2(sinh(eta), cos(xi)) AS lon FROM j),
+l AS (SELECT o_orderkey, lon, chi + {_series_sql(projection._DELTA, 'chi', ('sin',))} AS lat FROM k),
+m AS (SELECT *, lon - radians(-81.0::DOUBLE) AS lam, sinh(atanh(sin(lat)) - {projection._E!r}::DOUBLE * atanh({projection._E!r}::DOUBLE * sin(lat))) AS t FROM l),
+n AS (SELECT *, atan2(t, cos(lam)) AS xi, atanh(sin(lam) / sqrt(1 + t * t)) AS eta FROM m)
+SELECT o_orderkey, round(500000 + {projection.SCALE!r}::DOUBLE * (eta + {_series_sql(projection._ALPHA, 'xi', ('cos', 'sinh'), 'eta')}), 2) AS easting,
+  round({projection.SCALE!r}::DOUBLE * (xi + {_series_sql(projection._ALPHA, 'xi', ('sin', 'cosh'), 'eta')}), 2) AS northing, round(degrees(lon), 7) AS lon, round(degrees(lat), 7) AS lat FROM n
+"""
+
+
+@query(_ZONE_SQL)
 def zone_change(spark, sf_dir):
-    """Coordinates from one UTM zone in the next, and in degrees (no SQL: checked against points in the tests)."""
+    """Coordinates from one UTM zone in the next, and in degrees."""
     b = _utm_boxes(spark, sf_dir)
-    x, y = change_zone("xmin", "ymin", 18, 17)
-    lon, lat = to_geographic("xmin", "ymin", F.lit(18))
-    return b.select("o_orderkey", F.round(x, 3).alias("easting"), F.round(y, 3).alias("northing"), F.round(lon, 8).alias("lon"), F.round(lat, 8).alias("lat"))
+    x, y = projection.change_zone("xmin", "ymin", 18, 17)
+    lon, lat = projection.to_geographic("xmin", "ymin", F.lit(18))
+    return b.select("o_orderkey", F.round(x, 2).alias("easting"), F.round(y, 2).alias("northing"), F.round(lon, 7).alias("lon"), F.round(lat, 7).alias("lat"))
 
 
 # ---- raster --------------------------------------------------------------------------
