@@ -14,14 +14,26 @@ from pyspark.sql.types import DoubleType, FloatType, StructType
 from canopy.functions.tiles import base_name, domain_from_name, geo_index_from_name, nan_to_null, site_from_name, year_from_name, year_from_path
 
 
-def staged(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written once to the folder of spark.checkpoint.dir (a temporary one only where none is set) and read again."""
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir; a temporary one only where none is set and the master is local."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
         folder = tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("spark.checkpoint.dir", folder)
-    path = f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return folder.rstrip("/")
+
+
+def new_folder(spark: SparkSession, name: str) -> str:
+    """A name that nothing has yet in the shared folder."""
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def staged(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written once to the shared folder and read again."""
+    spark = df.sparkSession
+    path = new_folder(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -94,6 +106,19 @@ def write_csv(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("header", True).csv(path)
 
 
+def write_named(df: DataFrame, folder: str, name: str) -> None:
+    """A small table as one CSV file of a given name in a folder (through the file system that Spark uses for it)."""
+    spark = df.sparkSession
+    part = new_folder(spark, "part")
+    write_csv(df.coalesce(1), part)
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    fs = path(part).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    fs.mkdirs(path(folder))
+    found = next(f.getPath() for f in fs.listStatus(path(part)) if f.getPath().getName().startswith("part-"))
+    fs.rename(found, path(f"{folder}/{name}"))
+    fs.delete(path(part), True)
+
+
 def write_layer(df: DataFrame, path: str, by: str = "geo_index") -> None:
     """One folder per tile or plot; rows of a tile are brought together first, so files stay few."""
     df.repartition(by).write.mode("overwrite").partitionBy(by).parquet(path)

@@ -6,7 +6,7 @@ import duckdb
 import pandas as pd
 import pytest
 
-from canopy import queries, queries_fields  # noqa: F401
+from canopy import queries, queries_crowns, queries_fields, queries_files  # noqa: F401
 
 
 def rows(frame, columns):
