@@ -54,8 +54,9 @@ MANTISSA = 10
 SLACK = 5
 #: Shingles from which on nearly all registers have values of their own, so that they scatter no more than as many draws.
 WHOLE = 2 * REGISTERS
-#: Members of a block of a band, about, and of a band from which on shingle prefixes decide who meets.
-BLOCK, HOT = 512, 2_048
+#: Members of a block of a band, about, and of a band from which on shingle prefixes decide who meets (below, a member is in 32 pairs of blocks at most,
+#: which is less than it has prefix shingles).
+BLOCK, HOT = 512, 16_384
 
 
 def shingles(data: np.ndarray, offsets: np.ndarray, size: int = SHINGLE):

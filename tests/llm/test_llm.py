@@ -311,7 +311,7 @@ def test_hot_bands_bring_together_only_what_shares_a_prefix(spark, monkeypatch):
     assert len(looked) == 1 and looked[0].count() < 20 * len(texts)
 
 
-@pytest.mark.parametrize("hot", [2_048, 12])
+@pytest.mark.parametrize("hot", [16_384, 12])
 def test_minhash_blocks(spark, monkeypatch, hot):
     """A large family of near copies over many small blocks, and by prefixes."""
     monkeypatch.setattr(minhash, "BLOCK", 8)
