@@ -46,10 +46,9 @@ def not_containing(df: DataFrame, column: str, text: str, keep_null: bool = Fals
 
 def drop_shaded(df: DataFrame, individual: str = "individual", position: str = "canopyPosition", shaded=SHADED, sunlit=SUNLIT) -> DataFrame:
     """individuals with a shaded record stay only if some record is sunlit. Null ids stay."""
-    w = Window.partitionBy(individual)
-    any_of = lambda values: F.coalesce(F.bool_or(F.col(position).isin(list(values))).over(w), F.lit(False))
-    marked = df.withColumn("__shaded", any_of(shaded)).withColumn("__sunlit", any_of(sunlit))
-    return marked.filter(F.col(individual).isNull() | ~F.col("__shaded") | F.col("__sunlit")).drop("__shaded", "__sunlit")
+    any_of = lambda values: F.coalesce(F.bool_or(F.col(position).isin(list(values))), F.lit(False))
+    seen = df.groupBy(individual).agg(any_of(shaded).alias("__shaded"), any_of(sunlit).alias("__sunlit"))
+    return df.join(seen.filter("__shaded and not __sunlit").select(individual), individual, "left_anti")
 
 
 def min_height(df: DataFrame, height: str = "height", least: float = 3.0) -> DataFrame:

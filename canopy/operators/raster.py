@@ -6,8 +6,11 @@ by tile and grid bucket, never by a raw range join.
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StructType
 
 from canopy.functions.arrays import drop_water, fill_missing, flip, min_max, pick_bands, resize, trim
 from canopy.functions.draws import hash_order
@@ -43,20 +46,37 @@ def point_values(cells: DataFrame, points: DataFrame, *, left: str = "left", top
     return keyed.join(own, [*on, "__row", "__col"], "left").drop("__row", "__col")
 
 
+#: Windows that start in one block of so many rows and columns are cut out together.
+WINDOW_BLOCK = 64
+
+
 def neighbourhood(cells: DataFrame, keys: list[str], *, width: int = 11, height: int = 11, row: str = "row", col: str = "col", value: str = "value") -> DataFrame:
-    """For every cell the window that starts at it, row by row, as an array; cells outside are 0.
+    """For every cell the window that starts at it, row by row, as an array; cells outside are 0. One cell a place.
 
-    Offsets are laid out by an explode of the cells that exist, one shuffle on the window's
-    start, so no cell is joined with a raster of nothing.
+    Cells go to the block of windows that start around them, and those near a block's top or
+    left also to the blocks before it (a halo), so a cell moves four times at most for any
+    window of up to a block's size. A block is one small dense array, whatever the tile's size.
     """
-    shift = F.explode(F.expr(f"flatten(transform(sequence(0, {height - 1}), r -> transform(sequence(0, {width - 1}), c -> struct(r AS dr, c AS dc))))"))
-    sent = cells.select(*keys, (F.col(row)).alias("__r"), F.col(col).alias("__c"), F.col(value).alias("__v"), shift.alias("__s"))
-    sent = sent.select(*keys, (F.col("__r") - F.col("__s.dr")).alias(row), (F.col("__c") - F.col("__s.dc")).alias(col), (F.col("__s.dr") * width + F.col("__s.dc")).alias("__k"), "__v")
-    known = cells.select(*keys, row, col).distinct()
-    got = sent.join(known, [*keys, row, col], "left_semi").groupBy(*keys, row, col).agg(F.map_from_entries(F.collect_list(F.struct("__k", "__v"))).alias("__m"))
-    zero = F.lit(0).cast(cells.schema[value].dataType)
-    window = F.transform(F.sequence(F.lit(0), F.lit(width * height - 1)), lambda k: F.coalesce(F.try_element_at("__m", k), zero))
-    return got.select(*keys, row, col, window.alias("window"))
+    side = max(WINDOW_BLOCK, width, height)
+    kind = cells.schema[value].dataType
+    spread = lambda c, n: F.sequence(F.floor((F.col(c) - (n - 1)) / side), F.floor(F.col(c) / side))
+    sent = cells.select(*keys, F.col(row).cast("long").alias("__r"), F.col(col).cast("long").alias("__c"), F.col(value).alias("__v"))
+    sent = sent.withColumn("__br", F.explode(spread("__r", height))).withColumn("__bc", F.explode(spread("__c", width)))
+
+    def cut(t: pa.Table) -> pa.Table:
+        r0, c0 = t["__br"][0].as_py() * side, t["__bc"][0].as_py() * side
+        r, c = t["__r"].to_numpy() - r0, t["__c"].to_numpy() - c0
+        dense = np.zeros((side + height - 1, side + width - 1), t["__v"].to_numpy().dtype)
+        dense[r, c] = t["__v"].to_numpy()
+        own = np.flatnonzero((r < side) & (c < side))
+        windows = np.lib.stride_tricks.sliding_window_view(dense, (height, width))[r[own], c[own]].reshape(len(own), width * height)
+        lists = pa.ListArray.from_arrays(pa.array(np.arange(len(own) + 1, dtype=np.int32) * (width * height)), pa.array(windows.ravel()))
+        out = t.select(keys).take(pa.array(own))
+        return out.append_column("__r", pa.array(r[own] + r0)).append_column("__c", pa.array(c[own] + c0)).append_column("window", lists)
+
+    schema = StructType([cells.schema[k] for k in keys]).add("__r", "long").add("__c", "long").add("window", ArrayType(kind))
+    got = sent.groupBy(*keys, "__br", "__bc").applyInArrow(cut, schema)
+    return got.select(*keys, F.col("__r").cast(cells.schema[row].dataType).alias(row), F.col("__c").cast(cells.schema[col].dataType).alias(col), "window")
 
 
 def cells_of_boxes(boxes: DataFrame, *, left: str, top: str, resolution: float, box: Box = Box()) -> DataFrame:

@@ -1,12 +1,14 @@
 """Spatial joins by grid buckets, grids, radius groups and tile lookups.
 
 A range join has no equality to shuffle on. Both sides get the grid cells they touch, the
-join runs on cells, and the exact predicate follows. A point lies in one cell, so pairs
-never come twice.
+join runs on cells, and the exact predicate follows. A point lies in one cell of a grid and a
+box is in one grid, so pairs never come twice.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -19,32 +21,58 @@ def _cell(v: Column, size: float) -> Column:
     return F.floor(v / size)
 
 
-def _box_cells(box: Box, size: float) -> DataFrame:
-    xs = F.sequence(_cell(F.col(box.xmin), size), _cell(F.col(box.xmax), size))
-    ys = F.sequence(_cell(F.col(box.ymin), size), _cell(F.col(box.ymax), size))
+#: Cells on a side that a box may touch; larger boxes go to a grid that is so many times coarser.
+WIDE = 8
+
+
+def _side(box: Box) -> Column:
+    return F.greatest(F.col(box.xmax) - F.col(box.xmin), F.col(box.ymax) - F.col(box.ymin))
+
+
+def _level(box: Box, size: float) -> Column:
+    """0 for boxes of up to WIDE cells on a side, one more for each further factor of WIDE."""
+    return F.greatest(F.lit(0), F.ceil(F.log(F.lit(float(WIDE)), _side(box) / (WIDE * size) * (1 - 1e-12)))).cast("int")
+
+
+def _box_cells(box: Box, size: Column) -> Column:
+    xs = F.sequence(F.floor(F.col(box.xmin) / size), F.floor(F.col(box.xmax) / size))
+    ys = F.sequence(F.floor(F.col(box.ymin) / size), F.floor(F.col(box.ymax) / size))
     return F.explode(F.flatten(F.transform(xs, lambda a: F.transform(ys, lambda b: F.struct(a.alias("cx"), b.alias("cy"))))))
 
 
-def cell_size(boxes: DataFrame, box: Box = Box(), share: float = 0.95) -> float:
-    """A bucket about as large as most boxes: a quantile of their longer sides, so that few boxes touch many cells."""
-    side = F.greatest(F.col(box.xmax) - F.col(box.xmin), F.col(box.ymax) - F.col(box.ymin))
-    found = boxes.agg(F.percentile_approx(side, share, 1000).alias("s")).first()["s"]
-    return float(found) if found and found > 0 else 1.0
+def cell_size(boxes: DataFrame, box: Box = Box(), share: float = 0.95) -> tuple[float, int]:
+    """A bucket about as large as most boxes (a quantile of their longer sides), and the levels of grids that the largest box needs."""
+    found = boxes.agg(F.percentile_approx(_side(box), share, 1000).alias("s"), F.max(_side(box)).alias("m")).first()
+    size = float(found["s"]) if found["s"] and found["s"] > 0 else 1.0
+    top = float(found["m"] or 0) / (WIDE * size)
+    return size, 1 if top <= 1 else 1 + math.ceil(math.log(top, WIDE) + 1e-9)
 
 
 def points_in_boxes(points: DataFrame, boxes: DataFrame, *, x: str = "x", y: str = "y", box: Box = Box(), size: float | None = None, on: list[str] | None = None) -> DataFrame:
     """Every (point, box) with the point in the box, edges included.
 
     ``on``: further equality columns of both sides (plot, tile). Boxes without extent match
-    points on them; rows with null coordinates or an inverted box match nothing.
+    points on them; rows with null coordinates or an inverted box match nothing. Boxes much larger
+    than most are looked up in coarser grids, so none touches more than about WIDE x WIDE cells;
+    points get a row for each level of grids (one, unless box sizes differ by more than WIDE).
+    ``size`` says that no box is larger.
     """
-    size = size or cell_size(boxes, box)
+    size, levels = (size, 1) if size else cell_size(boxes, box)
     on = on or []
     valid = boxes.filter((F.col(box.xmin) <= F.col(box.xmax)) & (F.col(box.ymin) <= F.col(box.ymax)))
-    right = valid.withColumn("__cell", _box_cells(box, size)).select(*boxes.columns, F.col("__cell.cx").alias("__cx"), F.col("__cell.cy").alias("__cy"))
-    left = points.withColumns({"__cx": _cell(F.col(x), size), "__cy": _cell(F.col(y), size)})
-    met = left.join(right, [*on, "__cx", "__cy"])
-    return met.filter(F.col(x).between(F.col(box.xmin), F.col(box.xmax)) & F.col(y).between(F.col(box.ymin), F.col(box.ymax))).drop("__cx", "__cy")
+    scale = lambda level: size * F.pow(F.lit(float(WIDE)), level)
+    keys = ["__cx", "__cy"]
+    if levels == 1:
+        right, left = valid.withColumn("__cell", _box_cells(box, F.lit(size))), points
+        own = F.lit(size)
+    else:
+        keys, own = ["__level", *keys], scale(F.col("__level"))
+        right = valid.withColumn("__level", _level(box, size)).withColumn("__cell", _box_cells(box, own))
+        left = points.withColumn("__level", F.explode(F.sequence(F.lit(0), F.lit(levels - 1))))
+    right = right.withColumns({"__cx": F.col("__cell.cx"), "__cy": F.col("__cell.cy")}).drop("__cell")
+    left = left.withColumns({"__cx": F.floor(F.col(x) / own), "__cy": F.floor(F.col(y) / own)})
+    met = left.join(right, [*on, *keys])
+    return met.filter(F.col(x).between(F.col(box.xmin), F.col(box.xmax)) & F.col(y).between(F.col(box.ymin), F.col(box.ymax))).drop(*keys)
 
 
 def fallback_boxes(points: DataFrame, matched: DataFrame, *, individual: str = "individual", number: str = "number", half: float = 1.0, x: str = "x", y: str = "y", on: list[str] | None = None) -> DataFrame:

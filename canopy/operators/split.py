@@ -12,6 +12,7 @@ from pyspark.sql.window import Window
 from canopy.functions.draws import hash_order
 from canopy.operators.aggregates import counts, distinct_labels, enough_individuals, enough_rows, shared_taxa
 from canopy.operators.clean import without_fixed
+from canopy.sources.io import staged
 
 
 @dataclass(frozen=True)
@@ -95,9 +96,17 @@ def split_scores(df: DataFrame, plots: DataFrame, iterations: int, *, min_train:
 
 
 def best_split(df: DataFrame, home, *, iterations: int = 100, min_train: int = 10, min_test: int = 10, names: Names = Names(), seed=0) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Train, test and the table of scores; most test taxa win, then most train rows, then the first."""
+    """Train, test and the table of scores; most test taxa win, then most train rows, then the first.
+
+    With two plots or fewer the first is test and the second is train, as they are.
+    """
     usable = enough_rows(df, names.taxon, min_train + min_test)
-    plots = test_plots(usable, home, iterations, min_test=min_test, names=names, seed=seed)
+    if len(few := usable.select(names.plot).dropna().distinct().limit(3).collect()) <= 2:
+        first = min((r[0] for r in few), default=None)
+        on = F.col(names.plot) == F.lit(first)
+        scores = usable.filter(on).groupBy(F.lit(0).alias("iteration")).agg(F.countDistinct(names.taxon).alias("test_taxa")).withColumn("train_rows", F.lit(usable.filter(~on).count()).cast("long"))
+        return usable.filter(~on), usable.filter(on), scores
+    plots = staged(test_plots(usable, home, iterations, min_test=min_test, names=names, seed=seed), "test-plots")
     scores = split_scores(usable, plots, iterations, min_train=min_train, min_test=min_test, names=names)
     best = scores.orderBy(F.desc("test_taxa"), F.desc("train_rows"), "iteration").first()
     if best is None:

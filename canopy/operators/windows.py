@@ -56,9 +56,9 @@ def n_individuals(df: DataFrame, keys: list[str], individual: str, n: int | Colu
 
 
 def sample_or_skip(df: DataFrame, keys: list[str], row_key: str, n: int, seed=0) -> DataFrame:
-    """N random rows of each group; groups with fewer are left out."""
-    sized = df.withColumn("__all", F.count("*").over(Window.partitionBy(*keys))).filter(F.col("__all") >= n).drop("__all")
-    return shuffled_first_n(sized, keys, row_key, n, seed)
+    """N random rows of each group; groups with fewer are left out. Groups are counted by an aggregation; only their first rows meet."""
+    enough = df.dropna(subset=keys).groupBy(*keys).agg(F.count("*").alias("__all")).filter(F.col("__all") >= n).select(*keys)
+    return shuffled_first_n(df.join(enough, keys, "left_semi"), keys, row_key, n, seed)
 
 
 def _in_parts(df: DataFrame, order) -> DataFrame:

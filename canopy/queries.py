@@ -230,12 +230,12 @@ def point_in_box(spark, sf_dir):
 
 
 @query(f"""
-WITH {_PAIR_SQL}, f AS (SELECT * FROM p WHERE individual NOT IN (SELECT individual FROM m WHERE box % 3 = 0))
+WITH {_PAIR_SQL}, f AS (SELECT * FROM p WHERE individual NOT IN (SELECT individual FROM m WHERE xmax - xmin >= 15))
 SELECT a.individual, 'fixed_box_' || c.individual AS box_id, c.x - 1 AS xmin, c.y + 1 AS ymax FROM f a JOIN f c ON a.x BETWEEN c.x - 1 AND c.x + 1 AND a.y BETWEEN c.y - 1 AND c.y + 1
 """)
 def fallback_boxes(spark, sf_dir):
     """J2, J9."""
-    got = spatial.fallback_boxes(_points(spark, sf_dir).withColumn("number", F.col("individual")), _pairs(spark, sf_dir).filter("box % 3 = 0"))
+    got = spatial.fallback_boxes(_points(spark, sf_dir).withColumn("number", F.col("individual")), _pairs(spark, sf_dir).filter("xmax - xmin >= 15"))
     return got.select("individual", "box_id", "xmin", "ymax")
 
 
@@ -293,15 +293,15 @@ def _utm_boxes(spark, sf_dir):
 
 _GEO_SQL = """o AS (SELECT o_orderkey, 400000 + o_orderkey*7919%5000 AS x, 3280000 + o_orderkey*104729%5000 AS y FROM orders),
 g AS (SELECT o_orderkey, (floor(trunc(x+2.25)/1000)*1000)::BIGINT || '_' || (floor(trunc(y+1.75)/1000)*1000)::BIGINT AS geo_index FROM o)"""
-_CATALOG_SQL = """cat AS (SELECT DISTINCT (400000 + page_id%5*1000) || '_' || (3280000 + page_id%7*1000) AS geo_index, 2018 + page_id%4 AS tile_year,
-  '/pool/' || (2018 + page_id%4) || '/' || (400000 + page_id%5*1000) || '_' || (3280000 + page_id%7*1000) || '_image.tif' AS path FROM pages WHERE page_id % 3 <> 0)"""
+_CATALOG_SQL = """cat AS (SELECT DISTINCT (400000 + page_id%5*1000) || '_' || (3280000 + page_id*page_id%7*1000) AS geo_index, 2018 + page_id%4 AS tile_year,
+  '/pool/' || (2018 + page_id%4) || '/' || (400000 + page_id%5*1000) || '_' || (3280000 + page_id*page_id%7*1000) || '_image.tif' AS path FROM pages)"""
 
 
 def _catalog(spark, sf_dir):
     i = F.col("page_id")
-    g = F.concat_ws("_", (400_000 + i % 5 * 1000).cast("string"), (3_280_000 + i % 7 * 1000).cast("string"))
+    g = F.concat_ws("_", (400_000 + i % 5 * 1000).cast("string"), (3_280_000 + i * i % 7 * 1000).cast("string"))
     year = (2018 + i % 4).cast("string")
-    p = _t(spark, sf_dir, "pages").filter(i % 3 != 0).select(F.concat(F.lit("/pool/"), year, F.lit("/"), g, F.lit("_image.tif")).alias("path")).distinct()
+    p = _t(spark, sf_dir, "pages").select(F.concat(F.lit("/pool/"), year, F.lit("/"), g, F.lit("_image.tif")).alias("path")).distinct()
     return p.withColumns({"geo_index": tiles.geo_index_from_name("path"), "tile_year": tiles.year_from_path("path")})
 
 
@@ -402,14 +402,14 @@ def neighbourhood(spark, sf_dir):
 
 
 @query("""
-WITH c AS (SELECT DISTINCT l_suppkey % 50 AS geo_index, l_returnflag AS product, 2012 + l_orderkey % 11 AS tile_year FROM lineitem WHERE l_partkey % 3 = 0),
+WITH c AS (SELECT DISTINCT l_partkey AS geo_index, l_returnflag AS product, 2012 + l_orderkey % 11 AS tile_year FROM lineitem),
 y AS (SELECT geo_index, tile_year FROM c WHERE tile_year > 2017 GROUP BY ALL HAVING count(DISTINCT product) = 3),
 r AS (SELECT *, row_number() OVER (PARTITION BY geo_index ORDER BY tile_year DESC) k FROM y)
 SELECT geo_index, array_to_string(list(tile_year ORDER BY tile_year), ',') AS years FROM r WHERE k <= 3 GROUP BY 1 HAVING count(*) = 3
 """)
 def year_coverage(spark, sf_dir):
     """A14, U2, W10."""
-    c = _t(spark, sf_dir, "lineitem").filter(F.col("l_partkey") % 3 == 0).select((F.col("l_suppkey") % 50).alias("geo_index"), F.col("l_returnflag").alias("product"), (2012 + F.col("l_orderkey") % 11).alias("tile_year"))
+    c = _t(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("geo_index"), F.col("l_returnflag").alias("product"), (2012 + F.col("l_orderkey") % 11).alias("tile_year"))
     return aggregates.year_coverage(c).select("geo_index", F.array_join(F.transform("years", lambda y: y.cast("string")), ",").alias("years"))
 
 
@@ -630,22 +630,22 @@ def first_individuals(spark, sf_dir):
     return windows.n_individuals(_t(spark, sf_dir, "events"), ["event_type"], "user_id", 10).select("event_id")
 
 
-_SPLIT_SQL = "tr AS (SELECT user_id, event_type || (user_id % 9) AS taxon FROM events WHERE user_id % 4 = 0), te AS (SELECT user_id, event_type || (user_id % 9) AS taxon FROM events WHERE user_id % 4 = 1 AND user_id % 9 < 5)"
+_SPLIT_SQL = "e AS (SELECT event_id, user_id, event_type || (user_id % 60) AS taxon, CASE WHEN md5(user_id::VARCHAR) < '6' THEN 'train' WHEN md5(user_id::VARCHAR) < 'a' THEN 'test' ELSE 'none' END AS role FROM events), tr AS (SELECT * FROM e WHERE role = 'train'), te AS (SELECT * FROM e WHERE role = 'test')"
 
 
 def _split(spark, sf_dir):
-    e = _t(spark, sf_dir, "events").select("event_id", "user_id", F.concat("event_type", (F.col("user_id") % 9).cast("string")).alias("taxon"))
-    return e, e.filter("user_id % 4 = 0"), e.filter("user_id % 4 = 1 AND user_id % 9 < 5")
+    """All rows, and those whose individuals a hash puts into train and into test."""
+    h = F.md5(F.col("user_id").cast("string").cast("binary"))
+    role = F.when(h < "6", "train").when(h < "a", "test").otherwise("none")
+    e = _t(spark, sf_dir, "events").select("event_id", "user_id", F.concat("event_type", (F.col("user_id") % 60).cast("string")).alias("taxon"), role.alias("role"))
+    return e, e.filter("role = 'train'"), e.filter("role = 'test'")
 
 
-@query("""
-WITH e AS (SELECT event_id, user_id, event_type || (user_id % 9) AS taxon FROM events), u AS (SELECT * FROM e WHERE (user_id % 4 = 0 AND user_id % 9 < 3) OR (user_id % 4 = 1 AND user_id % 9 < 5))
-SELECT event_id, user_id, taxon FROM e WHERE user_id NOT IN (SELECT user_id FROM u) AND taxon NOT IN (SELECT taxon FROM u)
-""")
+@query(f"WITH {_SPLIT_SQL}, u AS (SELECT * FROM tr UNION ALL SELECT * FROM te) SELECT event_id, user_id, taxon FROM e WHERE user_id NOT IN (SELECT user_id FROM u) AND taxon NOT IN (SELECT taxon FROM u)")
 def novel_taxa(spark, sf_dir):
     """U3, P4, J8, J9."""
     e, train, test = _split(spark, sf_dir)
-    return aggregates.never_sampled(e, train.filter("user_id % 9 < 3"), test, "user_id", "taxon").select("event_id", "user_id", "taxon")
+    return aggregates.never_sampled(e, train, test, "user_id", "taxon").select("event_id", "user_id", "taxon")
 
 
 @query(f"WITH {_SPLIT_SQL}, r AS (SELECT DISTINCT taxon FROM tr WHERE taxon IN (SELECT taxon FROM te)) SELECT taxon FROM r")

@@ -1,6 +1,7 @@
 """Known answers and rules of the operators."""
 
 import math
+import random
 
 import pytest
 from pyspark.sql import Row
@@ -241,3 +242,53 @@ def test_numbers_over_whole_tables(spark):
     for r in hits:
         above = [i for v, i in want if v >= r["v"]]
         assert (r["rows"], r["hits"]) == (len(above), sum(i % 3 == 0 for i in above))
+
+
+# ---- plans ---------------------------------------------------------------------------
+
+
+def test_large_boxes_go_to_coarser_grids(spark):
+    r = random.Random(1)
+    boxes = [(i, x := r.uniform(-50, 1000), y := r.uniform(-50, 1000), x + r.uniform(0, 3), y + r.uniform(0, 3)) for i in range(300)]
+    boxes += [(400, 0.0, 0.0, 1000.0, 1000.0), (401, 100.0, 100.0, 140.0, 900.0), (402, 5.0, 5.0, 5.0, 5.0), (403, 9.0, 9.0, 1.0, 1.0)]
+    points = [(k, r.uniform(-60, 1060), r.uniform(-60, 1060)) for k in range(2000)] + [(5000, 5.0, 5.0), (5001, None, 3.0), (5002, 1000.0, 1000.0)]
+    p, b = spark.createDataFrame(points, "k int, x double, y double"), spark.createDataFrame(boxes, "box int, xmin double, ymin double, xmax double, ymax double")
+    want = {(k, i) for k, x, y in points if x is not None for i, x0, y0, x1, y1 in boxes if x0 <= x <= x1 and y0 <= y <= y1}
+    got = [(g["k"], g["box"]) for g in spatial.points_in_boxes(p, b).collect()]
+    assert len(got) == len(want) and set(got) == want
+    assert spatial.cell_size(b)[1] > 1 and spatial.points_in_boxes(p, b.limit(0)).count() == 0 == spatial.points_in_boxes(p.limit(0), b).count()
+
+
+def test_windows_across_blocks(spark, monkeypatch):
+    monkeypatch.setattr(raster, "WINDOW_BLOCK", 5)
+    r = random.Random(2)
+    cells = {(t, row, col): r.randint(1, 99) for t in "ab" for row in range(-7, 12) for col in range(13) if r.random() < 0.8}
+    df = spark.createDataFrame([(*k, v) for k, v in cells.items()], "tile string, row int, col int, value int")
+    got = raster.neighbourhood(df, ["tile"], width=4, height=3)
+    assert got.schema["window"].dataType.simpleString() == "array<int>" and got.schema["row"].dataType.simpleString() == "int"
+    want = {(t, row, col): [cells.get((t, row + i, col + j), 0) for i in range(3) for j in range(4)] for t, row, col in cells}
+    assert {(g["tile"], g["row"], g["col"]): g["window"] for g in got.collect()} == want
+
+
+def test_two_plots_are_split_as_they_are(spark):
+    rows = [(f"i{k}", "B" if k % 2 else "A", f"t{k % 3}", "S", "fixed_box_1" if k == 0 else "b") for k in range(12)]
+    df = spark.createDataFrame(rows, "individual string, plotID string, taxonID string, siteID string, box_id string")
+    train, test, scores = split.best_split(df, "S", iterations=3, min_train=1, min_test=1)
+    assert {g["plotID"] for g in test.collect()} == {"A"} and {g["plotID"] for g in train.collect()} == {"B"} and test.count() == train.count() == 6
+    assert scores.first()["test_taxa"] == 3
+
+
+def test_shade_and_samples_keep_null_rules(spark):
+    s = spark.createDataFrame([(None, "Full shade"), ("a", "Full shade"), ("a", "Full sun"), ("b", "Full shade"), ("b", None), ("c", None)], "individual string, canopyPosition string")
+    assert sorted(str(g["individual"]) for g in clean.drop_shaded(s).collect()) == ["None", "a", "a", "c"]
+    d = spark.createDataFrame([(k, "x" if k < 5 else "y" if k < 7 else None) for k in range(12)], "k int, g string")
+    assert sorted(g["g"] for g in windows.sample_or_skip(d, ["g"], "k", 3).collect()) == ["x"] * 3
+
+
+def test_truth_pairs_and_portable_fingerprint(spark):
+    p = spark.createDataFrame([("a", 2, "x"), ("a", 1, "y"), ("b", 1, "z")], "individual string, seq int, pred string")
+    t = spark.createDataFrame([("a", "y"), ("c", "z")], "individual string, truth string")
+    assert [(g["pred"], g["truth"]) for g in metrics.truth_pairs(p, t, "individual", ["seq"]).collect()] == [("y", "y")]
+    a, b = aggregates.fingerprint(p, portable=True).first(), aggregates.fingerprint(p.orderBy("seq").repartition(3), portable=True).first()
+    assert a == b != aggregates.fingerprint(p.withColumn("seq", p.seq + 1), portable=True).first()
+    assert aggregates.fingerprint(p.limit(0), portable=True).first()["rows"] == 0
