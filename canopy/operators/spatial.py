@@ -31,7 +31,7 @@ def _side(box: Box) -> Column:
 
 def _level(box: Box, size: float) -> Column:
     """0 for boxes of up to WIDE cells on a side, one more for each further factor of WIDE."""
-    return F.greatest(F.lit(0), F.ceil(F.log(F.lit(float(WIDE)), _side(box) / (WIDE * size) * (1 - 1e-12)))).cast("int")
+    return F.greatest(F.lit(0), F.ceil(F.log(float(WIDE), _side(box) / (WIDE * size) * (1 - 1e-12)))).cast("int")
 
 
 def _box_cells(box: Box, size: Column) -> Column:
