@@ -638,6 +638,13 @@ def plain_line_dedup(docs):
     return gone
 
 
+def without_lines(text, removed):
+    lines = text.split("\n")
+    ends = lines[-1:] == [""]
+    left = [x for k, x in enumerate(lines[: len(lines) - ends]) if k not in removed]
+    return "\n".join(left) + ("\n" if ends and left else "")
+
+
 def test_line_dedup_against_plain(spark):
     """Shared runs of 2 to 12 lines, long lines, blank lines, repeats within a document, copies: the same lines go as by a plain version."""
     r = random.Random(12)
@@ -656,10 +663,7 @@ def test_line_dedup_against_plain(spark):
     for d, t in docs:
         removed = {k for s in got[d]["lines"]["removed"] for k in range(s["first_line"], s["first_line"] + s["lines"])}
         assert removed == want[d], d
-        lines = t.split("\n")
-        ends = lines[-1:] == [""]
-        left = [x for k, x in enumerate(lines[: len(lines) - ends]) if k not in removed]
-        assert got[d]["text"] == "\n".join(left) + ("\n" if ends and left else "")
+        assert got[d]["text"] == without_lines(t, removed)
     assert sum(map(len, want.values())) > 300
 
 
@@ -774,6 +778,41 @@ def test_pipeline_stages(spark, sf_dir):
     assert packed.groupBy("sequence_id").agg(F.sum("length").alias("n")).filter("n > 2048").count() == 0
 
 
+def test_pipeline_against_plain(spark, sf_dir):
+    """All stages by plain versions (toxicity scores by the operator's model): the same pieces of the same documents."""
+    import corpus_pipeline
+    import numpy as np
+    from tokenizers import Tokenizer
+
+    from canopy.llm.queries import held_out
+
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    model = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet").filter(~held_out()))
+    rows = [(r["doc_id"], r["text"] or "") for r in toxicity.toxicity(docs, model).collect() if r["toxicity"]["score"] < toxicity.THRESHOLD]
+    gone = plain_line_dedup(rows)
+    rows = [(d, without_lines(t, gone[d]) if gone[d] else t) for d, t in rows]
+    rows = [(d, t) for d, t in rows if not gone[d] or t.split()]
+    kept = {k[0] for k in plain_components(rows, 80) if k[3] or not k[1]}
+    rows = [(d, t) for d, t in rows if d in kept]
+    coded = {}
+    code = lambda text: np.array([coded.setdefault(w, len(coded) + 2) for w in item_words(text)], np.uint64)
+    items = [code(r["text"]) for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").collect()]
+    words = [code(t) for _, t in rows]
+    leaking = {d for (d, _), w in zip(rows, words) if len(w) and any(s >= 1.2 * len(i) - 1e-9 for s, i in zip(decontamination.best_scores([w] * len(items), items), items))}
+    tok = Tokenizer.from_file(packing.default_vocabulary()[0])
+    want = collections.Counter()
+    for d, t in rows:
+        if d not in leaking:
+            ids = tok.encode(t, add_special_tokens=False).ids + [0]
+            k = -(-len(ids) // 2048)
+            cut = [0] + [len(ids) - (k - 1 - i) * 2048 for i in range(k)]
+            for i in range(k):
+                part = ids[cut[i] : cut[i + 1]]
+                want[d, i, cut[i], len(part), zlib.crc32(b"".join(x.to_bytes(4, "little") for x in part))] += 1
+    got = collections.Counter((r["doc_id"], r["piece"], r["start"], r["length"], r["ids_crc32"]) for r in corpus_pipeline.run(spark, sf_dir).collect())
+    assert got == want and leaking and len(gone) > 10
+
+
 def test_pipeline_edges(spark, edge, sf_dir):
     import corpus_pipeline
 
