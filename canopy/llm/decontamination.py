@@ -197,7 +197,7 @@ def _summed(held):
 
 
 def _finder(bits, kinds):
-    """One row for each seed of a document: its places."""
+    """One row for each seed of a document (of each kind): its places."""
 
     def run(batches):
         for b in batches:
@@ -220,21 +220,21 @@ def span(m: int, similarity: float = SIMILARITY) -> int:
     return int(np.ceil(2 * (1 - similarity) * m)) + m + 2
 
 
-def _stretches(m: int, need: int, seeds: list, similarity: float) -> list[tuple[int, int]]:
-    """Word ranges of a document in which an item's seeds suffice: (first, end), slices that overlap by an alignment's length."""
-    at = np.concatenate([np.repeat(np.asarray(s["at"], np.int64), len(s["places"])) for s in seeds])
-    place = np.concatenate([np.tile(np.asarray(s["places"], np.int64), len(s["at"])) for s in seeds])
-    order = np.argsort(at, kind="stable")
-    at, place = at[order], place[order]
+def _stretches(m: int, need: int, ats: list[np.ndarray], places: list[np.ndarray], similarity: float) -> list[tuple[int, int]]:
+    """Word ranges of a document in which an item's seeds suffice: (first, end), slices that overlap by an alignment's length.
+
+    ``ats``: for each seed its places in the document; ``places``: those in the item.
+    """
+    every = np.unique(np.concatenate(ats))
     reach, out = span(m, similarity), []
     length = max(SLICE, 4 * reach)
-    cuts = np.flatnonzero(np.diff(at) > reach) + 1
-    for lo, hi in zip([0, *cuts], [*cuts, len(at)], strict=True):
-        begin, end = max(0, int(at[lo]) - reach), int(at[hi - 1]) + reach
+    cuts = np.flatnonzero(np.diff(every) > reach) + 1
+    for lo, hi in zip([0, *cuts], [*cuts, len(every)], strict=True):
+        begin, end = max(0, int(every[lo]) - reach), int(every[hi - 1]) + reach
         while begin < end:
             stop = min(end, begin + length)
-            i, j = lo + np.searchsorted(at[lo:hi], [begin, stop])
-            if len(np.unique(place[i:j])) >= need:
+            here = [p for at, p in zip(ats, places, strict=True) if np.searchsorted(at, begin) < np.searchsorted(at, stop)]
+            if here and len(np.unique(np.concatenate(here))) >= need:
                 out.append((begin, stop))
             if stop == end:
                 break
@@ -246,8 +246,10 @@ def _candidates(similarity: float):
     def run(batches):
         for b in batches:
             keys, items, firsts, ends = [], [], [], []
-            for key, item, m, need, seeds in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                for first, end in _stretches(m, need, seeds, similarity):
+            for key, item, m, need, seeds in zip(*(c.to_pylist() for c in b.columns[:4]), b.column(4), strict=True):
+                found = seeds.values
+                ats, places = ([np.sort(x.values.to_numpy()) for x in found.field(c)] for c in ("at", "places"))
+                for first, end in _stretches(m, need, ats, places, similarity):
                     for column, v in zip((keys, items, firsts, ends), (key, item, first, end), strict=True):
                         column.append(v)
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(items, pa.binary()), pa.array(firsts, pa.int64()), pa.array(ends, pa.int64())], ["key", "item", "first", "end"])
