@@ -12,6 +12,7 @@ from canopy.functions.tiles import contributed_id, contributed_plot, geo_index,
 from canopy.operators import clean, raster, spatial, split
 from canopy.operators.aggregates import extent, union_all
 from canopy.operators.windows import first_n, number_rows, one_per_individual
+from canopy.sources.io import staged
 
 
 @dataclass(frozen=True)
@@ -144,7 +145,8 @@ def build_data_set(stems: DataFrame, boxes: DataFrame, cells: DataFrame, catalog
     stems = clean.home_and_capped(stems, "siteID", "taxonID", settings.home_site, settings.samples_from_other_sites, ["individual"])
     if "CHM_height" in stems.columns:
         stems = height_filter(stems, None, settings)
-    rows = annotations(generate_crops(associate(stems, boxes), cells, catalog)[0])
+    stems = staged(stems, "stems")  # the association reads them several times
+    rows = staged(annotations(generate_crops(associate(stems, boxes), cells, catalog)[0]), "annotations")
     train, test, scores = split.best_split(rows, settings.home_site, iterations=settings.iterations, min_train=settings.min_train, min_test=settings.min_test, seed=seed)
     labels = split.encode_labels(train, test, column="taxonID")
     sites = split.encode_labels(train, test, column="siteID", name="site")

@@ -178,6 +178,41 @@ def sampled_windows(spark, sf_dir):
     return raster.sample_windows(cells, catalog, seed=5).drop("years")
 
 
+_SET_SQL = f"""
+WITH {_CATALOG_SQL}, {_CELL_SQL},
+s AS (SELECT 'I' || o_orderkey AS individual, CASE o_custkey % 2 WHEN 0 THEN 'A' ELSE 'B' END AS plot, ['ACRU','NYSY','PIPA2'][o_orderkey % 3 + 1] AS taxon, CASE WHEN o_orderkey % 6 <> 0 THEN 5.0 + o_orderkey % 30 ELSE 5.0 END AS height, 400000.0 + o_orderkey*7919%5000 AS x, 3280000.0 + o_orderkey*104729%5000 AS y FROM orders),
+p AS (SELECT *, row_number() OVER (PARTITION BY plot ORDER BY individual) - 1 AS number FROM s),
+b AS (SELECT p_partkey::VARCHAR AS box_id, CASE p_partkey % 2 WHEN 0 THEN 'A' ELSE 'B' END AS plot, 400000.0 + p_partkey*7919%5000 AS xmin, 3280000.0 + p_partkey*104729%5000 AS ymin, 400010.0 + p_partkey*7919%5000 + p_size AS xmax, 3280010.0 + p_partkey*104729%5000 + p_size AS ymax FROM part),
+m AS (SELECT p.*, box_id, xmin, ymin, xmax, ymax FROM p JOIN b USING (plot) WHERE x BETWEEN xmin AND xmax AND y BETWEEN ymin AND ymax), f AS (SELECT * FROM p WHERE individual NOT IN (SELECT individual FROM m)),
+u AS (SELECT * FROM m UNION ALL SELECT a.*, 'fixed_box_' || c.number, c.x - 1, c.y - 1, c.x + 1, c.y + 1 FROM f a JOIN f c USING (plot) WHERE a.x BETWEEN c.x - 1 AND c.x + 1 AND a.y BETWEEN c.y - 1 AND c.y + 1),
+n AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY individual ORDER BY pow((xmin+xmax)/2-x, 2) + pow((ymin+ymax)/2-y, 2), box_id) AS k FROM u) WHERE k = 1),
+t AS (SELECT *, rank() OVER (PARTITION BY plot, box_id ORDER BY height DESC) AS r FROM n), d AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY plot, box_id ORDER BY individual) AS one FROM t WHERE r = 1) WHERE one = 1),
+g AS (SELECT *, (floor(trunc((xmin+xmax)/2)/1000)*1000)::BIGINT || '_' || (floor(trunc((ymin+ymax)/2)/1000)*1000)::BIGINT AS geo_index FROM d),
+a AS (SELECT DISTINCT individual, plot, taxon, cells.tile_year FROM g JOIN (SELECT DISTINCT geo_index, tile_year FROM cat) c USING (geo_index) JOIN cells ON cells.geo_index = c.geo_index AND cells.tile_year = c.tile_year AND cx BETWEEN xmin AND xmax AND cy BETWEEN ymin AND ymax)
+SELECT individual, tile_year, CASE WHEN plot = (SELECT min(plot) FROM a) THEN 'test' ELSE 'train' END AS side, (dense_rank() OVER (ORDER BY taxon) - 1)::INT AS label FROM a
+"""
+
+
+@query(_SET_SQL)
+def data_set(spark, sf_dir):
+    """Stems to crowns to crops to a split with labels; with two plots the split is given, so SQL can say all of it."""
+    k = F.col("o_orderkey")
+    height = F.when(k % 6 != 0, 5.0 + k % 30)
+    text = lambda **named: [F.lit(v).cast("string").alias(c) for c, v in named.items()]
+    stems = _t(spark, sf_dir, "orders").select(
+        F.concat(F.lit("I"), k.cast("string")).alias("individualID"), k.alias("seq"), height.alias("height"), F.coalesce(height, F.lit(5.0)).alias("CHM_height"), F.lit(20.0).alias("stemDiameter"),
+        F.when(F.col("o_custkey") % 2 == 0, "A").otherwise("B").alias("plotID"), F.get(F.lit(["ACRU", "NYSY", "PIPA2"]), (k % 3).cast("int")).alias("taxonID"),
+        (400_000.0 + k * 7919 % 5000).alias("itcEasting"), (3_280_000.0 + k * 104729 % 5000).alias("itcNorthing"),
+        *text(siteID="OSBS", growthForm="single bole tree", plantStatus="Live", canopyPosition=None, eventID="vst_2019", utmZone="17N"),
+    )
+    p = F.col("p_partkey")
+    x, y = 400_000.0 + p * 7919 % 5000, 3_280_000.0 + p * 104729 % 5000
+    boxes = _t(spark, sf_dir, "part").select(p.cast("string").alias("box_id"), F.when(p % 2 == 0, "A").otherwise("B").alias("plotID"), x.alias("xmin"), y.alias("ymin"), (x + 10 + F.col("p_size")).alias("xmax"), (y + 10 + F.col("p_size")).alias("ymax"), F.lit(0.5).alias("score"))
+    made = pipelines.build_data_set(stems, boxes, _tile_cells(spark, sf_dir), _catalog(spark, sf_dir), settings=pipelines.Settings(iterations=1, min_train=0, min_test=0))
+    side = lambda d, name: d.select("individual", F.col("tile_year").cast("bigint").alias("tile_year"), F.lit(name).alias("side"), "label")
+    return side(made.train, "train").union(side(made.test, "test"))
+
+
 # ---- detection and prediction --------------------------------------------------------
 
 _DEAD_SQL = "SELECT vec_id AS individual, list_position(embedding[1:2], list_max(embedding[1:2])) - 1 AS dead_label, 1 / (1 + exp(-abs(embedding[1]::DOUBLE - embedding[2]::DOUBLE))) AS dead_score FROM embeddings"
