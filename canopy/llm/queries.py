@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from canopy.llm import decontamination, line_dedup, minhash, packing, quality, sharding, suffix_dedup
+from canopy.llm import decontamination, fill_middle, line_dedup, minhash, packing, quality, sharding, suffix_dedup
 from canopy.llm import toxicity as tox
 from canopy.llm import url_filter as urls
 from canopy.llm import warc
@@ -136,3 +136,25 @@ def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op1_suffix_dedup"] = op1_suffix_dedup
+
+
+def op11_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document rearranged for filling in the middle, and rebuilt from what was written."""
+    done = fill_middle.fill_in_middle(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    form, sha = F.col("fim.form"), lambda text: F.sha2(text.cast("binary"), 256)
+    return done.select("doc_id", F.col("fim.n").alias("n"), form.alias("form"), F.col("fim.prefix_chars").alias("prefix_chars"), F.col("fim.middle_chars").alias("middle_chars"), sha(F.col("text")).alias("output_sha256"), sha(fill_middle.restored(F.col("text"), form)).alias("restored_sha256"))
+
+
+_OP11_SQL = """
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, sha256('7:' || coalesce(doc_id::VARCHAR, '')) AS s FROM documents),
+h AS (SELECT doc_id, t, regexp_extract_all(t, '[^\n]*\n|[^\n]+') AS u, ('0x' || substr(s, 1, 8))::BIGINT AS h1, ('0x' || substr(s, 9, 8))::BIGINT AS h2, ('0x' || substr(s, 25, 8))::BIGINT AS h4 FROM d),
+c AS (SELECT doc_id, t, u, len(u) AS n, least(h1 % (len(u) + 1), h2 % (len(u) + 1)) AS p, greatest(h1 % (len(u) + 1), h2 % (len(u) + 1)) AS q,
+      CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') THEN 'plain' WHEN h4 % 100 < 50 THEN 'spm' ELSE 'psm' END AS form FROM h),
+x AS (SELECT doc_id, t, n, form, array_to_string(u[1:p], '') AS a, array_to_string(u[p + 1:q], '') AS m, array_to_string(u[q + 1:n], '') AS z FROM c)
+SELECT doc_id, n::BIGINT AS n, form, CASE WHEN form <> 'plain' THEN length(a) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(m) END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || a || '<S>' || z || '<M>' || m ELSE '<S>' || z || '<P>' || a || '<M>' || m END) AS output_sha256,
+       sha256(t) AS restored_sha256
+FROM x
+"""
+QUERIES["op11_fill_middle"] = op11_fill_middle
+ORACLE_SQL["op11_fill_middle"] = _OP11_SQL
