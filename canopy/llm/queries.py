@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from canopy.llm import decontamination, fill_middle, line_dedup, minhash, packing, quality, sharding, suffix_dedup
+from canopy.llm import decontamination, fill_middle, line_dedup, minhash, packing, prefix_trie, quality, sharding, suffix_dedup
 from canopy.llm import toxicity as tox
 from canopy.llm import url_filter as urls
 from canopy.llm import warc
@@ -158,3 +158,40 @@ FROM x
 """
 QUERIES["op11_fill_middle"] = op11_fill_middle
 ORACLE_SQL["op11_fill_middle"] = _OP11_SQL
+
+
+def _rebuilt(own: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Paths of all conversations, each with the first few turns of the first of its twenty in place of its own; and their ids."""
+    of = lambda c: F.crc32(c.cast("string").cast("binary")) % 4
+    size = written(own.groupBy("c").agg(F.count("*").alias("size")), "conversation-sizes")
+    convs = size.select("c", of(F.col("c")).alias("h"), (F.col("c") - F.col("c") % 20).alias("base"))
+    convs = written(convs.join(size.select(F.col("c").alias("base"), "size"), "base", "left").withColumn("head", F.least("h", F.coalesce("size", F.lit(0)))).drop("size"), "conversations")
+    heads = written(own.filter("d <= 3").withColumnRenamed("c", "base"), "heads")
+    head = convs.filter("head > 0").join(heads, "base").filter("d <= head").select("c", "d", "a", "b", "words")
+    tail = own.join(convs, "c").filter("d > h").select("c", (F.col("head") + F.col("d") - F.col("h")).alias("d"), "a", "b", "words")
+    return head.unionByName(tail), convs.select("c")
+
+
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every node of the trie of rebuilt conversations."""
+    own = written(prefix_trie.steps(_table(spark, sf_dir, "conversations")), "steps", spark)
+    return prefix_trie.trie(*_rebuilt(own))
+
+
+_CRC = "xor(list_reduce([4294967295] || list_transform(range(1, length({0}) + 1), lambda i: ascii(substr({0}, i, 1))::BIGINT), lambda s, v: list_reduce([xor(s, v)] || range(8), lambda y, i: xor(y >> 1, 3988292384 * (y & 1)))), 4294967295)"
+_OP12_SQL = f"""
+WITH s AS (SELECT conv_id AS c, list({{'r': coalesce(role, ''), 'x': coalesce(text, '')}} ORDER BY turn NULLS FIRST) AS l FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id),
+k AS (SELECT c, l, {_CRC.format("c::VARCHAR")} % 4 AS h FROM s),
+z AS (SELECT k.c, coalesce(o.l[1:k.h], []) || k.l[k.h + 1:] AS l FROM k LEFT JOIN s o ON o.c = k.c - k.c % 20),
+p AS (SELECT c, len(l) AS size, l, unnest(range(0, len(l) + 1)) AS d FROM z),
+q AS (SELECT c, size, d, md5(l[1:d]::VARCHAR) AS key, md5(l[1:d - 1]::VARCHAR) AS up, CASE WHEN d > 0 THEN len(regexp_extract_all(l[d].x, '[^\x20\x09-\x0D]+')) ELSE 0 END AS words FROM p),
+n AS (SELECT d, key, any_value(up) AS up, min(c) AS conv_id, count(*) AS n_convs, any_value(words) AS words, coalesce(string_agg(c::VARCHAR, ',' ORDER BY c) FILTER (size = d), '') AS ends FROM q GROUP BY d, key),
+k2 AS (SELECT d - 1 AS d, up AS key, count(*) AS n_children FROM n WHERE d > 0 GROUP BY 1, 2),
+m AS (SELECT n.*, coalesce(n_children, 0) AS n_children FROM n LEFT JOIN k2 ON k2.d = n.d AND k2.key = n.key),
+a AS (SELECT DISTINCT x.d, x.key, y.d AS ad, y.key AS akey FROM q x JOIN q y ON x.c = y.c AND y.d <= x.d),
+t AS (SELECT ad AS d, akey AS key, sum((n_children = 0)::BIGINT) AS n_leaves, sum((n_convs - 1) * words) AS saved_tokens FROM a JOIN m USING (d, key) GROUP BY 1, 2)
+SELECT m.conv_id, m.d::BIGINT AS depth, o.conv_id AS parent_conv_id, m.n_convs::BIGINT AS n_convs, m.n_children::BIGINT AS n_children, t.n_leaves::BIGINT AS n_leaves, t.saved_tokens::BIGINT AS saved_tokens, sha256(m.ends) AS ends_sha256
+FROM m JOIN t ON t.d = m.d AND t.key = m.key LEFT JOIN n o ON o.d = m.d - 1 AND o.key = m.up
+"""
+QUERIES["op12_prefix_trie"] = op12_prefix_trie
+ORACLE_SQL["op12_prefix_trie"] = _OP12_SQL
