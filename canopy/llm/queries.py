@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from canopy.llm import decontamination, fill_middle, line_dedup, minhash, packing, prefix_trie, quality, sharding, suffix_dedup
+from canopy.llm import context_tree, decontamination, fill_middle, line_dedup, minhash, packing, prefix_trie, quality, sharding, suffix_dedup
 from canopy.llm import toxicity as tox
 from canopy.llm import url_filter as urls
 from canopy.llm import warc
@@ -195,3 +195,13 @@ FROM m JOIN t ON t.d = m.d AND t.key = m.key LEFT JOIN n o ON o.d = m.d - 1 AND
 """
 QUERIES["op12_prefix_trie"] = op12_prefix_trie
 ORACLE_SQL["op12_prefix_trie"] = _OP12_SQL
+
+
+def op13_context_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Code lengths of every document; learnt from those that aren't held out."""
+    out = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 7 == 2
+    done = context_tree.score_texts(_table(spark, sf_dir, "documents").select("doc_id", "text"), ~out)
+    return done.select("doc_id", out.alias("held_out"), *[F.col(f"lm.{c}").alias(c) for c in ("n_tokens", "n_known", "train_tokens", "base_score", "score")], (-F.col("lm.score") / F.log10(F.lit(2.0)) / (F.coalesce(F.octet_length("text"), F.lit(0)) + 1)).alias("bits_per_byte"))
+
+
+QUERIES["op13_context_tree"] = op13_context_tree
