@@ -29,6 +29,7 @@ from __future__ import annotations
 
 import hashlib
 from collections import defaultdict
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -215,10 +216,7 @@ def _chain_sums(heavy: DataFrame) -> DataFrame:
             own = own.join(attached, KEY, "left").withColumns({"leaves": F.col("leaves") + F.coalesce("__l", F.lit(0)), "saved": F.col("saved") + F.coalesce("__s", F.lit(0))}).drop("__l", "__s")
         done = written(own.withColumns({"leaves": F.sum("leaves").over(down), "saved": F.sum("saved").over(down)}), "chain-sums")
         parts.append(done)
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    return reduce(DataFrame.unionByName, parts) if parts else heavy
 
 
 def trie(path: DataFrame, convs: DataFrame | None = None, *, sequences: int = SEQUENCES, turns: int = STEPS) -> DataFrame:
