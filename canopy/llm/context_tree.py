@@ -16,7 +16,7 @@ How it runs, whatever the model's size:
   contexts from depth 2 on lie within one bucket, and depths 0 and 1 have 65,280 decisions at most, which are
   added up and given to all tasks;
 * each bucket scores its grams once; blocks ask for theirs (a bucket is dealt to several tasks if
-  many blocks ask), and texts meet the answers of their own block.
+  many blocks ask), and texts, bucketed by block, meet the answers of their own block.
 
 The base score is that of single words with one added to each count. Words are known by 64-bit hashes.
 
@@ -37,12 +37,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from canopy.llm.stage import held, long_rows, quoted, released, written
+from canopy.llm.stage import bucketed, held, long_rows, quoted, released, written
 from canopy.llm.text import LOWER, Prefix, blocks, buffers, mix, spans
 
 DEPTH = 5
 #: Bytes of text in a block, about; places that are worked on at once; buckets; rows of a bucket that meet in a task.
-BLOCK, SLICE, BUCKETS, FAN = 8 << 20, 1 << 19, 256, 2_048
+BLOCK, SLICE, BUCKETS, FAN = 16 << 20, 1 << 19, 256, 2_048
+#: Logarithms are kept as whole numbers of this part of one.
+UNIT = 2.0**-32
 START, END = 0xFE, 0xFF
 #: The key of the end token among the words' hashes.
 LAST = np.uint64(0)
@@ -313,13 +315,13 @@ def _upper(depth: int):
 
 
 def _valued(depth: int, upper: np.ndarray):
-    """Of each bucket's keys the value: a gram's log10 probability, or a word's count."""
+    """Of each bucket's keys the value: a gram's log10 probability in units, or a word's count."""
 
     def run(batches):
         for b in batches:
             for family, bucket, keys, counts in zip(*(b.column(n).to_pylist() for n in ("family", "bucket", "keys", "counts")), strict=True):
                 n = unpack(counts, np.int64)
-                v = Contexts(unpack_keys(keys), n, depth).scores(upper) if family == GRAM else n.astype(float)
+                v = np.rint(Contexts(unpack_keys(keys), n, depth).scores(upper) / UNIT).astype(np.int64) if family == GRAM else n
                 yield pa.RecordBatch.from_arrays([pa.array([family], pa.int32()), pa.array([bucket], pa.int32()), pa.array([keys], pa.binary()), pa.array([pack(v)], pa.binary())], ["family", "bucket", "keys", "values"])
 
     return run
@@ -332,7 +334,7 @@ def _answered(batches):
         out = []
         for family, bucket, block, keys, values in zip(*(b.column(n).to_pylist() for n in ("family", "bucket", "block", "keys", "values")), strict=True):
             if values is not None:
-                key, model = (family, bucket), (unpack_keys(keys), unpack(values, np.float64))
+                key, model = (family, bucket), (unpack_keys(keys), unpack(values, np.int64))
                 continue
             if (family, bucket) != key:
                 raise ValueError("a bucket that is asked for has no values")
@@ -342,43 +344,29 @@ def _answered(batches):
 
 
 def _scored(depth: int, known: int, total: int):
-    """Sums over each text; the answers for a block come before its texts."""
-
-    def run(batches):
-        now, parts, tables = None, {}, None
-        for b in batches:
-            block = b.column("block").to_numpy()
-            family = b.column("family").to_numpy(zero_copy_only=False)
-            asks = b.column("values").is_valid().to_numpy(zero_copy_only=False)
-            cuts = [0, *(np.flatnonzero((block[1:] != block[:-1]) | (asks[1:] != asks[:-1])) + 1).tolist(), len(b)]
-            for x, y in zip(cuts[:-1], cuts[1:], strict=True):
-                if x == y:
-                    continue
-                if block[x] != now:
-                    now, parts, tables = block[x], {GRAM: [], TOKEN: []}, None
-                if asks[x]:
-                    for f, k, v in zip(family[x:y], b.column("keys").slice(x, y - x).to_pylist(), b.column("values").slice(x, y - x).to_pylist(), strict=True):
-                        parts[int(f)].append((unpack_keys(k), unpack(v, np.float64)))
-                    continue
-                if tables is None:
-                    tables = {}
-                    for f, own in parts.items():
-                        k, v = np.concatenate([p[0] for p in own]), np.concatenate([p[1] for p in own])
-                        order = np.argsort(k)
-                        tables[f] = k[order], v[order]
-                    parts = {}
-                look = lambda f, keys, tables=tables: tables[f][1][np.searchsorted(tables[f][0], keys)]
-                for lo, data, offsets in blocks(b.column("text").slice(x, y - x)):
-                    n = len(offsets) - 1
-                    score = np.zeros(n)
-                    for keys, rows in grams(data, offsets, depth):
-                        score += np.bincount(rows, look(GRAM, keys), n)
-                    keys, rows = tokens(data, offsets)
-                    c = look(TOKEN, keys)
-                    base = np.bincount(rows, np.log10((c + 1) / (total + known + 1)), n)
-                    values = [np.bincount(rows, minlength=n), np.bincount(rows[c > 0], minlength=n), np.full(n, total), base, score]
-                    lm = pa.StructArray.from_arrays([pa.array(v) for v in values], ["n_tokens", "n_known", "train_tokens", "base_score", "score"])
-                    yield pa.RecordBatch.from_arrays([b.column("row").slice(x + lo, n), b.column("text").slice(x + lo, n), lm], ["row", "text", "lm"])
+    """Sums over each text of one block, from the answers for it."""
+
+    def run(texts: pa.Table, answers: pa.Table) -> pa.Table:
+        family = answers["family"].to_numpy()
+        tables = {}
+        for f in (GRAM, TOKEN):
+            own = answers.filter(pa.array(family == f))
+            k, v = np.concatenate([unpack_keys(x) for x in own["keys"].to_pylist()]), np.concatenate([unpack(x, np.int64) for x in own["values"].to_pylist()])
+            order = np.argsort(k)
+            tables[f] = k[order], v[order]
+        look = lambda f, keys: tables[f][1][np.searchsorted(tables[f][0], keys)]
+        parts = []
+        for _, data, offsets in blocks(texts["text"]):
+            n = len(offsets) - 1
+            score = np.zeros(n)
+            for keys, rows in grams(data, offsets, depth):
+                score += np.bincount(rows, look(GRAM, keys), n)
+            keys, rows = tokens(data, offsets)
+            c = look(TOKEN, keys)
+            base = np.bincount(rows, np.log10((c + 1) / (total + known + 1)), n)
+            parts.append((np.bincount(rows, minlength=n), np.bincount(rows[c > 0], minlength=n), np.full(n, total), base, score * UNIT))
+        lm = pa.StructArray.from_arrays([pa.array(np.concatenate(x)) for x in zip(*parts, strict=True)], ["n_tokens", "n_known", "train_tokens", "base_score", "score"])
+        return pa.table({"row": texts["row"], "text": texts["text"], "lm": lm})
 
     return run
 
@@ -393,7 +381,7 @@ def score_texts(docs: DataFrame, train: Column, *, text_col: str = "text", name:
     spark = long_rows(docs.sparkSession)
     rows = held(docs, (text_col, name), train=F.coalesce(train, F.lit(False)), text=quoted(text_col))
     kind = rows.schema["row"].dataType
-    dealt = written(rows.mapInArrow(_blocks(block), StructType().add("block", "long").add("row", kind).add("train", "boolean").add("text", "string")), "lm-texts", spark)
+    dealt = bucketed(rows.mapInArrow(_blocks(block), StructType().add("block", "long").add("row", kind).add("train", "boolean").add("text", "string")), "block", "lm_texts", spark, ordered=True)
     items = dealt.select("block", "train", "text").mapInArrow(_counted(depth), "block long, family int, bucket int, keys binary, counts binary")
     items = written(items, "lm-items", spark)
     model = _merge(items, fan)
@@ -408,9 +396,8 @@ def score_texts(docs: DataFrame, train: Column, *, text_col: str = "text", name:
     told = values.select("family", "bucket", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"), none.cast("long").alias("block"), "keys", "values")
     asked = items.select("family", "bucket", F.pmod(F.xxhash64("block"), F.lit(salts)).cast("int").alias("salt"), "block", "keys", none.cast("binary").alias("values"))
     met = told.unionByName(asked).repartition("family", "bucket", "salt").sortWithinPartitions("family", "bucket", "salt", F.col("block").asc_nulls_first())
-    answers = written(met.mapInArrow(_answered, "block long, family int, keys binary, values binary"), "lm-answers", spark)
-    own = answers.select("block", "family", "keys", "values", none.cast(kind).alias("row"), none.cast("string").alias("text"))
-    texts = dealt.select("block", none.cast("int").alias("family"), none.cast("binary").alias("keys"), none.cast("binary").alias("values"), "row", "text")
-    both = own.unionByName(texts).repartition("block").sortWithinPartitions("block", F.col("family").asc_nulls_last())
-    done = both.mapInArrow(_scored(depth, words[0], words[1]), StructType().add("row", kind).add("text", "string").add("lm", StructType.fromDDL("n_tokens long, n_known long, train_tokens long, base_score double, score double")))
+    answers = met.mapInArrow(_answered, "block long, family int, keys binary, values binary")
+    schema = StructType().add("row", kind).add("text", "string").add("lm", StructType.fromDDL("n_tokens long, n_known long, train_tokens long, base_score double, score double"))
+    # texts are bucketed by block, so that answers alone move
+    done = dealt.select("block", "row", "text").groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_scored(depth, words[0], words[1]), schema)
     return released(done, docs.columns, **{text_col: F.col("text"), name: F.col("lm")})

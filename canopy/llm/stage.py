@@ -78,11 +78,12 @@ def clean(spark: SparkSession) -> None:
         path.getFileSystem(conf).delete(path, True)
 
 
-def bucketed(df: DataFrame, key: str, name: str, spark: SparkSession) -> DataFrame:
-    """``df`` as a table in the shared folder, bucketed by ``key`` into as many parts as a shuffle has."""
+def bucketed(df: DataFrame, key: str, name: str, spark: SparkSession, ordered: bool = False) -> DataFrame:
+    """``df`` as a table in the shared folder, bucketed by ``key`` into as many parts as a shuffle has; ``ordered``: each file by ``key`` as well."""
     name = f"{name}_{uuid.uuid4().hex}"
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    df.write.bucketBy(parts, key).option("path", made(f"{shared_dir(spark)}/{name}")).format("parquet").saveAsTable(name)
+    writer = df.write.bucketBy(parts, key)
+    (writer.sortBy(key) if ordered else writer).option("path", made(f"{shared_dir(spark)}/{name}")).format("parquet").saveAsTable(name)
     _tables.append(name)
     return spark.table(name)
 
