@@ -113,10 +113,8 @@ def point_in_ring(x, y, ring) -> Column:
     return odd | F.exists(edges, on)
 
 
-def box_meets_ring(box: Box, ring) -> Column:
-    """A box touches, crosses, holds or lies in a ring. Touching counts."""
-    ring = _c(ring)
-    xmin, ymin, xmax, ymax = (F.col(c) for c in box.names)
+def ring_crosses(xmin: Column, ymin: Column, xmax: Column, ymax: Column, ring) -> Column:
+    """An edge of a ring touches, crosses or lies in a box."""
 
     def crosses(e):
         # an edge meets the box: its extent overlaps, and the corners aren't all strictly on one side of its line
@@ -125,7 +123,13 @@ def box_meets_ring(box: Box, ring) -> Column:
         sides = [side(x, y) for x in (xmin, xmax) for y in (ymin, ymax)]
         return ~apart & (F.least(*sides) <= 0) & (F.greatest(*sides) >= 0)
 
-    return point_in_ring(xmin, ymin, ring) | F.exists(_edges(ring), crosses)
+    return F.exists(_edges(_c(ring)), crosses)
+
+
+def box_meets_ring(box: Box, ring) -> Column:
+    """A box touches, crosses, holds or lies in a ring. Touching counts."""
+    xmin, ymin, xmax, ymax = (F.col(c) for c in box.names)
+    return point_in_ring(xmin, ymin, ring) | ring_crosses(xmin, ymin, xmax, ymax, ring)
 
 
 def literal_ring(points) -> Column:

@@ -46,7 +46,7 @@ def permute(predictions: DataFrame, confusion: DataFrame, *, iterations: int = 1
     if year is not None:
         predictions = one_year(predictions, year)
     rows = confusion.select(F.col("taxon").alias(taxon), cumulative("p").alias("__cum"))
-    met = predictions.join(F.broadcast(rows), taxon, "left").withColumn("iteration", F.explode(F.sequence(F.lit(0), F.lit(iterations - 1))))
+    met = predictions.join(rows, taxon, "left").withColumn("iteration", F.explode(F.sequence(F.lit(0), F.lit(iterations - 1))))
     kept = keep_draw(hash_uniform(f"{seed}:keep", "iteration", key), F.col(score))
     drawn = F.get(F.lit(labels), category(hash_uniform(f"{seed}:draw", "iteration", key), F.col("__cum")))
     final = F.when((F.col(taxon) == "DEAD") | kept | F.col("__cum").isNull(), F.col(taxon)).otherwise(drawn)

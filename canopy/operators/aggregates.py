@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Observation
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from canopy.sources.io import staged
+
 
 def counts(df: DataFrame, *keys: str, name: str = "count") -> DataFrame:
     """Rows per key; null keys don't count. One aggregation is both the per-tile and the total count."""
@@ -20,6 +22,52 @@ def p99_from(value: str | Column, least: float = 0.5, share: float = 0.99) -> Co
     return F.percentile(F.when((v >= least) & ~F.isnan(v.cast("double")), v), share)
 
 
+#: Values of a group that may meet in one buffer, and the bins that larger groups are counted in.
+WHOLE, BINS = 65_536, 4_096
+
+
+def exact_quantiles(df: DataFrame, key: str, value: str, share: float = 0.99, *, whole: int = WHOLE, bins: int = BINS, name: str = "quantile") -> DataFrame:
+    """A3: each group's exact, interpolated quantile in bounded memory; nulls are left out, groups without a value too.
+
+    Groups of up to ``whole`` values are ordered at once. For larger ones the two values around the quantile are
+    looked for by rank: values are counted in bins between the least and the greatest, the bin that holds the
+    rank is counted again, until it has one value or fits in a buffer (two passes, unless values crowd). Bins are
+    counted before the shuffle, so a group may hold any share of the rows. ``df`` is read once a pass and should be a table.
+    """
+    v = F.col(value).cast("double")
+    rows = df.select(F.col(key).alias("__key"), v.alias("__v")).filter("__v is not null")
+    sizes = staged(rows.groupBy("__key").agg(F.count("*").alias("n"), F.min("__v").alias("a"), F.max("__v").alias("b")), "group-sizes")
+    large = sizes.filter(F.col("n") > whole)
+    if large.isEmpty():
+        return rows.groupBy("__key").agg(F.percentile("__v", share).alias(name)).withColumnRenamed("__key", key)
+    small = rows.join(large.select("__key"), "__key", "left_anti").groupBy("__key").agg(F.percentile("__v", share).alias(name))
+    place = F.lit(float(share)) * (F.col("n") - 1)
+    ranks = F.explode(F.array_distinct(F.array(F.floor(place), F.ceil(place))))
+    wanted = staged(large.select("__key", ranks.alias("rank"), "a", "b", F.lit(0).cast("long").alias("below")), "ranks")
+    found = []
+    ends = [float("-inf"), float("inf")]
+    while True:
+        within = rows.join(wanted, "__key").filter(F.col("__v").between(F.col("a"), F.col("b")))
+        finite = lambda c: F.least(F.greatest(c, F.lit(-1.7e308)), F.lit(1.7e308)) / 2
+        spot = F.floor(F.try_divide(finite(F.col("__v")) - finite(F.col("a")), finite(F.col("b")) - finite(F.col("a"))) * bins)
+        spot = F.when(F.col("__v") == ends[1], bins).when(F.col("__v") == ends[0], -1).otherwise(F.least(F.coalesce(spot, F.lit(0)), F.lit(bins - 1)))
+        held = within.groupBy("__key", "rank", "below", spot.alias("bin")).agg(F.count("*").alias("n"), F.min("__v").alias("a"), F.max("__v").alias("b"))
+        before = F.sum("n").over(Window.partitionBy("__key", "rank").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1))
+        hit = held.withColumn("below", F.col("below") + F.coalesce(before, F.lit(0))).filter((F.col("below") <= F.col("rank")) & (F.col("rank") < F.col("below") + F.col("n")))
+        hit = staged(hit.select("__key", "rank", "a", "b", "below", "n"), "bins")
+        found.append(hit.filter("a = b").select("__key", "rank", F.col("a").alias("value")))
+        fits = hit.filter((F.col("a") < F.col("b")) & (F.col("n") <= whole))
+        kept = rows.join(fits, "__key").filter(F.col("__v").between(F.col("a"), F.col("b"))).groupBy("__key", "rank").agg(F.sort_array(F.collect_list("__v")).alias("values"), F.first("below").alias("below"))
+        found.append(kept.select("__key", "rank", F.get("values", (F.col("rank") - F.col("below")).cast("int")).alias("value")))
+        wanted = hit.filter((F.col("a") < F.col("b")) & (F.col("n") > whole)).select("__key", "rank", "a", "b", "below")
+        if wanted.isEmpty():
+            break
+    ends_of = reduce(DataFrame.unionByName, found).join(large.select("__key", "n"), "__key").groupBy("__key", "n").agg(F.min(F.struct("rank", "value")).alias("lo"), F.max(F.struct("rank", "value")).alias("hi"))
+    part = place - F.floor(place)
+    big = ends_of.select("__key", F.when(F.col("lo.rank") == F.col("hi.rank"), F.col("lo.value")).otherwise((1 - part) * F.col("lo.value") + part * F.col("hi.value")).alias(name))
+    return small.unionByName(big).withColumnRenamed("__key", key)
+
+
 def extent(df: DataFrame, x: str = "x", y: str = "y", keys: list[str] | None = None) -> DataFrame:
     """A5: bounds of a layer, or of each group of it."""
     return df.groupBy(*(keys or [])).agg(F.min(x).alias("xmin"), F.min(y).alias("ymin"), F.max(x).alias("xmax"), F.max(y).alias("ymax"))
@@ -43,10 +91,28 @@ def species_floor(df: DataFrame, taxon: str, individual: str, least: int, share:
     return n.withColumn("floor", F.greatest(share * F.col("individuals"), F.lit(float(least))))
 
 
-def audited(df: DataFrame, name: str, taxon: str) -> tuple[DataFrame, Observation]:
-    """The same rows; once an action has run, the observation has their number and about how many taxa."""
+#: Labels that the bitmap of an observed stage has room for.
+MOST_LABELS = 32_768
+
+
+def audited(df: DataFrame, name: str, label: str, individual: str | None = None) -> tuple[DataFrame, Observation]:
+    """The same rows; once an action has run, the observation has their number, the exact number of ``label``s and about how many individuals.
+
+    ``label`` is a dense number from 0 under MOST_LABELS (see split.encode_labels); others fail the job. Null has no place.
+    """
     seen = Observation(name)
-    return df.observe(seen, F.count(F.lit(1)).alias("rows"), F.approx_count_distinct(taxon).alias("taxa")), seen
+    code = F.col(label).cast("long")
+    place = F.when(code.between(0, MOST_LABELS - 1), code).when(code.isNotNull(), F.raise_error(F.concat(F.lit(f"{label} is not from 0 to {MOST_LABELS - 1}: "), code.cast("string"))).cast("long"))
+    metrics = [F.count(F.lit(1)).alias("rows"), F.bitmap_count(F.bitmap_construct_agg(place)).alias("taxa")]
+    if individual:
+        metrics.append(F.approx_count_distinct(individual).alias("individuals"))
+    return df.observe(seen, *metrics), seen
+
+
+def audit_of(spark: SparkSession, seen: dict[str, Observation]) -> DataFrame:
+    """The observations of stages whose action has run, as a table: step, stage, rows, taxa."""
+    rows = [(i, name, int(o.get["rows"]), int(o.get["taxa"])) for i, (name, o) in enumerate(seen.items())]
+    return spark.createDataFrame(rows, "step int, stage string, rows long, taxa long")
 
 
 def stage_audit(stages: dict[str, DataFrame], taxon: str, individual: str) -> DataFrame:

@@ -72,8 +72,8 @@ def normalised_matrix(rows: DataFrame, values: str = "matrix") -> DataFrame:
 def site_confusion(df: DataFrame, sites: DataFrame, truth: str = "label", pred: str = "pred") -> DataFrame:
     """V9: share of errors whose classes occur at a common site; 0 without errors. ``sites``: (taxon, array of sites)."""
     wrong = df.filter(F.col(truth) != F.col(pred))
-    a = F.broadcast(sites.select(F.col("taxon").alias(truth), F.col("sites").alias("__a")))
-    b = F.broadcast(sites.select(F.col("taxon").alias(pred), F.col("sites").alias("__b")))
+    a = sites.select(F.col("taxon").alias(truth), F.col("sites").alias("__a"))
+    b = sites.select(F.col("taxon").alias(pred), F.col("sites").alias("__b"))
     met = wrong.join(a, truth, "left").join(b, pred, "left")
     return met.agg(F.coalesce(F.avg(F.coalesce(F.arrays_overlap("__a", "__b"), F.lit(False)).cast("double")), F.lit(0.0)).alias("within"))
 
@@ -82,8 +82,8 @@ def genus_confusion(df: DataFrame, names: DataFrame, truth: str = "label", pred:
     """Share of errors within a genus (first word of the scientific name); 0 without errors. ``names``: (taxon, name)."""
     genus = F.get(F.split("name", r"\s+"), F.lit(0))
     wrong = df.filter(F.col(truth) != F.col(pred))
-    a = F.broadcast(names.select(F.col("taxon").alias(truth), genus.alias("__a")))
-    b = F.broadcast(names.select(F.col("taxon").alias(pred), genus.alias("__b")))
+    a = names.select(F.col("taxon").alias(truth), genus.alias("__a"))
+    b = names.select(F.col("taxon").alias(pred), genus.alias("__b"))
     met = wrong.join(a, truth, "left").join(b, pred, "left")
     return met.agg(F.coalesce(F.avg(F.coalesce(F.col("__a") == F.col("__b"), F.lit(False)).cast("double")), F.lit(0.0)).alias("within"))
 

@@ -6,8 +6,11 @@ by tile and grid bucket, never by a raw range join.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StructType
@@ -15,9 +18,9 @@ from pyspark.sql.types import ArrayType, StructType
 from canopy.functions.arrays import drop_water, fill_missing, flip, min_max, pick_bands, resize, trim
 from canopy.functions.draws import hash_order
 from canopy.functions.geometry import Box, raster_extent, world_to_pixel
-from canopy.operators.aggregates import p99_from, year_coverage
+from canopy.operators.aggregates import exact_quantiles, year_coverage
 from canopy.operators.spatial import points_in_boxes
-from canopy.operators.windows import first_n
+from canopy.sources.io import staged
 
 
 def crop_cells(cells: DataFrame, crowns: DataFrame, *, on: list[str], x: str = "x", y: str = "y", box: Box = Box(), size: float | None = None) -> DataFrame:
@@ -31,9 +34,13 @@ def empty_crops(crowns: DataFrame, cropped: DataFrame, key: str) -> DataFrame:
 
 
 def zonal_p99(cells: DataFrame, shapes: DataFrame, key: str, *, value: str = "value", on: list[str] | None = None, name: str = "CHM_height", **places) -> DataFrame:
-    """Each shape's 99th percentile of cells of at least 0.5; null where there is none."""
-    met = points_in_boxes(cells, shapes, on=on, **places)
-    heights = met.groupBy(key).agg(p99_from(value).alias(name))
+    """Each shape's 99th percentile of cells of at least 0.5 (NaN is none); null where there is none.
+
+    Shape and height of each cell met are written once; shapes of any number of cells are worked out in bounded memory.
+    """
+    v = F.col(value).cast("double")
+    met = points_in_boxes(cells.filter((v >= 0.5) & ~F.isnan(v)), shapes, on=on, **places)
+    heights = exact_quantiles(staged(met.select(key, v.alias("__value")), "zone-cells"), key, "__value", name=name)
     return shapes.join(heights, key, "left")
 
 
@@ -46,36 +53,66 @@ def point_values(cells: DataFrame, points: DataFrame, *, left: str = "left", top
     return keyed.join(own, [*on, "__row", "__col"], "left").drop("__row", "__col")
 
 
-#: Windows that start in one block of so many rows and columns are cut out together.
-WINDOW_BLOCK = 64
+#: Windows that start in one block of so many rows and columns are cut out together; bytes of windows that leave a task at once.
+WINDOW_BLOCK, WINDOW_BYTES = 64, 16 << 20
+
+
+def _windows(keys: list[str], width: int, height: int, side: int, layered: bool):
+    """Cut the windows of one block out of a dense tensor (row, col and, if ``layered``, band) with its halo."""
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        t = pa.Table.from_batches(batches).combine_chunks()
+        r0, c0 = t["__br"][0].as_py() * side, t["__bc"][0].as_py() * side
+        r, c = t["__r"].to_numpy() - r0, t["__c"].to_numpy() - c0
+        values = t["__v"].combine_chunks()
+        if layered:
+            given = np.flatnonzero(values.is_valid())
+            bands = pc.list_value_length(values.drop_null()).unique()
+            if len(bands) > 1:
+                raise ValueError(f"cells of one block have {bands.to_pylist()} bands")
+            flat = values.drop_null().flatten()
+            n = bands[0].as_py() if len(bands) else 0
+            dense = np.zeros((side + height - 1, side + width - 1, n), flat.type.to_pandas_dtype())
+            dense[r[given], c[given]] = flat.to_numpy(zero_copy_only=False).reshape(-1, n)
+        else:
+            n = 1
+            dense = np.zeros((side + height - 1, side + width - 1), values.type.to_pandas_dtype())
+            dense[r, c] = pc.fill_null(values, 0).to_numpy(zero_copy_only=False)
+        own = np.flatnonzero((r < side) & (c < side))
+        every = np.lib.stride_tricks.sliding_window_view(dense, (height, width), (0, 1))
+        step = max(1, WINDOW_BYTES // max(1, width * height * n * dense.itemsize))
+        lists = lambda v, size: pa.ListArray.from_arrays(pa.array(np.arange(len(v) // size + 1, dtype=np.int32) * size), v)
+        for lo in range(0, len(own), step):
+            some = own[lo : lo + step]
+            got = every[r[some], c[some]]
+            if layered:
+                cells = np.moveaxis(got, 1, -1).reshape(-1)
+                got = lists(pa.array(cells), n) if n else pa.array([[]] * (len(some) * width * height), pa.list_(values.type.value_type))
+            else:
+                got = pa.array(got.reshape(-1))
+            head = t.select(keys).take(pa.array(some))
+            columns = [*(x.combine_chunks() for x in head.columns), pa.array(r[some] + r0), pa.array(c[some] + c0), lists(got, width * height)]
+            yield pa.RecordBatch.from_arrays(columns, [*keys, "__r", "__c", "window"])
+
+    return cut
 
 
 def neighbourhood(cells: DataFrame, keys: list[str], *, width: int = 11, height: int = 11, row: str = "row", col: str = "col", value: str = "value") -> DataFrame:
     """For every cell the window that starts at it, row by row, as an array; cells outside are 0. One cell a place.
 
-    Cells go to the block of windows that start around them, and those near a block's top or
-    left also to the blocks before it (a halo), so a cell moves four times at most for any
-    window of up to a block's size. A block is one small dense array, whatever the tile's size.
+    ``value`` is a number or an array of bands (as many in all cells; a window is then an array of arrays, and a
+    null cell is like one outside). Cells go to the block of windows that start around them, and those near
+    a block's top or left also to the blocks before it (a halo), so a cell moves four times at most for any
+    window of up to a block's size. A block is one small dense array, whatever the tile's size, and its windows leave
+    it a few MB at a time.
     """
     side = max(WINDOW_BLOCK, width, height)
     kind = cells.schema[value].dataType
     spread = lambda c, n: F.sequence(F.floor((F.col(c) - (n - 1)) / side), F.floor(F.col(c) / side))
     sent = cells.select(*keys, F.col(row).cast("long").alias("__r"), F.col(col).cast("long").alias("__c"), F.col(value).alias("__v"))
     sent = sent.withColumn("__br", F.explode(spread("__r", height))).withColumn("__bc", F.explode(spread("__c", width)))
-
-    def cut(t: pa.Table) -> pa.Table:
-        r0, c0 = t["__br"][0].as_py() * side, t["__bc"][0].as_py() * side
-        r, c = t["__r"].to_numpy() - r0, t["__c"].to_numpy() - c0
-        dense = np.zeros((side + height - 1, side + width - 1), t["__v"].to_numpy().dtype)
-        dense[r, c] = t["__v"].to_numpy()
-        own = np.flatnonzero((r < side) & (c < side))
-        windows = np.lib.stride_tricks.sliding_window_view(dense, (height, width))[r[own], c[own]].reshape(len(own), width * height)
-        lists = pa.ListArray.from_arrays(pa.array(np.arange(len(own) + 1, dtype=np.int32) * (width * height)), pa.array(windows.ravel()))
-        out = t.select(keys).take(pa.array(own))
-        return out.append_column("__r", pa.array(r[own] + r0)).append_column("__c", pa.array(c[own] + c0)).append_column("window", lists)
-
     schema = StructType([cells.schema[k] for k in keys]).add("__r", "long").add("__c", "long").add("window", ArrayType(kind))
-    got = sent.groupBy(*keys, "__br", "__bc").applyInArrow(cut, schema)
+    got = sent.groupBy(*keys, "__br", "__bc").applyInArrow(_windows(keys, width, height, side, isinstance(kind, ArrayType)), schema)
     return got.select(*keys, F.col("__r").cast(cells.schema[row].dataType).alias(row), F.col("__c").cast(cells.schema[col].dataType).alias(col), "window")
 
 
@@ -129,11 +166,14 @@ def yearly_records(df: DataFrame, years: DataFrame, *, individual: str = "indivi
 
 
 def sample_windows(cells: DataFrame, catalog: DataFrame, *, size: float = 64.0, resolution: float = 1.0, seed=0, key: str = "geo_index") -> DataFrame:
-    """For each place with three full years one random window that doesn't touch the edge: its bounds and years."""
+    """For each place with three full years one random window that doesn't touch the edge: its bounds and years.
+
+    The start is the cell with the least seeded hash, kept by an aggregate: cells are read twice and none is shuffled.
+    """
     places = year_coverage(catalog, key=key)
     e = cells.join(places.select(key), key, "left_semi").groupBy(key).agg(F.min("x").alias("x0"), F.min("y").alias("y0"), F.max("x").alias("x1"), F.max("y").alias("y1"))
     starts = cells.join(e, key).filter((F.col("x") > F.col("x0")) & (F.col("y") > F.col("y0")) & (F.col("x") + size < F.col("x1")) & (F.col("y") + size < F.col("y1")))
-    one = first_n(starts.select(key, "x", "y").distinct(), [key], [hash_order(seed, key, "x", "y"), "x", "y"])
+    one = starts.groupBy(key).agg(F.min(F.struct(hash_order(seed, key, "x", "y").alias("h"), "x", "y")).alias("w")).select(key, "w.x", "w.y")
     return one.join(places, key).select(key, F.col("x").alias("xmin"), F.col("y").alias("ymin"), (F.col("x") + size).alias("xmax"), (F.col("y") + size).alias("ymax"), "years")
 
 

@@ -25,18 +25,36 @@ class Scorer(Protocol):
     def __call__(self, df: DataFrame) -> DataFrame: ...
 
 
-def train_level(df: DataFrame, *, features: str = "features", label: str = "label", site: str | None = None, weight_floor: float = 0.0, max_iter: int = 50) -> PipelineModel:
+def train_level(df: DataFrame, *, features: str = "features", label: str = "label", site: str | None = None, weight_floor: float = 0.0, max_iter: int = 50, tol: float = 1e-6) -> PipelineModel:
     """A weighted multinomial classifier on array features; with ``site``, its one-hot code is a further input (K6)."""
     weights = class_weights(df, label, weight_floor).select(label, "weight")
-    rows = df.join(F.broadcast(weights), label).withColumn("__v", array_to_vector(F.transform(features, lambda v: v.cast("double"))))
+    rows = df.join(weights, label).withColumn("__v", array_to_vector(F.transform(features, lambda v: v.cast("double"))))
     stages, inputs = [], ["__v"]
     if site:
         stages += [StringIndexer(inputCol=site, outputCol="__s", handleInvalid="keep"), OneHotEncoder(inputCol="__s", outputCol="__o", handleInvalid="keep")]
         inputs.append("__o")
-    stages += [VectorAssembler(inputCols=inputs, outputCol="__x"), LogisticRegression(featuresCol="__x", labelCol=label, weightCol="weight", maxIter=max_iter, predictionCol="__p", probabilityCol="__q", rawPredictionCol="__r")]
+    stages += [VectorAssembler(inputCols=inputs, outputCol="__x"), LogisticRegression(featuresCol="__x", labelCol=label, weightCol="weight", maxIter=max_iter, tol=tol, predictionCol="__p", probabilityCol="__q", rawPredictionCol="__r")]
     return Pipeline(stages=stages).fit(rows)
 
 
+def fitted_moments(df: DataFrame, model: PipelineModel, *, features: str = "features", label: str = "label", site: str | None = None, weight_floor: float = 0.0) -> DataFrame:
+    """(class, input, fitted, observed): weighted means of each input, over the probabilities of a class and over its rows.
+
+    Their difference is the gradient of the weighted log-loss, so both agree for each class and input where a fit is an optimum.
+    Inputs are "1" (the intercept), f0, f1 and so on, and the sites.
+    """
+    weights = class_weights(df, label, weight_floor).select(label, "weight")
+    scored = scorer_of(model, features)(df).join(weights, label)
+    kind = "array<struct<input:string,v:double>>"
+    numbers = F.transform(features, lambda v, i: F.struct(F.concat(F.lit("f"), i.cast("string")), v)).cast(kind)
+    ones = [F.struct(c, F.lit(1.0)) for c in (F.lit("1"), *([F.col(site).cast("string")] if site else []))]
+    inputs = F.concat(F.array(*ones).cast(kind), numbers)
+    each = scored.select(F.col(label).alias("__label"), "weight", F.posexplode("yhat").alias("class", "p"), inputs.alias("x")).select("__label", "weight", "class", "p", F.explode("x").alias("x"))
+    total = scored.agg(F.sum("weight").alias("__total"))  # one row
+    sums = each.groupBy("class", "x.input").agg(F.sum(F.col("weight") * F.col("p") * F.col("x.v")).alias("f"), F.sum(F.when(F.col("__label") == F.col("class"), F.col("weight") * F.col("x.v")).otherwise(0.0)).alias("o"))
+    return sums.crossJoin(F.broadcast(total)).select("class", "input", (F.col("f") / F.col("__total")).alias("fitted"), (F.col("o") / F.col("__total")).alias("observed"))
+
+
 def scorer_of(model: PipelineModel, features: str = "features") -> Scorer:
     """A fitted model as a scorer; ``yhat`` are probabilities, ``raw`` the margins."""
 
@@ -60,7 +78,7 @@ def gather_levels(scores: DataFrame, labels: DataFrame, levels, *, individual: s
     top = scores.select(individual, "level", argmax("yhat").alias("label"), F.array_max("yhat").alias("score"))
     unique = top.groupBy(individual, "level").agg(F.count("*").alias("n"), F.first("label").alias("label"), F.first("score").alias("score"))
     checked = unique.withColumn("label", F.when(F.col("n") == 1, F.col("label")).otherwise(F.raise_error(F.lit("several rows for one individual and level")).cast("int")))
-    named = checked.join(F.broadcast(labels.select("level", "label", "taxon")), ["level", "label"], "left")
+    named = checked.join(labels.select("level", "label", "taxon"), ["level", "label"], "left")
     return pivot_levels(named, individual, "level", levels, ["label", "score", "taxon"])
 
 
@@ -79,7 +97,7 @@ def top_two(scores: str | Column, probabilities: bool = False) -> list[Column]:
 def flat_predictions(df: DataFrame, labels: DataFrame, scores: str = "yhat", truth: str | None = None) -> DataFrame:
     """M4: top-1/top-2 labels, scores and taxa, and the true taxon."""
     got = df.select("*", *top_two(scores))
-    names = F.broadcast(labels)
+    names = labels
     for k in ("top1", "top2", *([truth] if truth else [])):
         got = got.join(names.select(F.col("label").alias(k), F.col("taxon").alias(f"{k}_taxon")), k, "left")
     return got
@@ -117,7 +135,7 @@ def tile_predictions(wide: DataFrame, crowns: DataFrame, *, threshold: float = 0
     """M6: routed labels joined to crown rows (one per year), dead ones masked, with areas."""
     routed = route(wide)
     if labels is not None:
-        routed = routed.join(F.broadcast(labels.select(F.col("taxon").alias("ensembleTaxonID"), F.col("label").alias("ens_label"))), "ensembleTaxonID", "left")
+        routed = routed.join(labels.select(F.col("taxon").alias("ensembleTaxonID"), F.col("label").alias("ens_label")), "ensembleTaxonID", "left")
     elif "ens_label" not in routed.columns:
         routed = routed.withColumn("ens_label", F.lit(None).cast("int"))
     got = natural(routed, crowns)

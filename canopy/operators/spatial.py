@@ -13,8 +13,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from canopy.functions.geometry import Box, box_meets_ring, point_in_ring, square
+from canopy.functions.geometry import Box, box_meets_ring, point_in_ring, ring_crosses, ring_envelope, square
 from canopy.operators.windows import first_n
+from canopy.sources.io import staged
 
 
 def _cell(v: Column, size: float) -> Column:
@@ -75,6 +76,48 @@ def points_in_boxes(points: DataFrame, boxes: DataFrame, *, x: str = "x", y: str
     return met.filter(F.col(x).between(F.col(box.xmin), F.col(box.xmax)) & F.col(y).between(F.col(box.ymin), F.col(box.ymax))).drop(*keys)
 
 
+def ring_cover(rings: DataFrame, *, ring: str = "ring", size: float, cells: int = 16) -> DataFrame:
+    """Each ring's cover by grid cells: its row once a cell, with __level, __cx, __cy, and __edge (an edge of the ring meets the cell).
+
+    A ring goes to the grid (``size`` times a power of two) on which its extent is ``cells`` cells wide or fewer, so a cover has
+    at most about ``cells`` squared cells; cells outside the ring aren't in it. Rings without extent or vertices have no cover.
+    """
+    xmin, ymin, xmax, ymax = ring_envelope(ring)
+    side = F.greatest(F.col("__x1") - F.col("__x0"), F.col("__y1") - F.col("__y0"))
+    placed = rings.withColumns({"__x0": xmin, "__y0": ymin, "__x1": xmax, "__y1": ymax}).filter(side.isNotNull())
+    placed = placed.withColumn("__level", F.greatest(F.lit(0), F.ceil(F.log2(side / (cells * size)))).cast("int"))
+    placed = placed.withColumn("__s", size * F.pow(F.lit(2.0), "__level"))
+    placed = placed.withColumn("__cell", _box_cells(Box("__x0", "__y0", "__x1", "__y1"), F.col("__s"))).withColumns({"__cx": F.col("__cell.cx"), "__cy": F.col("__cell.cy")})
+    west, south = F.col("__cx") * F.col("__s"), F.col("__cy") * F.col("__s")
+    placed = placed.withColumn("__edge", ring_crosses(west, south, west + F.col("__s"), south + F.col("__s"), F.col(ring)))
+    inner = point_in_ring(west + F.col("__s") / 2, south + F.col("__s") / 2, F.col(ring))
+    return placed.filter(F.col("__edge") | inner).drop("__x0", "__y0", "__x1", "__y1", "__s", "__cell")
+
+
+def points_in_rings(points: DataFrame, rings: DataFrame, *, ring: str = "ring", x: str = "x", y: str = "y", on: list[str] | None = None, size: float | None = None, cells: int = 16) -> DataFrame:
+    """Every (point, ring) with the point in the ring, its edge included, for any number of rings.
+
+    Rings are covered by grid cells; points meet them by cell. In a cell that no edge meets there is nothing to
+    ask; in the others the exact predicate decides. Points get a row for each grid that some ring is on (few,
+    whatever the number of rings). ``on``: further equality columns; points without coordinates match nothing.
+    """
+    on = on or []
+    if size is None:
+        xmin, ymin, xmax, ymax = ring_envelope(ring)
+        typical = rings.agg(F.percentile_approx(F.greatest(xmax - xmin, ymax - ymin), 0.5, 1000)).first()[0]
+        size = float(typical) / cells if typical else 1.0
+    size = 2.0 ** math.floor(math.log2(size))  # so that cell borders are exact
+    cover = staged(ring_cover(rings, ring=ring, size=size, cells=cells), "ring-cover")
+    levels = sorted(r[0] for r in cover.select("__level").distinct().collect())  # a grid for each doubling of size
+    if not levels:
+        levels = [0]
+    scale = size * F.pow(F.lit(2.0), F.col("__level"))
+    left = points.withColumn("__level", F.explode(F.array(*[F.lit(k) for k in levels])))
+    left = left.withColumns({"__cx": F.floor(F.col(x) / scale), "__cy": F.floor(F.col(y) / scale)})
+    met = left.join(cover, [*on, "__level", "__cx", "__cy"])
+    return met.filter(~F.col("__edge") | point_in_ring(x, y, F.col(ring))).drop("__level", "__cx", "__cy", "__edge")
+
+
 def fallback_boxes(points: DataFrame, matched: DataFrame, *, individual: str = "individual", number: str = "number", half: float = 1.0, x: str = "x", y: str = "y", on: list[str] | None = None) -> DataFrame:
     """Squares around points without a box, each joined to every unmatched point inside; box_id fixed_box_{number}, score null."""
     on = on or []
@@ -190,7 +233,6 @@ def clip_boxes(df: DataFrame, ring: Column, box: Box = Box()) -> DataFrame:
 
 def surveyed_boxes(polygons: DataFrame, order, ring: str = "ring", keys: list[str] | None = None) -> DataFrame:
     """envelopes of surveyed rings with numbers from 0 as box ids."""
-    from canopy.functions.geometry import ring_envelope
     from canopy.operators.windows import number_rows
 
     xmin, ymin, xmax, ymax = ring_envelope(ring)

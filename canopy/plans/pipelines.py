@@ -150,7 +150,7 @@ def build_data_set(stems: DataFrame, boxes: DataFrame, cells: DataFrame, catalog
     train, test, scores = split.best_split(rows, settings.home_site, iterations=settings.iterations, min_train=settings.min_train, min_test=settings.min_test, seed=seed)
     labels = split.encode_labels(train, test, column="taxonID")
     sites = split.encode_labels(train, test, column="siteID", name="site")
-    coded = lambda d: d.join(F.broadcast(labels), "taxonID").join(F.broadcast(sites), "siteID")
+    coded = lambda d: d.join(labels, "taxonID").join(sites, "siteID")
     return DataSet(coded(train), coded(test), never_sampled(rows, train, test, "individual", "taxonID"), labels, sites, scores)
 
 

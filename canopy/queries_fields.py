@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from canopy.functions import arrays, geometry, tiles
+from canopy.functions import arrays, geometry, projection, tiles
 from canopy.functions.geometry import Box
-from canopy.operators import aggregates, clean, metrics, raster, spatial, windows
+from canopy.operators import aggregates, clean, metrics, raster, spatial, split, windows
+from canopy.plans import pipelines
 from canopy.queries import _BOX_SQL, _CATALOG_SQL, _boxes, _catalog, _spectra, _t, _xy, _xy_sql, query
+from canopy.sources.io import staged
 
 # ---- filters -------------------------------------------------------------------------
 
@@ -321,3 +323,147 @@ def raster_subset(spark, sf_dir):
     cells = _wide(spark, sf_dir).withColumns(_xy("vec_id"))
     got = raster.subset_raster(cells, "false_color", bounds=(200, 100, 800, 700)).select("vec_id", F.posexplode("bands").alias("place", "v"))
     return got.select("vec_id", F.col("place").cast("bigint").alias("place"), "v")
+
+
+# ---- windows of bands, large zones, many rings, one-pass audits, projection -----------
+
+
+@query("""
+WITH c AS (SELECT l_suppkey AS tile, l_partkey % 12 AS row, l_orderkey % 12 AS col, max(l_quantity) AS a, count(*)::DOUBLE AS b FROM lineitem GROUP BY ALL)
+SELECT x.tile, x.row, x.col, sum(y.a) AS total_a, sum(y.b) AS total_b, max(y.b) AS top_b, coalesce(max(y.a) FILTER (y.row = x.row + 2 AND y.col = x.col + 1), 0) AS low_a, coalesce(max(y.b) FILTER (y.row = x.row AND y.col = x.col + 2), 0) AS right_b
+FROM c x JOIN c y ON x.tile = y.tile AND y.row BETWEEN x.row AND x.row + 2 AND y.col BETWEEN x.col AND x.col + 2 GROUP BY ALL
+""")
+def neighbourhood_bands(spark, sf_dir):
+    """Windows of 3 x 3 cells of two bands."""
+    c = _t(spark, sf_dir, "lineitem").groupBy(F.col("l_suppkey").alias("tile"), (F.col("l_partkey") % 12).alias("row"), (F.col("l_orderkey") % 12).alias("col")).agg(F.array(F.max("l_quantity"), F.count("*").cast("double")).alias("value"))
+    w = raster.neighbourhood(c, ["tile"], width=3, height=3)
+    band = lambda k: F.transform("window", lambda cell: cell[k])
+    total = lambda k: F.aggregate(band(k), F.lit(0.0), lambda a, v: a + v)
+    return w.select("tile", "row", "col", total(0).alias("total_a"), total(1).alias("total_b"), F.array_max(band(1)).alias("top_b"), F.col("window")[7][0].alias("low_a"), F.col("window")[2][1].alias("right_b"))
+
+
+@query("""
+WITH c AS (SELECT CASE WHEN l_suppkey % 3 = 0 THEN 0 ELSE l_suppkey END AS zone, l_extendedprice / 1000 AS v FROM lineitem WHERE l_linenumber <> 4)
+SELECT zone, round(quantile_cont(v, 0.99), 6) AS p99 FROM c GROUP BY 1
+""")
+def large_zones(spark, sf_dir):
+    """Exact quantiles where one zone has a third of all cells; zones of over a thousand cells are counted in bins."""
+    zone = F.when(F.col("l_suppkey") % 3 == 0, 0).otherwise(F.col("l_suppkey"))
+    cells = _t(spark, sf_dir, "lineitem").select(zone.cast("long").alias("zone"), F.when(F.col("l_linenumber") != 4, F.col("l_extendedprice") / 1000).alias("v"))
+    got = aggregates.exact_quantiles(staged(cells, "zone-cells"), "zone", "v", whole=1_000, bins=256)
+    return got.select("zone", F.round("quantile", 6).alias("p99"))
+
+
+def _notched(x, y, width, height):
+    """A box with a triangular notch in its upper edge."""
+    at = lambda a, b: F.struct((x + a * width).alias("x"), (y + b * height).alias("y"))
+    return F.array(at(0, 0), at(1, 0), at(1, 1), at(0.5, 0.5), at(0, 1))
+
+
+_NOTCH_SQL = f"""p AS (SELECT o_orderkey, {_xy_sql('o_orderkey')} FROM orders),
+r AS (SELECT p_partkey AS ring_id, (p_partkey*7919%1000)::DOUBLE AS x0, (p_partkey*104729%1000)::DOUBLE AS y0, (2 * (1 + p_size % 9) * CASE WHEN p_partkey % 50 = 0 THEN 16 ELSE 1 END)::DOUBLE AS w, (2 * (1 + p_size % 7))::DOUBLE AS h FROM part)"""
+
+
+@query(f"""
+WITH {_NOTCH_SQL}, m AS (SELECT o_orderkey, ring_id, (x - x0) / w AS u, (y - y0) / h AS v FROM p JOIN r ON x BETWEEN x0 AND x0 + w AND y BETWEEN y0 AND y0 + h)
+SELECT o_orderkey, ring_id FROM m WHERE v <= greatest(u, 1 - u)
+""")
+def points_in_rings(spark, sf_dir):
+    """Points in thousands of notched rings of unlike size."""
+    o = _t(spark, sf_dir, "orders").select("o_orderkey", *[c.alias(n) for n, c in _xy("o_orderkey").items()])
+    k, size = F.col("p_partkey"), F.col("p_size")
+    at = _xy("p_partkey")
+    width = (2 * (1 + size % 9) * F.when(k % 50 == 0, 16).otherwise(1)).cast("double")
+    rings = _t(spark, sf_dir, "part").select(k.alias("ring_id"), _notched(at["x"], at["y"], width, (2 * (1 + size % 7)).cast("double")).alias("ring"))
+    return spatial.points_in_rings(o, rings).select("o_orderkey", "ring_id")
+
+
+@query("""
+WITH a AS (SELECT * FROM events), b AS (SELECT * FROM a WHERE value > 3), c AS (SELECT * FROM b WHERE event_type <> 'error'), d AS (SELECT * FROM c WHERE event_id % 3 <> 1)
+SELECT 0::INT AS step, 'raw' AS stage, count(*) AS rows, count(DISTINCT event_type) AS taxa FROM a UNION ALL SELECT 1, 'height', count(*), count(DISTINCT event_type) FROM b
+UNION ALL SELECT 2, 'taxa', count(*), count(DISTINCT event_type) FROM c UNION ALL SELECT 3, 'kept', count(*), count(DISTINCT event_type) FROM d
+""")
+def observed_audit(spark, sf_dir):
+    """Rows and taxa of four stages, counted while the last one's rows are written: one job."""
+    e = _t(spark, sf_dir, "events")
+    labels = staged(split.encode_labels(e, column="event_type"), "labels")
+    seen = {}
+
+    def stage(name, df):
+        df, seen[name] = aggregates.audited(df, name, "label", "user_id")
+        return df
+
+    rows = stage("raw", e.join(labels, "event_type", "left"))
+    rows = stage("height", rows.filter("value > 3"))
+    rows = stage("taxa", clean.exclude(rows, "event_type", ["error"]))
+    rows = stage("kept", rows.filter("event_id % 3 <> 1"))
+    staged(rows, "audited")
+    return aggregates.audit_of(spark, seen)
+
+
+def _node_values(n: int = 24) -> str:
+    """Nodes and weights of Gauss and Legendre on 0 to 1."""
+    import numpy as np
+
+    at, weight = np.polynomial.legendre.leggauss(n)
+    return ", ".join(f"({(x + 1) / 2!r}::DOUBLE, {w / 2!r}::DOUBLE)" for x, w in zip(at.tolist(), weight.tolist(), strict=True))
+
+
+_E2 = "(0.0066943799901413165::DOUBLE)"  # 2f - f*f of the WGS84 ellipsoid, f = 1 / 298.257223563
+_PLANE_SQL = f"""
+WITH RECURSIVE g AS (SELECT o_orderkey, -87.0 + (o_orderkey*7919%1200)/100.0::DOUBLE AS lon, (o_orderkey*104729%6000)/100.0::DOUBLE AS lat FROM orders),
+w AS (SELECT o_orderkey, lon, lat, atanh(sin(radians(lat))) - sqrt({_E2}) * atanh(sqrt({_E2}) * sin(radians(lat))) AS wr, radians(lon + 81.0) AS wi FROM g),
+s AS (
+  SELECT o_orderkey, 0 AS k, wr, wi, sinh(2*wr) / (cosh(2*wr) + cos(2*wi)) AS sr, sin(2*wi) / (cosh(2*wr) + cos(2*wi)) AS si FROM w
+  UNION ALL
+  SELECT o_orderkey, k + 1, wr, wi, sinh(2*tr) / (cosh(2*tr) + cos(2*ti)), sin(2*ti) / (cosh(2*tr) + cos(2*ti)) FROM (
+    SELECT o_orderkey, k, wr, wi, wr + sqrt({_E2}) * 0.25 * ln((pow(1 + er, 2) + er0) / (pow(1 - er, 2) + er0)) AS tr, wi + sqrt({_E2}) * 0.5 * atan2(2 * ei, 1 - er*er - ei*ei) AS ti
+    FROM (SELECT *, sqrt({_E2}) * sr AS er, sqrt({_E2}) * si AS ei, {_E2} * si * si AS er0 FROM s)) WHERE k < 9
+),
+n(t, wt) AS (VALUES {_node_values()}),
+q AS (SELECT o_orderkey, sr, si, wt, sr*sr*t*t - si*si*t*t AS ar, 2*sr*si*t*t AS ai FROM s, n WHERE k = 9),
+z AS (SELECT o_orderkey, sr, si, wt, -0.75 * ln(pow(1 - {_E2}*ar, 2) + pow({_E2}*ai, 2)) - 0.25 * ln(pow(1 - ar, 2) + ai*ai) AS lr, -1.5 * atan2(-{_E2}*ai, 1 - {_E2}*ar) - 0.5 * atan2(-ai, 1 - ar) AS li FROM q),
+m AS (SELECT o_orderkey, any_value(sr) AS sr, any_value(si) AS si, sum(wt * exp(lr) * cos(li)) AS ir, sum(wt * exp(lr) * sin(li)) AS ii FROM z GROUP BY 1)
+SELECT o_orderkey, round(500000 + 0.9996 * 6378137.0 * (1 - {_E2}) * (sr*ii + si*ir), 2) AS easting, round(0.9996 * 6378137.0 * (1 - {_E2}) * (sr*ir - si*ii), 2) AS northing, round(lon, 7) AS lon, round(lat, 7) AS lat FROM m JOIN g USING (o_orderkey)
+"""
+
+
+@query(_PLANE_SQL)
+def projected_places(spark, sf_dir):
+    """Degrees to the plane of a zone and back, up to six degrees off its middle.
+
+    The SQL has no series in common with ours: it integrates the meridian arc in the complex plane from the ellipsoid's two constants.
+    """
+    k = F.col("o_orderkey")
+    o = _t(spark, sf_dir, "orders").select("o_orderkey", (-87.0 + (k * 7919 % 1200) / 100.0).alias("lon"), ((k * 104729 % 6000) / 100.0).alias("lat"))
+    x, y = projection.from_geographic("lon", "lat", F.lit(17))
+    there = o.select("o_orderkey", x.alias("x"), y.alias("y"))
+    lon, lat = projection.to_geographic("x", "y", F.lit(17))
+    return there.select("o_orderkey", F.round("x", 2).alias("easting"), (F.round("y", 2) + 0.0).alias("northing"), F.round(lon, 7).alias("lon"), (F.round(lat, 7) + 0.0).alias("lat"))
+
+
+_ALL_CODES = ("PSMEM", "BEPAP", "ACNEN", "ACRUR", "PICOL", "ABLAL", "ACSA3", "CECAC", "PRSES", "PIPOS", "BEPAC2", "JUVIV", "PRPEP", "COCOC", "NYBI", "BETUL", "FRAXI", "HALES", "PICEA", "PINUS", "QUERC", "ULMUS", "2PLANT", "PIPA2", "ACRU")
+_ALL_PEOPLE = ("NEON.PLA.D03.OSBS.03422", "NEON.PLA.D03.OSBS.03382", "NEON.PLA.D17.TEAK.01883")
+_ALL_PLOTS = ("SOAP_054", "OSBS_026", "OSBS_029", "OSBS_039", "OSBS_027", "OSBS_036")
+
+
+@query(f"""
+WITH s AS (SELECT event_id AS seq, CASE WHEN user_id % 9 < 3 THEN {list(_ALL_PEOPLE)}[user_id % 9 + 1] ELSE 'NEON.PLA.' || user_id END AS individual, {list(_ALL_CODES)}[user_id % 25 + 1] AS code,
+  CASE WHEN user_id % 20 < 6 THEN {list(_ALL_PLOTS)}[user_id % 20 + 1] ELSE 'P' || user_id % 20 END AS plotID, value AS height FROM events WHERE value IS NULL OR value > 3),
+r AS (SELECT seq, individual, plotID, height, CASE code WHEN 'PSMEM' THEN 'PSME' WHEN 'BEPAP' THEN 'BEPA' WHEN 'ACNEN' THEN 'ACNE2' WHEN 'ACRUR' THEN 'ACRU' WHEN 'PICOL' THEN 'PICO' WHEN 'ABLAL' THEN 'ABLA' WHEN 'ACSA3' THEN 'ACSAS'
+  WHEN 'CECAC' THEN 'CECA4' WHEN 'PRSES' THEN 'PRSE2' WHEN 'PIPOS' THEN 'PIPO' WHEN 'BEPAC2' THEN 'BEPA' WHEN 'JUVIV' THEN 'JUVI' WHEN 'PRPEP' THEN 'PRPE2' WHEN 'COCOC' THEN 'COCO6' WHEN 'NYBI' THEN 'NYSY' ELSE code END AS taxonID FROM s
+  WHERE code NOT IN ('BETUL','FRAXI','HALES','PICEA','PINUS','QUERC','ULMUS','2PLANT')),
+k AS (SELECT *, row_number() OVER (PARTITION BY individual ORDER BY height DESC, seq) AS n FROM r)
+SELECT individual, seq, taxonID, plotID FROM k WHERE n = 1 AND individual NOT IN {_ALL_PEOPLE} AND plotID NOT IN {_ALL_PLOTS}
+""")
+def clean_all_codes(spark, sf_dir):
+    """Stems with all recoded and all dropped codes, blocked individuals and blocked plots."""
+    u, i = F.col("user_id"), F.col("event_id")
+    pick = lambda values, at: F.get(F.lit(list(values)), at.cast("int"))
+    stems = _t(spark, sf_dir, "events").select(
+        F.when(u % 9 < 3, pick(_ALL_PEOPLE, u % 9)).otherwise(F.concat(F.lit("NEON.PLA."), u.cast("string"))).alias("individualID"), i.alias("seq"), F.lit("vst_2018_1").alias("eventID"), F.lit("Live").alias("plantStatus"),
+        F.lit("single bole tree").alias("growthForm"), F.col("value").alias("height"), F.lit(20.0).alias("stemDiameter"), pick(_ALL_CODES, u % 25).alias("taxonID"),
+        F.when(u % 20 < 6, pick(_ALL_PLOTS, u % 20)).otherwise(F.concat(F.lit("P"), (u % 20).cast("string"))).alias("plotID"), F.lit("S1").alias("siteID"), F.lit("Full sun").alias("canopyPosition"),
+        F.lit(1.0).alias("itcEasting"), F.lit(1.0).alias("itcNorthing"), F.lit("17N").alias("utmZone"),
+    )
+    return pipelines.clean_stems(stems).select("individual", "seq", "taxonID", "plotID")

@@ -123,3 +123,61 @@ def reapplied_split(spark, sf_dir):
     c = _t(spark, sf_dir, "customer").select(F.col("c_custkey").alias("o_custkey"))
     train, test = io.reapply_split(_t(spark, sf_dir, "orders"), io.staged(c.filter("o_custkey % 3 = 0"), "train"), io.staged(c.filter("o_custkey % 3 = 1"), "test"), "o_custkey")
     return train.select("o_orderkey", F.lit("train").alias("side")).union(test.select("o_orderkey", F.lit("test")))
+
+
+@query(f"""
+WITH b AS (SELECT {_BOX_SQL} FROM part)
+SELECT box, xmin, ymax, (box % 7)::INT AS tile FROM b WHERE box % 7 > 1
+UNION ALL SELECT box, xmin + 1, ymax, (box % 7)::INT FROM b WHERE box % 7 <= 1 AND box % 2 = 0
+""")
+def layer_rewrites(spark, sf_dir):
+    """Tiles 0 to 2, then the others, then 0 and 1 again with fewer rows: these alone are replaced."""
+    path, tile = io.new_folder(spark, "layer"), F.col("box") % 7
+    boxes = _boxes(spark, sf_dir).withColumn("tile", tile.cast("int"))
+    io.write_layer(boxes.filter(tile <= 2), path, by="tile")
+    io.write_layer(boxes.filter(tile > 2), path, by="tile")
+    io.write_layer(boxes.filter((tile <= 1) & (F.col("box") % 2 == 0)).withColumn("xmin", F.col("xmin") + 1), path, by="tile")
+    return io.read_layer(spark, path, ["box", "xmin", "ymax", "tile"])
+
+
+@query("""
+SELECT event_id, event_id || '_' || (2018 + event_id % 3) AS name, CASE WHEN event_id % 5 = 0 THEN 'third' WHEN event_id % 2 = 0 THEN 'first' ELSE 'second' END AS run, CASE WHEN event_id % 5 = 0 THEN value END AS value
+FROM events WHERE event_id % 5 = 0 OR event_id % 2 = 0 OR event_id % 3 = 0
+""")
+def crop_rewrites(spark, sf_dir):
+    """Crops written in two runs, then some of them replaced and some added, with one more column; no other is lost."""
+    i = F.col("event_id")
+    crops = _t(spark, sf_dir, "events").select("event_id", i.alias("individual"), (2018 + i % 3).cast("int").alias("tile_year"), "value")
+    path, run = io.new_folder(spark, "crops"), lambda name: F.lit(name).alias("run")
+    io.write_crops(crops.filter(i % 2 == 0).select("event_id", "individual", "tile_year", run("first")), path)
+    io.write_crops(crops.filter((i % 3 == 0) & (i % 2 != 0)).select("event_id", "individual", "tile_year", run("second")), path)
+    io.write_crops(crops.filter(i % 5 == 0).select("*", run("third")), path)
+    return spark.read.option("mergeSchema", True).parquet(path).select("event_id", "name", "run", "value")
+
+
+@query("""
+SELECT s_suppkey, s_name, CASE WHEN s_suppkey % 3 <> 2 THEN s_acctbal END AS s_acctbal, CASE WHEN s_suppkey % 3 = 2 THEN s_nationkey * 10 END AS plot, 'OSBS_' || s_suppkey % 3 AS layer FROM supplier
+""")
+def unlike_layers(spark, sf_dir):
+    """S3: layers with swapped and unlike columns meet by name; what one lacks is null."""
+    s, path = _t(spark, sf_dir, "supplier"), io.new_folder(spark, "layers")
+    part = lambda k: s.filter(F.col("s_suppkey") % 3 == k)
+    io.write_named(part(0).select("s_suppkey", "s_name", "s_acctbal"), path, "OSBS_0.csv")
+    io.write_named(part(1).select("s_acctbal", "s_name", F.col("s_nationkey").alias("other"), "s_suppkey"), path, "OSBS_1.csv")
+    io.write_named(part(2).select((F.col("s_nationkey") * 10).alias("plot"), "s_suppkey", "s_name"), path, "OSBS_2.csv")
+    got = io.read_layers(spark, path, schema=StructType.fromDDL("s_suppkey long, s_name string, s_acctbal double, plot long"))
+    return got.select("s_suppkey", "s_name", "s_acctbal", "plot", F.col("filename").alias("layer"))
+
+
+@query("SELECT p_partkey, p_size, p_retailprice, CASE WHEN p_partkey % 2 = 0 THEN p_size::VARCHAR ELSE p_brand END AS mark FROM part")
+def csv_by_name(spark, sf_dir):
+    """Two files of one table with their columns in another order, types inferred over both."""
+    p, path = _t(spark, sf_dir, "part"), io.new_folder(spark, "csv")
+    half = lambda k, mark: p.filter(F.col("p_partkey") % 2 == k).withColumn("mark", F.col(mark))
+    io.write_named(half(0, "p_size").select("p_partkey", "p_size", "p_retailprice", "mark"), path, "a.csv")
+    io.write_named(half(1, "p_brand").select("p_retailprice", "mark", "p_partkey", "p_size"), path, "b.csv")
+    got = io.read_csv(spark, path)
+    kinds = {k: v for k, v in got.dtypes if k != "mark"}
+    if not set(kinds.values()) <= {"int", "bigint", "double"} or dict(got.dtypes)["mark"] != "string":
+        raise ValueError(f"types were inferred as {got.dtypes}")
+    return got.select(F.col("p_partkey").cast("long").alias("p_partkey"), F.col("p_size").cast(p.schema["p_size"].dataType).alias("p_size"), F.col("p_retailprice").cast("double").alias("p_retailprice"), "mark")

@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import csv
 import tempfile
 import uuid
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, FloatType, StructType
+from pyspark.sql.types import DoubleType, FloatType, IntegerType, LongType, StringType, StructField, StructType
 
 from canopy.functions.tiles import base_name, domain_from_name, geo_index_from_name, nan_to_null, site_from_name, year_from_name, year_from_path
 
@@ -38,10 +40,77 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def read_csv(spark: SparkSession, path: str | list[str], schema: StructType) -> DataFrame:
-    """A CSV with header; NaN becomes null."""
-    df = spark.read.schema(schema).option("header", True).option("nanValue", "NaN").option("nullValue", "").csv(path)
-    return df.withColumns({f.name: nan_to_null(f.name) for f in schema if isinstance(f.dataType, (DoubleType, FloatType))})
+def _hadoop_path(spark: SparkSession, uri: str):
+    jvm = spark.sparkContext._jvm
+    return jvm.org.apache.hadoop.fs.Path(jvm.java.net.URI(uri))
+
+
+def _first_line(spark: SparkSession, path) -> str | None:
+    """The first line of a text file, compressed or not; None if it has none."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    stream = path.getFileSystem(conf).open(path)
+    try:
+        codec = jvm.org.apache.hadoop.io.compress.CompressionCodecFactory(conf).getCodec(path)
+        return jvm.java.io.BufferedReader(jvm.java.io.InputStreamReader(codec.createInputStream(stream) if codec else stream, "UTF-8")).readLine()
+    finally:
+        stream.close()
+
+
+def csv_headers(spark: SparkSession, path: str | list[str], pattern: str = "*", named: str = "") -> dict[tuple[str, ...], list[str]]:
+    """Files by their header's names; of files whose base name contains ``named``. One line a file is read, as Spark itself would on inferring a schema."""
+    found: dict[tuple[str, ...], list[str]] = {}
+    for uri in sorted(spark.read.option("pathGlobFilter", pattern).text(path).inputFiles()):
+        file = _hadoop_path(spark, uri)
+        line = _first_line(spark, file) if named in file.getName().rpartition(".")[0] else None
+        if line is not None:
+            header = tuple(next(csv.reader([line.lstrip("\ufeff")])))
+            if len(set(header)) < len(header):
+                raise ValueError(f"{uri} has two columns of one name: {list(header)}")
+            found.setdefault(header, []).append(file.toString())
+    return found
+
+
+def _csv(spark: SparkSession, schema: StructType | None):
+    reader = spark.read.option("header", True).option("nanValue", "NaN").option("nullValue", "")
+    return reader.schema(schema).option("enforceSchema", False) if schema else reader.option("inferSchema", True)
+
+
+def _common_type(a, b):
+    """The type that holds values of both: the wider number, else text."""
+    order = [IntegerType(), LongType(), DoubleType()]
+    return a if a == b else order[max(order.index(a), order.index(b))] if a in order and b in order else StringType()
+
+
+def _by_name(spark: SparkSession, headers: dict[tuple[str, ...], list[str]], schema: StructType | None, missing: str, more: dict[str, Column]) -> DataFrame:
+    """One table of files with unlike headers: columns by name, in the order of ``schema`` (else of their first appearance, with inferred types)."""
+    if schema is None:
+        kinds: dict = {}
+        for header, files in headers.items():
+            for name, field in zip(header, _csv(spark, None).csv(files).schema, strict=True):
+                kinds[name] = _common_type(kinds.get(name, field.dataType), field.dataType)
+        schema = StructType([StructField(n, k) for n, k in kinds.items()])
+    wanted = {f.name: f.dataType for f in schema}
+    tables = []
+    for header, files in headers.items():
+        lacking = [n for n in wanted if n not in header]
+        if lacking and missing != "null":
+            raise ValueError(f"no column {lacking} in {files[0]}, whose header is {list(header)}")
+        own = _csv(spark, StructType([StructField(n, wanted.get(n, StringType())) for n in header])).csv(files)
+        tables.append(own.select(*[F.lit(None).cast(k).alias(n) if n in lacking else F.col("`" + n.replace("`", "``") + "`") for n, k in wanted.items()], *[c.alias(n) for n, c in more.items()]))
+    if not tables:
+        return spark.createDataFrame([], StructType([*schema, *[StructField(n, StringType()) for n in more]]))
+    df = reduce(DataFrame.unionByName, tables)
+    return df.withColumns({n: nan_to_null(n) for n, k in wanted.items() if isinstance(k, (DoubleType, FloatType))})
+
+
+def read_csv(spark: SparkSession, path: str | list[str], schema: StructType | None = None, *, missing: str = "error") -> DataFrame:
+    """CSV files with headers; NaN becomes null. Columns are taken by the names in each file's own header.
+
+    Without ``schema`` types are inferred over all files (numbers of unlike width take the wider type, other
+    unlike types text). A column that a file lacks is an error, or null with ``missing`` "null"; columns that
+    ``schema`` doesn't name are left out.
+    """
+    return _by_name(spark, csv_headers(spark, path), schema, missing, {})
 
 
 def with_sequence(df: DataFrame, name: str = "seq") -> DataFrame:
@@ -56,10 +125,15 @@ def read_layer(spark: SparkSession, path: str, columns: list[str] | None = None)
 
 
 def read_layers(spark: SparkSession, directory: str, site: str | None = None, suffix: str = ".csv", schema: StructType | None = None) -> DataFrame:
-    """S3: all layers of a directory whose name contains ``site``, with their base name as ``filename``."""
-    reader = spark.read.schema(schema) if schema else spark.read
-    df = reader.option("header", True).csv(directory, pathGlobFilter=f"*{suffix}") if suffix == ".csv" else reader.option("pathGlobFilter", f"*{suffix}").parquet(directory)
-    df = df.withColumn("filename", base_name(F.col("_metadata.file_name")))
+    """S3: all layers of a directory whose name contains ``site``, with their base name as ``filename``.
+
+    Layers may have unlike columns in any order: they meet by name, and what a layer lacks is null.
+    """
+    name = base_name(F.col("_metadata.file_name"))
+    if suffix == ".csv":
+        return _by_name(spark, csv_headers(spark, directory, f"*{suffix}", site or ""), schema, "null", {"filename": name})
+    reader = spark.read.schema(schema) if schema else spark.read.option("mergeSchema", True)
+    df = reader.option("pathGlobFilter", f"*{suffix}").parquet(directory).withColumn("filename", name)
     return df.filter(F.col("filename").contains(site)) if site else df
 
 
@@ -115,21 +189,46 @@ def write_named(df: DataFrame, folder: str, name: str) -> None:
     fs = path(part).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     fs.mkdirs(path(folder))
     found = next(f.getPath() for f in fs.listStatus(path(part)) if f.getPath().getName().startswith("part-"))
-    fs.rename(found, path(f"{folder}/{name}"))
+    fs.delete(path(f"{folder}/{name}"), False)
+    if not fs.rename(found, path(f"{folder}/{name}")):
+        raise OSError(f"can't write {folder}/{name}")
     fs.delete(path(part), True)
 
 
 def write_layer(df: DataFrame, path: str, by: str = "geo_index") -> None:
-    """One folder per tile or plot; rows of a tile are brought together first, so files stay few."""
-    df.repartition(by).write.mode("overwrite").partitionBy(by).parquet(path)
+    """One folder per tile or plot; rows of a tile are brought together first, so files stay few.
+
+    A tile that ``df`` has rows of is replaced as a whole; all other tiles stay.
+    """
+    df.repartition(by).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(by).parquet(path)
+
+
+#: Folders that the crops of a year are dealt to by name; a crop that is replaced has its folder rewritten.
+CROP_FOLDERS = 64
 
 
 def write_crops(df: DataFrame, path: str, *, individual: str = "individual", year: str = "tile_year", replace: bool = True) -> None:
-    """Crops named {individual}_{year}; without ``replace`` those that exist are left."""
+    """Crops named {individual}_{year}; those of the same name are replaced, or left with ``replace`` off. All others stay.
+
+    Only folders (year and a hash of the name) that the new crops fall into are written anew: what they hold of
+    other names is set aside first and goes back with them. One writer at a time, as with any overwrite.
+    """
+    spark = df.sparkSession
     named = df.withColumn("name", F.concat_ws("_", individual, F.col(year).cast("string")))
+    named = named.withColumn("folder", F.pmod(F.xxhash64("name"), F.lit(CROP_FOLDERS)).cast("int"))
     if not replace:
-        named = unfinished(named, path, ["name"])
-    named.write.mode("overwrite" if replace else "append").partitionBy(year).parquet(path)
+        unfinished(named, path, ["name"]).repartition(year, "folder").write.mode("append").partitionBy(year, "folder").parquet(path)
+        return
+    named = staged(named, "crops")
+    try:
+        old = spark.read.parquet(path)
+        touched, names = (named.select(*keys).distinct() for keys in ((year, "folder"), ("name",)))
+        kept = staged(old.join(touched, [year, "folder"], "left_semi").join(names, "name", "left_anti"), "crops-kept")
+        named = named.unionByName(kept, allowMissingColumns=True)
+    except AnalysisException as e:
+        if e.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            raise
+    named.repartition(year, "folder").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(year, "folder").parquet(path)
 
 
 def unfinished(work: DataFrame, done: str | DataFrame, keys: list[str]) -> DataFrame:

@@ -6,6 +6,7 @@ import random
 import pytest
 from pyspark.sql import Row
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from canopy.functions import arrays, geometry, projection, tiles
 from canopy.functions.draws import hash_uniform
@@ -292,3 +293,106 @@ def test_truth_pairs_and_portable_fingerprint(spark):
     a, b = aggregates.fingerprint(p, portable=True).first(), aggregates.fingerprint(p.orderBy("seq").repartition(3), portable=True).first()
     assert a == b != aggregates.fingerprint(p.withColumn("seq", p.seq + 1), portable=True).first()
     assert aggregates.fingerprint(p.limit(0), portable=True).first()["rows"] == 0
+
+
+def test_csv_by_header(spark, tmp_path):
+    schema = StructType.fromDDL("x int, y int, t string")
+    (tmp_path / "a_OSBS.csv").write_text('y,x,t\n1,2,"a, b"\n')
+    (tmp_path / "b_OSBS.csv").write_text("\ufefft,z,x\nq,9,3\n,8,\n")
+    (tmp_path / "c_HARV.csv").write_text("x,y,t\n5,6,u\n")
+    (tmp_path / "d_OSBS.csv").write_text("x,y,t\n")
+    (tmp_path / "e_OSBS.csv").write_text("")
+    got = {tuple(r) for r in io.read_layers(spark, str(tmp_path), "OSBS", schema=schema).collect()}
+    assert got == {(2, 1, "a, b", "a_OSBS"), (3, None, "q", "b_OSBS"), (None, None, None, "b_OSBS")}
+    assert [tuple(r) for r in io.read_csv(spark, f"{tmp_path}/a_OSBS.csv", schema).collect()] == [(2, 1, "a, b")]
+    with pytest.raises(ValueError, match="no column"):
+        io.read_csv(spark, [f"{tmp_path}/a_OSBS.csv", f"{tmp_path}/b_OSBS.csv"], schema)
+    every = io.read_layers(spark, str(tmp_path))
+    assert dict(every.dtypes) == {"y": "int", "x": "int", "t": "string", "z": "int", "filename": "string"} and every.count() == 4
+    (tmp_path / "twice.csv").write_text("x,x\n1,2\n")
+    with pytest.raises(ValueError, match="two columns"):
+        io.read_csv(spark, f"{tmp_path}/twice.csv")
+    assert io.read_layers(spark, str(tmp_path), "none", schema=schema).count() == 0
+
+
+def test_sinks_keep_what_they_do_not_replace(spark, tmp_path):
+    tile = lambda name, n: spark.range(n).select("id", F.lit(name).alias("geo_index"))
+    path = f"{tmp_path}/layer"
+    for name, n in (("A", 5), ("B", 3), ("A", 2)):
+        io.write_layer(tile(name, n), path)
+    assert {r[0]: r[1] for r in spark.read.parquet(path).groupBy("geo_index").count().collect()} == {"A": 2, "B": 3}
+    crop = lambda ids, v: spark.createDataFrame([(i, 2019 + k % 2, v) for k, i in enumerate(ids)], "individual string, tile_year int, v int")
+    path = f"{tmp_path}/crops"
+    names = [f"i{k}" for k in range(300)]
+    io.write_crops(crop(names, 1), path)
+    io.write_crops(crop(["i4", "new"], 2), path)
+    io.write_crops(crop(["i6", "late"], 3), path, replace=False)
+    got = {r["name"]: r["v"] for r in spark.read.parquet(path).collect()}
+    assert len(got) == 302 == spark.read.parquet(path).count()
+    assert (got["i4_2019"], got["new_2020"], got["i6_2019"], got["late_2020"], got["i5_2020"]) == (2, 2, 1, 3, 1)
+
+
+def test_named_file_is_replaced(spark, tmp_path):
+    for n in (2, 3):
+        io.write_named(spark.range(n), str(tmp_path), "one.csv")
+    assert spark.read.option("header", True).csv(f"{tmp_path}/one.csv").count() == 3
+
+
+@pytest.mark.parametrize("share", [0.0, 0.5, 0.99, 1.0])
+def test_exact_quantiles_in_bins(spark, share):
+    r = random.Random(3)
+    inf = float("inf")
+    groups = {"few": [3.0], "pair": [1.0, 2.0], "same": [7.0] * 500, "many": [r.gauss(0, 1) for _ in range(3000)], "crowd": [1 + r.random() * 1e-12 for _ in range(900)] + [1e9], "ends": [inf] * 40 + [-inf] * 40 + [r.random() for _ in range(200)], "none": [None]}
+    df = spark.createDataFrame([(k, v) for k, vs in groups.items() for v in vs], "k string, v double").repartition(5)
+    got = {x["k"]: x["quantile"] for x in aggregates.exact_quantiles(df, "k", "v", share, whole=16, bins=8).collect()}
+    assert set(got) == set(groups) - {"none"}
+    want = {x["k"]: x["q"] for x in df.filter("v is not null").groupBy("k").agg(F.percentile("v", share).alias("q")).collect()}
+    assert got == pytest.approx(want, nan_ok=True)
+
+
+def test_points_in_rings_equal_all_pairs(spark):
+    r = random.Random(9)
+    rings = []
+    for k in range(60):
+        x, y, size = r.uniform(-50, 50), r.uniform(-50, 50), r.choice([0.5, 3, 40])
+        turns = sorted(r.uniform(0, 6.283) for _ in range(r.randint(3, 9)))
+        rings.append((k, k % 2, [(x + size * r.uniform(0.2, 1) * math.cos(t), y + size * r.uniform(0.2, 1) * math.sin(t)) for t in turns]))
+    rings += [(100, 0, [(0.0, 0.0), (8.0, 0.0), (8.0, 8.0), (0.0, 8.0)]), (101, 1, []), (102, 0, None)]
+    rings = spark.createDataFrame(rings, "ring_id int, plot int, ring array<struct<x double, y double>>")
+    points = spark.createDataFrame([(i, i % 2, float(r.randint(-50, 50)), float(r.randint(-50, 50))) for i in range(800)] + [(900, 0, None, 1.0)], "i int, plot int, x double, y double")
+    for on in ([], ["plot"]):
+        side = points if on else points.withColumnRenamed("plot", "other")
+        got = {(x["i"], x["ring_id"]) for x in spatial.points_in_rings(side, rings, on=on).collect()}
+        all_ = points.alias("p").crossJoin(rings.alias("r")).filter(geometry.point_in_ring(F.col("p.x"), F.col("p.y"), F.col("r.ring")))
+        want = {(x["i"], x["ring_id"]) for x in (all_.filter("p.plot = r.plot") if on else all_).select("i", "ring_id").collect()}
+        assert got == want and len(want) > 100
+    cover = spatial.ring_cover(rings, size=0.25)
+    assert cover.groupBy("ring_id").count().agg(F.max("count")).first()[0] <= 18 * 18 and cover.filter("not __edge").count() > 0
+
+
+def test_windows_of_bands(spark, monkeypatch):
+    monkeypatch.setattr(raster, "WINDOW_BLOCK", 4)
+    monkeypatch.setattr(raster, "WINDOW_BYTES", 200)
+    r = random.Random(2)
+    cells = {(i, j): [r.random(), float(i), float(j)] for i in range(11) for j in range(9) if r.random() < 0.8}
+    cells[5, 5] = None
+    df = spark.createDataFrame([("t", i, j, v) for (i, j), v in cells.items()], "tile string, row int, col int, value array<double>")
+    got = raster.neighbourhood(df, ["tile"], width=2, height=3).collect()
+    assert len(got) == len(cells)
+    for x in got:
+        assert x["window"] == [cells.get((x["row"] + a, x["col"] + b)) or [0.0] * 3 for a in range(3) for b in range(2)]
+    odd = spark.createDataFrame([("t", 0, 0, [1.0]), ("t", 0, 1, [1.0, 2.0])], df.schema)
+    with pytest.raises(Exception, match="bands"):
+        raster.neighbourhood(odd, ["tile"], width=2, height=2).collect()
+
+
+def test_observed_stages_take_one_job(spark):
+    rows = spark.createDataFrame([(k % 7 if k % 11 else None, k % 50) for k in range(1000)], "label int, who int")
+    a, seen_a = aggregates.audited(rows, "a", "label", "who")
+    b, seen_b = aggregates.audited(a.filter("who < 10 and label <> 3"), "b", "label")
+    spark.sparkContext.setJobGroup("audit", "audit")
+    b.write.format("noop").mode("overwrite").save()
+    assert len(spark.sparkContext.statusTracker().getJobIdsForGroup("audit")) == 1
+    spark.sparkContext.setJobGroup("rest", "rest")
+    got = [tuple(r) for r in aggregates.audit_of(spark, {"a": seen_a, "b": seen_b}).collect()]
+    assert got == [(0, "a", 1000, 7), (1, "b", b.count(), 6)] and seen_a.get["individuals"] == 50
