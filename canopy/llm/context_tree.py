@@ -354,15 +354,20 @@ def _scored(depth: int, known: int, total: int):
             k, v = np.concatenate([unpack_keys(x) for x in own["keys"].to_pylist()]), np.concatenate([unpack(x, np.int64) for x in own["values"].to_pylist()])
             order = np.argsort(k)
             tables[f] = k[order], v[order]
-        look = lambda f, keys: tables[f][1][np.searchsorted(tables[f][0], keys)]
+
+        def look(f, keys, rows):
+            """Values of keys, with their rows, in the order of keys, in which lookups stay near one another."""
+            order = np.argsort(keys)
+            return rows[order], tables[f][1][np.searchsorted(tables[f][0], keys[order])]
+
         parts = []
         for _, data, offsets in blocks(texts["text"]):
             n = len(offsets) - 1
             score = np.zeros(n)
             for keys, rows in grams(data, offsets, depth):
-                score += np.bincount(rows, look(GRAM, keys), n)
-            keys, rows = tokens(data, offsets)
-            c = look(TOKEN, keys)
+                rows, found = look(GRAM, keys, rows)
+                score += np.bincount(rows, found, n)
+            rows, c = look(TOKEN, *tokens(data, offsets))
             base = np.bincount(rows, np.log10((c + 1) / (total + known + 1)), n)
             parts.append((np.bincount(rows, minlength=n), np.bincount(rows[c > 0], minlength=n), np.full(n, total), base, score * UNIT))
         lm = pa.StructArray.from_arrays([pa.array(np.concatenate(x)) for x in zip(*parts, strict=True)], ["n_tokens", "n_known", "train_tokens", "base_score", "score"])
