@@ -15,20 +15,26 @@ To keep groups of copies from pairing with each other:
 * first every class is confirmed against one representative, the smallest class of the
   band it shares most often; the links found so far give components;
 * only bands that still hold two components are looked at pairwise, in blocks of bounded
-  size; of bands with over ``HOT`` members, only those pairs that share a shingle of both
+  size; of bands with over ``HOT`` members, only those pairs that share a rare shingle of both
   prefixes: sets of s shingles as similar as wanted share one of the s - ceil(similarity * s) + 1
-  that are rarest among all members of such bands, so what everyone shares brings nobody
-  together, and no pair is lost. A first look marks members that have a likely partner in another component; a
+  that are rarest among all members of such bands. Pairs that share common shingles alone (in over
+  ``COMMON`` members: a template's) meet through one representative of each set of common shingles,
+  see :func:`common_members`; so a template that everyone shares brings nobody together, rows grow with
+  members times sets of common shingles, not with pairs, and no pair is lost. A first look marks members that have a likely partner in another component; a
   second look, at these alone and with their texts, confirms pairs on full sets and leaves
   out those that links of the same block have joined meanwhile. A block gives at most as
   many links as it has members, and a pair is looked at in the first band it shares only.
 
-At similarity 0.85 a pair misses all bands with probability under 1e-8.
+At similarity 0.85 a pair misses all bands with probability under 1e-8. A pair of ``WHOLE`` shingles or more
+each is passed over if its estimate is five standard errors too low, which befalls a pair right at the wanted similarity
+with probability about 3e-7 (one far above it, less); smaller pairs are always compared. Bands of up to ``HOT`` members
+are compared pair by pair in blocks, larger ones by the shingles above; either way is exact.
 
 A set with fewer words than a shingle is its whole word sequence; texts without words
 (and null texts) have empty sets and are linked with nothing. Rows that repeat id and
 text are one class like other copies. ``component_id`` is the smallest non-null id
-reachable (null if there is none).
+reachable (null if there is none). An empty table gives an empty one. Only id and text are read: further columns may
+have any name.
 """
 
 from __future__ import annotations
@@ -57,6 +63,8 @@ WHOLE = 2 * REGISTERS
 #: Members of a block of a band, about, and of a band from which on shingle prefixes decide who meets (below, a member is in 32 pairs of blocks at most,
 #: which is less than it has prefix shingles).
 BLOCK, HOT = 512, 16_384
+#: Members of hot bands that a rare shingle is in, at most: its group has a few blocks.
+COMMON = 2_048
 
 
 def shingles(data: np.ndarray, offsets: np.ndarray, size: int = SHINGLE):
@@ -305,20 +313,73 @@ def _dealt(members: DataFrame) -> DataFrame:
     return sized.select("c", "component", "band", own.alias("own"), parts.alias("g")).select("c", "component", "band", "own", "g.group", "g.diagonal")
 
 
-def prefix_members(hot: DataFrame, texts: DataFrame, classes: DataFrame, similarity: int) -> DataFrame:
-    """Members of hot bands by the shingles of their prefixes that two components share: band (the shingle), c, component, n."""
-    each = hot.select("c", "component").distinct()
-    tokens = written(each.select("c").join(texts, "c").select("c", "z").mapInArrow(_tokens, "c bigint, token bigint"), "hot-shingles")
-    counts = written(tokens.groupBy("token").agg(F.count("*").alias("n")), "hot-counts")
-    rank = F.row_number().over(Window.partitionBy("c").orderBy("n", "token"))
-    short = F.col("size") - F.ceil(F.lit(similarity) * F.col("size") / 100) + 1
-    prefix = tokens.join(counts.filter("n > 1"), "token", "left").withColumn("n", F.coalesce("n", F.lit(1))).withColumn("rank", rank)
-    prefix = prefix.join(classes.select("c", "size"), "c").filter((F.col("rank") <= short) & (F.col("n") > 1))
-    prefix = written(prefix.join(each, "c").select(F.col("token").alias("band"), "c", "component"), "prefixes")
+def _dealt_across(members: DataFrame) -> DataFrame:
+    """``members`` (band, c, component, side, near, far): blocks that each hold a part of a band's side 0 and a part of its side 1; near and far count a member's own and the other side."""
+    parts = lambda n: F.ceil(F.col(n) / BLOCK).cast("int")
+    own = F.pmod(F.xxhash64("c"), parts("near"))
+    block = lambda k: F.when(F.col("side") == 0, F.xxhash64("band", F.lit(-1), own, k)).otherwise(F.xxhash64("band", F.lit(-1), k, own))
+    blocks_ = F.explode(F.transform(F.sequence(F.lit(0).cast("long"), (parts("far") - 1).cast("long")), block))
+    return members.select("c", "component", "band", F.col("side").alias("own"), blocks_.alias("group"), F.lit(False).alias("diagonal"))
+
+
+class HotTokens:
+    """Shingles of the members of hot bands: which are rare (in ``COMMON`` members or fewer), and which a prefix holds."""
+
+    def __init__(self, hot: DataFrame, texts: DataFrame, similarity: int):
+        self.similarity, self.each = similarity, written(hot.select("c", "component").distinct(), "hot-members")
+        tokens = written(self.each.select("c").join(texts, "c").select("c", "z").mapInArrow(_tokens, "c bigint, token bigint"), "hot-shingles")
+        counts = written(tokens.groupBy("token").agg(F.count("*").alias("n")).filter("n > 1"), "hot-counts")
+        rank = F.row_number().over(Window.partitionBy("c").orderBy("n", "token"))
+        ranked = tokens.join(counts, "token", "left").withColumn("n", F.coalesce("n", F.lit(1))).withColumn("rank", rank)
+        self.ranked = written(ranked, "hot-ranks")
+        common = F.col("n") > COMMON
+        code = lambda *x: F.bit_xor(F.when(common, F.xxhash64("token", *x)))
+        shape = self.ranked.groupBy("c").agg(F.count("*").alias("size"), F.sum(common.cast("long")).alias("common"), code().alias("h1"), code(F.lit(1)).alias("h2"))
+        self.shape = written(shape.withColumn("short", F.col("size") - F.ceil(F.lit(similarity) * F.col("size") / 100) + 1), "hot-shapes")
+
+    def prefix(self, where) -> DataFrame:
+        """(band, c, component) for each shingle of a member's prefix; ``band`` is the shingle."""
+        held = self.ranked.join(self.shape.select("c", "short"), "c").filter((F.col("rank") <= F.col("short")) & where)
+        return held.join(self.each, "c").select(F.col("token").alias("band"), "c", "component")
+
+
+def prefix_members(tokens: HotTokens) -> DataFrame:
+    """Members of hot bands by the rare shingles of their prefixes that two components share: band (the shingle), c, component, n."""
+    prefix = written(tokens.prefix((F.col("n") > 1) & (F.col("n") <= COMMON)), "prefixes")
     shared = prefix.groupBy("band").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("n")).filter("lo < hi")
     return written(prefix.join(written(shared.select("band", "n"), "shared-prefixes"), "band"), "prefix-members")
 
 
+def common_members(tokens: HotTokens, confirmed) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """For pairs that share common shingles only: links with representatives, and those who still have to meet others.
+
+    Such a pair has no rare shingle in common, so each is common shingles for the most part. Members with one set of
+    common shingles have a representative, the one with the fewest rare ones: whoever in the set is similar to anyone in it is
+    similar to that one, and who is similar to a member of another set is similar to that set's representative.
+    So a member is compared with its own representative and, only if they differ, with those of other sets; and
+    representatives with one another: (links, members in groups as for _dealt, members as for _dealt_across).
+    """
+    j = tokens.similarity
+    rare = F.col("size") - F.col("common")
+    bound = tokens.shape.filter((100 * F.col("common") >= j * F.col("size")) & (rare < F.col("short"))).join(tokens.each, "c")
+    bound = written(bound.withColumn("rare", rare).withColumn("top", F.floor(F.col("common") * (100 + j) / j) - F.col("size")), "common-members")
+    first = written(bound.groupBy("h1", "h2", "common").agg(F.min(F.struct("rare", "c", "component", "size")).alias("m")), "common-sets")
+    own = bound.join(first, ["h1", "h2", "common"]).filter("c <> m.c").filter("component <> m.component")
+    checked = confirmed(own.select(F.col("c").alias("a"), F.col("m.c").alias("b")))
+    heads = first.select(F.col("m.c").alias("c"), F.col("m.component").alias("component"), F.col("m.size").alias("size"), F.lit(0).alias("side"), F.lit(None).cast("long").alias("top"))
+    others = checked.filter("not ok").select(F.col("a").alias("c")).join(bound, "c").select("c", "component", "size", F.lit(1).alias("side"), "top")
+    sides = written(heads.unionByName(others), "common-sides")
+    groups = written(tokens.prefix(F.col("n") > COMMON).drop("component").join(sides, "c"), "common-prefixes")
+    head = F.col("side") == 0
+    counts = groups.groupBy("band").agg(F.sum(head.cast("long")).alias("n0"), F.min(F.when(head, F.col("size"))).alias("least"), F.min(F.when(head, F.col("component"))).alias("lo"), F.max(F.when(head, F.col("component"))).alias("hi"))
+    # a member that no representative of its group is small enough for has nobody to meet
+    fit = written(groups.join(written(counts, "common-groups"), "band").filter(head | (F.col("least") <= F.col("top"))), "common-fit")
+    ones = written(fit.filter("side = 1").groupBy("band").agg(F.count("*").alias("n1")), "common-sizes")
+    among = fit.filter(head & (F.col("lo") < F.col("hi"))).select("band", "c", "component", F.col("n0").alias("n"))
+    across = fit.join(ones, "band").select("band", "c", "component", "side", F.when(head, F.col("n0")).otherwise(F.col("n1")).alias("near"), F.when(head, F.col("n1")).otherwise(F.col("n0")).alias("far"))
+    return checked.filter("ok").select("a", "b"), written(among, "common-among"), written(across, "common-across")
+
+
 def _zip(text: pa.Array) -> pa.Array:
     return pa.array([zlib.compress(t or b"", 1) for t in text.cast(pa.binary()).to_pylist()], pa.binary())
 
@@ -363,16 +424,19 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     def in_groups(rows: DataFrame, *more: str) -> DataFrame:
         return rows.repartition("group").sortWithinPartitions("group", "c").select(*_MEMBER, *more)
 
-    def linked(members: DataFrame, banded: bool) -> DataFrame:
-        marked = in_groups(_dealt(members).join(classes.select("c", "size", "sketch"), "c"), "sketch").mapInArrow(_marked(similarity, banded), kind)
+    def linked(dealt: DataFrame, banded: bool) -> DataFrame:
+        marked = in_groups(dealt.join(classes.select("c", "size", "sketch"), "c"), "sketch").mapInArrow(_marked(similarity, banded), kind)
         marked = written(marked, "marked", spark)
         second = in_groups(marked.join(classes.select("c", "sketch"), "c").join(texts, "c"), "sketch", "z").mapInArrow(_linked(similarity, banded), "a bigint, b bigint")
         return written(second, "pairs", spark)
 
-    second = linked(open_.filter(F.col("n") <= HOT), True)
+    second = linked(_dealt(open_.filter(F.col("n") <= HOT)), True)
     hot = open_.filter(F.col("n") > HOT)
     if not hot.isEmpty():
-        second = second.union(linked(prefix_members(hot, texts, classes, similarity), False))
+        tokens = HotTokens(hot, texts, similarity)
+        heads, among, across = common_members(tokens, confirmed)
+        second = second.union(heads).union(linked(_dealt(prefix_members(tokens)), False))
+        second = second.union(linked(_dealt(among), False)).union(linked(_dealt_across(across), False))
     whole = components(links.union(second))
     named = classes.select("c", "key", "low").join(whole.withColumnRenamed("node", "c"), "c", "left").withColumn("component", F.coalesce("component", "c"))
     named = written(named.select("key", "component", "low"), "named", spark)

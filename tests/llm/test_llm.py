@@ -297,18 +297,74 @@ def test_minhash_components(spark, edge, empty):
     assert minhash.near_duplicates(empty).count() == 0
 
 
-def test_hot_bands_bring_together_only_what_shares_a_prefix(spark, monkeypatch):
+@pytest.fixture
+def counted(monkeypatch):
+    """Rows of each table that near-duplicate search writes, by name."""
+    rows = collections.Counter()
+
+    def write(df, name, *a, f=minhash.written):
+        out = f(df, name, *a)
+        rows[name] += out.count()
+        return out
+
+    monkeypatch.setattr(minhash, "written", write)
+    return rows
+
+
+@pytest.mark.parametrize("common", [2_048, 12])
+def test_hot_bands_bring_together_only_what_shares_a_prefix(spark, monkeypatch, counted, common):
     """Texts that share four fifths of their words meet in bands; with none alike, no shingle of a prefix is shared, and what is alike is found."""
     monkeypatch.setattr(minhash, "HOT", 16)
+    monkeypatch.setattr(minhash, "COMMON", common)
     base = prose(5, 240)
     texts = [base + " " + prose(50_000 + i, 60) for i in range(400)]
     texts += [texts[k].rsplit(" ", 2)[0] + " x y" for k in range(0, 400, 40)]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    looked = []
-    monkeypatch.setattr(minhash, "prefix_members", lambda *a, f=minhash.prefix_members: looked.append(f(*a)) or looked[0])
     got = collections.Counter((r["doc_id"], r["n_shingles"], r["component_id"], r["kept"]) for r in minhash.near_duplicates(docs).collect())
     assert got == plain_components(list(enumerate(texts)))
-    assert len(looked) == 1 and looked[0].count() < 20 * len(texts)
+    assert counted["prefix-members"] < 20 * len(texts) and counted["hot-shingles"] > 0
+
+
+def test_template_pages_do_not_meet_in_pairs(spark, monkeypatch, counted):
+    """A template with a tenth of own words: prefixes reach into the template, and still rows grow with pages, not with pairs."""
+    monkeypatch.setattr(minhash, "HOT", 100)
+    monkeypatch.setattr(minhash, "BLOCK", 16)
+    monkeypatch.setattr(minhash, "COMMON", 64)
+    base = prose(6, 400)
+    sent = []
+    for n in (150, 600):
+        counted.clear()
+        texts = [base + " " + prose(70_000 + i, 44) for i in range(n)]
+        docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+        got = {(r["doc_id"], r["component_id"]) for r in minhash.near_duplicates(docs).collect()}
+        assert got == {(i, i) for i in range(n)}
+        assert counted["hot-shingles"] > 0
+        sent.append(counted["prefix-members"] + counted["common-among"] + counted["common-across"] + counted["marked"])
+    assert sent[1] < 20 * 600 and sent[1] <= 6 * max(sent[0], 150)
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_templates_with_variants_against_plain(spark, monkeypatch, seed):
+    """Several templates with edits, own words of all lengths and copies: every link is found though bands are hot."""
+    for name, value in (("HOT", 8), ("BLOCK", 4), ("COMMON", 6 * seed)):
+        monkeypatch.setattr(minhash, name, value)
+    r = random.Random(seed)
+    bases = [prose(80 + seed, 90).split(" ")]
+    for _ in range(4):
+        other = list(bases[0])
+        for _ in range(r.randint(1, 3)):
+            other[r.randrange(len(other))] = r.choice(WORDS)
+        bases.append(other)
+    texts = []
+    for k in range(170):
+        w = list(r.choice(bases))
+        if r.random() < 0.3:
+            w[r.randrange(len(w))] = r.choice(WORDS)
+        own = prose(90_000 + (k if r.random() < 0.8 else k // 4), r.choice([0, 1, 4, 7, 8, 9, 10, 12, 16])).split(" ")
+        texts.append(" ".join(w + own if r.random() < 0.7 else own + w).strip())
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = collections.Counter((x["doc_id"], x["n_shingles"], x["component_id"], x["kept"]) for x in minhash.near_duplicates(docs).collect())
+    assert got == plain_components(list(enumerate(texts)))
 
 
 @pytest.mark.parametrize("hot", [16_384, 12])
