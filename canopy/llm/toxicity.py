@@ -5,10 +5,11 @@ noisy-or of its sentences' scores, and the sentence weights are trained through
 noisy-or, so the model also says which sentences offend.
 
 Words are letter or digit runs, A-Z lower-cased. Features of a sentence are hashes of its
-words and of their 5- and 7-byte beginnings, each at most once; the ``vocabulary`` features
+words and of their beginnings of 4 to 7 bytes, each at most once; the ``vocabulary`` features
 that separate the labels best get a weight. A further weight is for the logarithm of the
 document's length, so that one odd word weighs less in a long document. Null and empty
-texts have no sentence and score 0. Repeated rows score alike.
+texts have no sentence and score 0. Repeated rows score alike; a very long text is scored whole. An empty table
+gives an empty one, and other columns pass whatever their names.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from canopy.llm.stage import fresh, long_rows, quoted, written
-from canopy.llm.text import LOWER, NONWORD, Prefix, blocks, spans
+from canopy.llm.text import LOWER, NONWORD, Prefix, blocks, mix, spans
 
 #: At most so many labelled documents are used to fit (the smallest hashes of their ids).
 FIT_ROWS = 20_000
@@ -47,7 +48,9 @@ class Model:
     length: float
 
 
-_KINDS = np.array([0, 0x5DEECE66D1234567, 0x2545F4914F6CDD1D], np.uint64)
+#: Lengths of words' beginnings that are features, and what tells their hashes from those of whole words.
+BEGINNINGS = (4, 5, 6, 7)
+_KINDS = mix(np.array(BEGINNINGS, np.uint64) * np.uint64(0x5DEECE66D1234567))
 
 
 def _sentences(data: np.ndarray, offsets: np.ndarray):
@@ -60,9 +63,9 @@ def _sentences(data: np.ndarray, offsets: np.ndarray):
     first = np.flatnonzero(np.diff(part, prepend=-1))
     sentence = np.repeat(np.arange(len(first)), np.diff(first, append=len(at)))
     last = np.append(first[1:], len(at)) - 1
-    long5, long7 = np.flatnonzero(to - at > 5), np.flatnonzero(to - at > 7)
-    hashes = np.concatenate([prefix.of(at, to), prefix.of(at[long5], at[long5] + 5) ^ _KINDS[1], prefix.of(at[long7], at[long7] + 7) ^ _KINDS[2]])
-    owner = np.concatenate([sentence, sentence[long5], sentence[long7]])
+    longer = [np.flatnonzero(to - at > k) for k in BEGINNINGS]
+    hashes = np.concatenate([prefix.of(at, to), *(prefix.of(at[i], at[i] + k) ^ kind for i, k, kind in zip(longer, BEGINNINGS, _KINDS, strict=True))])
+    owner = np.concatenate([sentence, *(sentence[i] for i in longer)])
     size = np.log(np.maximum(1, np.bincount(rows, minlength=len(offsets) - 1)) / 100)
     return hashes, owner, at[first], to[last] if len(at) else to, rows[first], size
 
