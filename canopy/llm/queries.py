@@ -34,7 +34,7 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Verdict of every page's address."""
     pages = _table(spark, sf_dir, "pages").select("page_id", "url")
-    judged = urls.judge_urls(pages, URL_RULES)
+    judged = urls.judge_urls(pages, URL_RULES, patterns=(*urls.PATTERNS, *urls.read_rules(urls.site_rules(pages))))
     return judged.select("page_id", *(F.col(f"judged.{c}").alias(c) for c in ("host", "path", "rule", "verdict")))
 
 
@@ -50,11 +50,17 @@ WITH rest AS (
 ), fits AS (
   SELECT page_id, host, path, rule, rverdict FROM parts JOIN rules
   ON (host = rhost OR ends_with(host, '.' || rhost)) AND starts_with(path, rpath)
+), sites AS (
+  SELECT regexp_extract(host, '([^.]+)\.[^.]+\.[^.]+$', 1) AS site, substr(md5(regexp_extract(host, '([^.]+)\.[^.]+\.[^.]+$', 1)), 1, 1) AS kind FROM parts
+  GROUP BY ALL HAVING regexp_full_match(site, '[a-z0-9-]+') ORDER BY count(*) DESC, site LIMIT 2000
 ), best AS (
   SELECT page_id, host, path, arg_max(rule, length(rule)) AS rule, arg_max(rverdict, length(rule)) AS rverdict FROM fits GROUP BY ALL
 )
 SELECT p.page_id, p.host, p.path, b.rule,
-       coalesce(b.rverdict, CASE WHEN regexp_matches(lower(p.host || p.path), '(?s)(^|[^a-z0-9])((casino|bets|poker|porn|xxx|viagra|pills)([^a-z0-9]|$)|ads\..*/banner|tracker[^a-z0-9].*[^a-z0-9]pixel([^a-z0-9]|$)|login[^a-z0-9].*[^a-z0-9]verify([^a-z0-9]|$))|/download/.*\.exe([^a-z0-9]|$)') THEN 'block' ELSE 'allow' END) AS verdict
+       coalesce(CASE WHEN b.rule IS NULL AND EXISTS (
+         SELECT 1 FROM sites s WHERE s.kind < '8' AND contains(lower(p.host || p.path), s.site) AND regexp_matches(lower(p.host || p.path), '(?s)(^|[^a-z0-9])' || s.site ||
+           CASE WHEN s.kind < '3' THEN '([^a-z0-9]|$)' WHEN s.kind < '5' THEN '\..*/de/' WHEN s.kind < '6' THEN '[^a-z0-9].*[^a-z0-9]html([^a-z0-9]|$)' ELSE '\.example.*0' END)
+       ) THEN 'block' END, b.rverdict, CASE WHEN regexp_matches(lower(p.host || p.path), '(?s)(^|[^a-z0-9])((casino|bets|poker|porn|xxx|viagra|pills)([^a-z0-9]|$)|ads\..*/banner|tracker[^a-z0-9].*[^a-z0-9]pixel([^a-z0-9]|$)|login[^a-z0-9].*[^a-z0-9]verify([^a-z0-9]|$))|/download/.*\.exe([^a-z0-9]|$)') THEN 'block' ELSE 'allow' END) AS verdict
 FROM parts p LEFT JOIN best b ON b.page_id IS NOT DISTINCT FROM p.page_id AND b.host = p.host AND b.path = p.path
 """
 
