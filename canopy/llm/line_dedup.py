@@ -15,7 +15,8 @@ of two identical rows loses a chunk to the other. Null and empty texts have no c
 without a word are never in the way of a chunk as long as they are the same, and go when the
 lines on both sides go. Lines end at U+000A; a removed line goes with its line end. Within a
 document, an occurrence that overlaps the chunk's first one stays. All other columns pass,
-whatever their names; the result column takes the place of an input column of its name.
+whatever their names; the result column takes the place of an input column of its name. Very long texts are taken
+whole; an empty table gives an empty one.
 
 Shuffled texts are compressed. Only hashes are counted; bytes move for repeated chunks.
 """
@@ -33,7 +34,7 @@ from pyspark.sql import functions as F
 from canopy.llm.stage import held, long_rows, quoted, released, written
 from canopy.llm.text import Prefix, SPACE, blocks, mix
 
-#: Words from which on a line is a chunk of its own.
+#: Words from which on a line is a chunk of its own (``long_words``; a paragraph as one line is no shorter than many passages of three lines).
 LONG = 50
 _CHUNK = "key binary, id string, at bigint, until bigint, hash bigint"
 
@@ -60,7 +61,7 @@ def _word_lines(data: np.ndarray, offsets: np.ndarray):
     return starts[full], ends[full], rows[full], words[full]
 
 
-def chunk_table(data: np.ndarray, offsets: np.ndarray):
+def chunk_table(data: np.ndarray, offsets: np.ndarray, long_words: int = LONG):
     """Row, start, end (line end included) and hash (without the last line end) of every chunk."""
     starts, ends, rows, words = _word_lines(data, offsets)
     if not len(starts):
@@ -68,7 +69,7 @@ def chunk_table(data: np.ndarray, offsets: np.ndarray):
     prefix = Prefix(data)
     content = ends - (data[ends - 1] == 10)
     lines = prefix.of(starts, content)
-    long = words >= LONG
+    long = words >= long_words
     one = np.flatnonzero(long)
     pair = np.flatnonzero(rows[1:] == rows[:-1])
     rolled = mix(lines[pair] * np.uint64(3) + lines[pair + 1])
@@ -85,14 +86,17 @@ def chunk_table(data: np.ndarray, offsets: np.ndarray):
     return rows[first], starts[first], ends[last], prefix.of(starts[first], content[last])
 
 
-def _chunks(batches):
-    for b in batches:
-        for lo, data, offsets in blocks(b.column(2)):
-            row, start, end, code = chunk_table(data, offsets)
-            own = pa.array(lo + row)
-            base = offsets[row]
-            columns = [start - base, end - base, code.view(np.int64)]
-            yield pa.RecordBatch.from_arrays([pc.take(b.column(0), own).cast(pa.binary()), pc.take(b.column(1), own), *(pa.array(c.astype(np.int64)) for c in columns)], ["key", "id", "at", "until", "hash"])
+def _chunks(long_words: int):
+    def run(batches):
+        for b in batches:
+            for lo, data, offsets in blocks(b.column(2)):
+                row, start, end, code = chunk_table(data, offsets, long_words)
+                own = pa.array(lo + row)
+                base = offsets[row]
+                columns = [start - base, end - base, code.view(np.int64)]
+                yield pa.RecordBatch.from_arrays([pc.take(b.column(0), own).cast(pa.binary()), pc.take(b.column(1), own), *(pa.array(c.astype(np.int64)) for c in columns)], ["key", "id", "at", "until", "hash"])
+
+    return run
 
 
 def _zip(text: pa.Array) -> pa.Array:
@@ -183,14 +187,14 @@ def _cleaned(packed: pa.Array, marks: pa.Array) -> pa.Array:
     return pa.array(out, _CLEAN)
 
 
-def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", result: str = "lines") -> DataFrame:
+def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", result: str = "lines", long_words: int = LONG) -> DataFrame:
     """All columns, the text cleaned, plus ``result``: struct(n_lines, n_removed, removed spans of lines)."""
     spark = long_rows(docs.sparkSession)
     id_, text = quoted(id_col), quoted(text_col)
     id_text = F.format_string("%020d", id_) if docs.schema[id_col].dataType.typeName() in ("long", "integer", "short", "byte") else id_.cast("string")
     key = F.unhex(F.md5(F.concat(F.coalesce(id_.cast("string"), F.lit("\0")), F.lit("\0"), F.coalesce(text, F.lit(""))).cast("binary")))
     # negative numbers sort after others as text; the order only has to be the same for everyone
-    chunks = docs.select(key.alias("key"), id_text.alias("id"), text.alias("text")).mapInArrow(_chunks, _CHUNK)
+    chunks = docs.select(key.alias("key"), id_text.alias("id"), text.alias("text")).mapInArrow(_chunks(long_words), _CHUNK)
     place = F.struct(F.col("id").isNull().alias("none"), "id", "key", "at")
     repeated = chunks.groupBy("hash").agg(F.min(place).alias("place"), F.count("*").alias("n")).filter("n > 1").drop("n")
     repeated = written(repeated, "line-hashes", spark)
@@ -211,10 +215,10 @@ def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     return released(done, docs.columns, **{text_col: F.col("clean.text"), result: F.struct("clean.n_lines", "clean.n_removed", "clean.removed")})
 
 
-def remaining(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", size_col: str | None = None) -> DataFrame:
+def remaining(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", size_col: str | None = None, long_words: int = LONG) -> DataFrame:
     """The columns of ``docs`` with cleaned texts, without documents that lost all their words; ``size_col`` (code points of the text) follows where a text was cut."""
     rows = docs.select(quoted(id_col).alias("id"), quoted(text_col).alias("text"), F.struct(*(quoted(c).alias(c) for c in docs.columns if c != text_col)).alias("row"))
-    done = dedup_lines(rows, id_col="id", text_col="text", result="lines")
+    done = dedup_lines(rows, id_col="id", text_col="text", result="lines", long_words=long_words)
     cut = F.col("lines.n_removed") > 0
     left = done.filter(~cut | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
     given = {text_col: F.col("text")}
