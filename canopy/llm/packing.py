@@ -16,7 +16,7 @@ from its rank among pieces of its length; ranks come from counts over salted cel
 length that most pieces share isn't ranked in one task.
 
 Null text is empty (the end token alone). Repeated rows are packed as separate
-documents. An empty table gives no rows.
+documents. An empty table gives no rows. Only id and text are read, so further columns may have any name.
 """
 
 from __future__ import annotations

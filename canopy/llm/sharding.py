@@ -16,7 +16,7 @@ running sums over blocks of cells.
 
 Law "rows": counts of documents at most one apart. Null texts are one group of equal
 (absent) texts; repeated rows are separate documents with the same text. An empty table
-gives no rows.
+gives no rows. Only id and text are read, so further columns may have any name.
 """
 
 from __future__ import annotations

@@ -68,14 +68,23 @@ def made(path: str) -> str:
     return path
 
 
-def clean(spark: SparkSession) -> None:
-    """Delete the tables and folders that this process has written, once no result that reads them is wanted any more."""
+def mark() -> tuple[int, int]:
+    """How much has been written so far, for :func:`clean`."""
+    return len(_tables), len(_made)
+
+
+def clean(spark: SparkSession, since: tuple[int, int] = (0, 0), last: bool = True) -> None:
+    """Delete the tables and folders that this process has written (since a :func:`mark`), but for the last folder unless ``last``, once no other result that reads them is wanted."""
     conf = spark.sparkContext._jsc.hadoopConfiguration()
-    while _tables:
-        spark.sql(f"DROP TABLE IF EXISTS {_tables.pop()}")
-    while _made:
-        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_made.pop())
-        path.getFileSystem(conf).delete(path, True)
+    kept = _made[-1:] if not last else []
+    tables, _tables[since[0] :] = _tables[since[0] :], []
+    folders, _made[since[1] :] = _made[since[1] :], kept
+    for table in tables:
+        spark.sql(f"DROP TABLE IF EXISTS {table}")
+    for folder in folders:
+        if folder not in kept:
+            path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(conf).delete(path, True)
 
 
 def bucketed(df: DataFrame, key: str, name: str, spark: SparkSession, ordered: bool = False) -> DataFrame:

@@ -22,7 +22,8 @@ in the task's memory in place of external files, and what is passed between step
 written to the shared folder by Spark.
 
 Null texts are empty. Rows that repeat an id and text are copies like any others (all of a
-text of ``LENGTH`` bytes or more goes if it occurs twice). An empty table gives no rows.
+text of ``LENGTH`` bytes or more goes if it occurs twice). An empty table gives no rows. Only id and text are
+read, so further columns may have any name.
 """
 
 from __future__ import annotations

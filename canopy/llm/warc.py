@@ -17,7 +17,8 @@ id are responses and the others revisit it; rows that repeat that id and payload
 responses. Null payloads are empty. A null id is written without an id field and read
 back as null. Ids are carried in a field of their own (WARC-Source-ID); a revisit names the
 response by WARC-Refers-To as well, and the payload's length is the HTTP header's. A file is
-read as one value, so foreign archives have to be under 2 GB each.
+read as one value, so foreign archives have to be under 2 GB each. An empty table gives archives without records
+and no rows. Only id, address and payload are written, so further columns may have any name.
 """
 
 from __future__ import annotations

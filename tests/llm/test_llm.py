@@ -892,3 +892,40 @@ def test_schema_is_stable(spark, sf_dir):
     for name, ddl in want.items():
         got = queries.QUERIES[name](spark, sf_dir)
         assert [(f.name, f.dataType) for f in got.schema] == [(f.name, f.dataType) for f in StructType.fromDDL(ddl)]
+
+
+def test_steps_of_a_job_do_not_pile_up(spark):
+    """Only the last result of a job stays; what was written before it began isn't touched."""
+    from pathlib import Path
+
+    from canopy.llm import stage
+
+    before = stage.written(spark.range(3), "before")
+    start = stage.mark()
+    a = stage.written(stage.written(spark.range(5), "own").filter("id > 1"), "first")
+    stage.clean(spark, start, last=False)
+    stage.bucketed(a, "id", "own_table", spark)
+    b = stage.written(stage.written(a, "own").filter("id > 2"), "second")
+    stage.clean(spark, start, last=False)
+    assert b.count() == 2 and before.count() == 3
+    left = {p.name.rsplit("-", 1)[0] for p in Path(stage.shared_dir(spark)).iterdir()}
+    assert "second" in left and not left & {"own", "first"} and not any(n.startswith("own_table") for n in left)
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("own_table")]
+
+
+def test_site_rules(spark):
+    urls = spark.createDataFrame([(f"http://x.s{k}.example.com/en/{j}",) for k in range(40) for j in range(k % 3 + 1)] + [("nothing",), (None,), ("http://é.example.com/",)], "url string")
+    rules = url_filter.read_rules(url_filter.site_rules(urls))
+    assert {r.kind for r in rules} == {"pattern"} and 10 < len(rules) < 30 and len({r.text.replace(re.search(r"s\d+", r.text)[0], "") for r in rules}) == 4
+    assert all(r.tokens() for r in rules)
+    few = url_filter.read_rules(url_filter.site_rules(urls, most=5))
+    assert len(few) <= 5 and set(few) <= set(rules)
+    assert url_filter.site_rules(urls.limit(0)).count() == 0
+
+
+def test_long_lines_are_chunks_by_parameter(spark):
+    """A long line that repeats goes, or stays where no line is long enough to be a chunk of its own."""
+    line = prose(8, 60)
+    docs = spark.createDataFrame([(k, prose(100 + k, 8) + "\n" + line + "\n" + prose(200 + k, 8)) for k in range(3)], "doc_id long, text string")
+    kept = lambda **more: [line in r["text"] for r in line_dedup.dedup_lines(docs, **more).orderBy("doc_id").collect()]
+    assert kept() == [True, False, False] and kept(long_words=61) == [True, True, True]
