@@ -2,7 +2,8 @@
 
 Every stage takes (spark, docs, sf_dir) and works on all that the one before it kept;
 all but the last return the columns of ``documents``. ``run`` writes each stage's result
-as Parquet to the shared folder and reads it again for the next.
+as Parquet to the shared folder and reads it again for the next; what a stage wrote for itself
+is deleted once its result is there.
 """
 
 from __future__ import annotations
@@ -12,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from canopy.llm import decontamination, line_dedup, minhash, packing
 from canopy.llm import toxicity as tox
 from canopy.llm.queries import held_out
-from canopy.llm.stage import written
+from canopy.llm.stage import clean, mark, written
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -55,7 +56,8 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, start = spark.read.parquet(f"{sf_dir}/documents.parquet"), mark()
     for name, stage in STAGES[:-1]:
         docs = written(stage(spark, docs, sf_dir), f"stage-{name}", spark)
+        clean(spark, start, last=False)
     return STAGES[-1][1](spark, docs, sf_dir)
