@@ -776,7 +776,7 @@ t AS (SELECT sum(weight) AS total FROM e JOIN w USING (label)),
 x AS (SELECT label, weight, '1' AS input, 1.0::DOUBLE AS v FROM e JOIN w USING (label) UNION ALL SELECT label, weight, site, 1.0 FROM e JOIN w USING (label)
   UNION ALL SELECT label, weight, 'f' || unnest(range(0, 6)), unnest(f) FROM e JOIN w USING (label)),
 i AS (SELECT DISTINCT input FROM x), c AS (SELECT DISTINCT label FROM x)
-SELECT c.label::BIGINT AS class, i.input, round(coalesce(sum(x.weight * x.v), 0) / any_value(total), 3) + 0.0 AS moment, 0.0::DOUBLE AS gradient
+SELECT c.label::BIGINT AS class, i.input, round(coalesce(sum(x.weight * x.v), 0) / any_value(total) + 1e-7, 3) + 0.0 AS moment, 0.0::DOUBLE AS gradient
 FROM c CROSS JOIN i CROSS JOIN t LEFT JOIN x ON x.label = c.label AND x.input = i.input GROUP BY ALL
 """)
 def train_moments(spark, sf_dir):
@@ -784,7 +784,7 @@ def train_moments(spark, sf_dir):
     e = _spectra(spark, sf_dir).select("label", F.slice("e", 1, 6).alias("features"), F.format_string("S%d", F.col("vec_id") % 3).alias("site"))
     model = scoring.train_level(e, site="site", max_iter=500, tol=1e-9)
     m = scoring.fitted_moments(e, model, site="site")
-    whole = lambda c: F.round(c, 3) + 0.0  # noqa: E731  (no negative zero)
+    whole = lambda c: F.round(c + 1e-7, 3) + 0.0  # noqa: E731  (no ties, no negative zero)
     return m.select(F.col("class").cast("long").alias("class"), "input", whole(F.col("observed")).alias("moment"), whole(F.col("fitted") - F.col("observed")).alias("gradient"))
 
 
