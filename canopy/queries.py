@@ -782,7 +782,7 @@ FROM c CROSS JOIN i CROSS JOIN t LEFT JOIN x ON x.label = c.label AND x.input =
 def train_moments(spark, sf_dir):
     """At the fitted coefficients the weighted log-loss has no gradient: probabilities and labels have the same moments."""
     e = _spectra(spark, sf_dir).select("label", F.slice("e", 1, 6).alias("features"), F.format_string("S%d", F.col("vec_id") % 3).alias("site"))
-    model = scoring.train_level(e, site="site", max_iter=500, tol=1e-9)
+    model = scoring.train_level(e, site="site", max_iter=50, tol=1e-7)
     m = scoring.fitted_moments(e, model, site="site")
     whole = lambda c: F.round(c + 1e-7, 3) + 0.0  # noqa: E731  (no ties, no negative zero)
     return m.select(F.col("class").cast("long").alias("class"), "input", whole(F.col("observed")).alias("moment"), whole(F.col("fitted") - F.col("observed")).alias("gradient"))

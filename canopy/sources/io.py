@@ -233,9 +233,11 @@ def write_crops(df: DataFrame, path: str, *, individual: str = "individual", yea
         return
     named = staged(named, "crops")
     try:
-        old = spark.read.parquet(path)
-        touched, names = (named.select(*keys).distinct() for keys in ((year, "folder"), ("name",)))
-        kept = staged(old.join(touched, [year, "folder"], "left_semi").join(names, "name", "left_anti"), "crops-kept")
+        old = spark.read.option("mergeSchema", True).parquet(path)
+        old = old.withColumn(year, F.col(year).cast(named.schema[year].dataType))
+        touched = named.select(F.col(year).alias("__year"), F.col("folder").alias("__folder")).distinct()
+        same = F.col(year).eqNullSafe(F.col("__year")) & (F.col("folder") == F.col("__folder"))
+        kept = staged(old.join(touched, same, "left_semi").join(named.select("name").distinct(), "name", "left_anti"), "crops-kept")
         named = named.unionByName(kept, allowMissingColumns=True)
     except AnalysisException as e:
         if e.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):

@@ -332,6 +332,15 @@ def test_sinks_keep_what_they_do_not_replace(spark, tmp_path):
     assert (got["i4_2019"], got["new_2020"], got["i6_2019"], got["late_2020"], got["i5_2020"]) == (2, 2, 1, 3, 1)
 
 
+def test_crops_without_a_year_are_kept(spark, tmp_path):
+    kind = "individual string, tile_year string, v int"
+    path = f"{tmp_path}/crops"
+    io.write_crops(spark.createDataFrame([(f"i{k}", None, 1) for k in range(200)] + [("i1", "2019", 1)], kind), path)
+    io.write_crops(spark.createDataFrame([("i7", None, 2, "x"), ("i1", "2019", 3, "y")], kind + ", more string"), path)
+    got = {(r["name"], r["v"], r["more"]) for r in spark.read.option("mergeSchema", True).parquet(path).collect()}
+    assert got == {(f"i{k}", 1, None) for k in range(200) if k != 7} | {("i7", 2, "x"), ("i1_2019", 3, "y")}
+
+
 def test_named_file_is_replaced(spark, tmp_path):
     for n in (2, 3):
         io.write_named(spark.range(n), str(tmp_path), "one.csv")
