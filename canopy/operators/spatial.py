@@ -55,7 +55,7 @@ def points_in_boxes(points: DataFrame, boxes: DataFrame, *, x: str = "x", y: str
     ``on``: further equality columns of both sides (plot, tile). Boxes without extent match
     points on them; rows with null coordinates or an inverted box match nothing. Boxes much larger
     than most are looked up in coarser grids, so none touches more than about WIDE x WIDE cells;
-    points get a row for each level of grids (one, unless box sizes differ by more than WIDE).
+    points get a row for each grid that some box is in (one, unless box sizes differ by more than WIDE).
     ``size`` says that no box is larger.
     """
     size, levels = (size, 1) if size else cell_size(boxes, box)
@@ -69,7 +69,8 @@ def points_in_boxes(points: DataFrame, boxes: DataFrame, *, x: str = "x", y: str
     else:
         keys, own = ["__level", *keys], scale(F.col("__level"))
         right = valid.withColumn("__level", _level(box, size)).withColumn("__cell", _box_cells(box, own))
-        left = points.withColumn("__level", F.explode(F.sequence(F.lit(0), F.lit(levels - 1))))
+        present = sorted(r[0] for r in valid.select(_level(box, size)).distinct().collect())  # as many as there are grids
+        left = points.withColumn("__level", F.explode(F.array(*map(F.lit, present)).cast("array<int>")))
     right = right.withColumns({"__cx": F.col("__cell.cx"), "__cy": F.col("__cell.cy")}).drop("__cell")
     left = left.withColumns({"__cx": F.floor(F.col(x) / own), "__cy": F.floor(F.col(y) / own)})
     met = left.join(right, [*on, *keys])

@@ -17,7 +17,7 @@ from canopy.sources.io import staged
 
 @dataclass(frozen=True)
 class Settings:
-    """Parameters of the pipelines."""
+    """Parameters of the pipelines (D17); their defaults are fixed values, the published configuration's."""
 
     min_stem_diameter: float = 10.0
     min_canopy_height: float | None = 1.0
@@ -114,6 +114,7 @@ def generate_crops(crowns: DataFrame, cells: DataFrame, catalog: DataFrame) -> t
     return cropped, raster.empty_crops(placed, cropped, "individual")
 
 
+#: Names of the columns that an annotation file has.
 ANNOTATION_COLUMNS = ("individual", "geo_index", "tile_year", "CHM_height", "plotID", "height", "xmin", "ymin", "xmax", "ymax", "taxonID", "RGB_tile", "filename", "siteID", "image_path", "score", "box_id")
 
 
