@@ -299,12 +299,13 @@ def test_minhash_components(spark, edge, empty):
 
 @pytest.fixture
 def counted(monkeypatch):
-    """Rows of each table that near-duplicate search writes, by name."""
+    """Rows of the tables that near-duplicate search writes for hot bands, by name."""
     rows = collections.Counter()
 
     def write(df, name, *a, f=minhash.written):
         out = f(df, name, *a)
-        rows[name] += out.count()
+        if name in ("hot-shingles", "prefix-members", "common-among", "common-across", "marked"):
+            rows[name] += out.count()
         return out
 
     monkeypatch.setattr(minhash, "written", write)
@@ -343,7 +344,7 @@ def test_template_pages_do_not_meet_in_pairs(spark, monkeypatch, counted):
     assert sent[1] < 20 * 600 and sent[1] <= 6 * max(sent[0], 150)
 
 
-@pytest.mark.parametrize("seed", [1, 2, 3])
+@pytest.mark.parametrize("seed", [1, 2])
 def test_templates_with_variants_against_plain(spark, monkeypatch, seed):
     """Several templates with edits, own words of all lengths and copies: every link is found though bands are hot."""
     for name, value in (("HOT", 8), ("BLOCK", 4), ("COMMON", 6 * seed)):
