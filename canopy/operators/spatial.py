@@ -77,7 +77,7 @@ def points_in_boxes(points: DataFrame, boxes: DataFrame, *, x: str = "x", y: str
     return met.filter(F.col(x).between(F.col(box.xmin), F.col(box.xmax)) & F.col(y).between(F.col(box.ymin), F.col(box.ymax))).drop(*keys)
 
 
-def ring_cover(rings: DataFrame, *, ring: str = "ring", size: float, cells: int = 16) -> DataFrame:
+def ring_cover(rings: DataFrame, *, ring: str = "ring", size: float, cells: int = 8) -> DataFrame:
     """Each ring's cover by grid cells: its row once a cell, with __level, __cx, __cy, and __edge (an edge of the ring meets the cell).
 
     A ring goes to the grid (``size`` times a power of two) on which its extent is ``cells`` cells wide or fewer, so a cover has
@@ -95,7 +95,7 @@ def ring_cover(rings: DataFrame, *, ring: str = "ring", size: float, cells: int
     return placed.filter(F.col("__edge") | inner).drop("__x0", "__y0", "__x1", "__y1", "__s", "__cell")
 
 
-def points_in_rings(points: DataFrame, rings: DataFrame, *, ring: str = "ring", x: str = "x", y: str = "y", on: list[str] | None = None, size: float | None = None, cells: int = 16) -> DataFrame:
+def points_in_rings(points: DataFrame, rings: DataFrame, *, ring: str = "ring", x: str = "x", y: str = "y", on: list[str] | None = None, size: float | None = None, cells: int = 8) -> DataFrame:
     """Every (point, ring) with the point in the ring, its edge included, for any number of rings.
 
     Rings are covered by grid cells; points meet them by cell. In a cell that no edge meets there is nothing to

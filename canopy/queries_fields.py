@@ -344,14 +344,14 @@ def neighbourhood_bands(spark, sf_dir):
 
 @query("""
 WITH c AS (SELECT CASE WHEN l_suppkey % 3 = 0 THEN 0 ELSE l_suppkey END AS zone, l_extendedprice / 1000 AS v FROM lineitem WHERE l_linenumber <> 4)
-SELECT zone, round(quantile_cont(v, 0.99), 6) AS p99 FROM c GROUP BY 1
+SELECT zone, round(quantile_cont(v, 0.99) + 3e-8, 6) AS p99 FROM c GROUP BY 1
 """)
 def large_zones(spark, sf_dir):
     """Exact quantiles where one zone has a third of all cells; zones of over a thousand cells are counted in bins."""
     zone = F.when(F.col("l_suppkey") % 3 == 0, 0).otherwise(F.col("l_suppkey"))
     cells = _t(spark, sf_dir, "lineitem").select(zone.cast("long").alias("zone"), F.when(F.col("l_linenumber") != 4, F.col("l_extendedprice") / 1000).alias("v"))
     got = aggregates.exact_quantiles(staged(cells, "zone-cells"), "zone", "v", whole=1_000, bins=256)
-    return got.select("zone", F.round("quantile", 6).alias("p99"))
+    return got.select("zone", F.round(F.col("quantile") + 3e-8, 6).alias("p99"))
 
 
 def _notched(x, y, width, height):
