@@ -262,7 +262,7 @@ def tallest_in_box(spark, sf_dir):
 @query(f"WITH {_PAIR_SQL}, r AS (SELECT individual, box, row_number() OVER (PARTITION BY box ORDER BY individual) k FROM m) SELECT individual, box FROM r WHERE k = 1")
 def dedupe_box(spark, sf_dir):
     """J5."""
-    return spatial.dedupe_boxes(_pairs(spark, sf_dir), ["box"], ["individual"]).select("individual", "box")
+    return spatial.first_in_boxes(_points(spark, sf_dir), _boxes(spark, sf_dir), ["box"], ["individual"]).select("individual", "box")
 
 
 @query(f"""
