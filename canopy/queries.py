@@ -245,7 +245,7 @@ SELECT individual, box FROM r WHERE k = 1
 """)
 def nearest_box(spark, sf_dir):
     """J3."""
-    return spatial.nearest_box(_pairs(spark, sf_dir), box_id="box").select("individual", "box")
+    return spatial.nearest_of_boxes(_points(spark, sf_dir), _boxes(spark, sf_dir), box_id="box").select("individual", "box")
 
 
 @query(f"""
