@@ -255,8 +255,10 @@ SELECT individual, box FROM r WHERE k = 1 AND (n = 1 OR known > 0)
 """)
 def tallest_in_box(spark, sf_dir):
     """J4."""
-    p = _pairs(spark, sf_dir).withColumn("height", F.when(F.col("box") % 4 != 0, F.col("height")))
-    return spatial.tallest_in_box(p, box_id="box").select("individual", "box")
+    p, b = _points(spark, sf_dir), _boxes(spark, sf_dir)
+    measured = spatial.tallest_of_boxes(p, b.filter("box % 4 <> 0"), box_id="box")
+    unmeasured = spatial.tallest_of_boxes(p.withColumn("height", F.lit(None).cast("double")), b.filter("box % 4 = 0"), box_id="box")
+    return measured.select("individual", "box").union(unmeasured.select("individual", "box"))
 
 
 @query(f"WITH {_PAIR_SQL}, r AS (SELECT individual, box, row_number() OVER (PARTITION BY box ORDER BY individual) k FROM m) SELECT individual, box FROM r WHERE k = 1")
