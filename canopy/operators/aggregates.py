@@ -26,21 +26,23 @@ def p99_from(value: str | Column, least: float = 0.5, share: float = 0.99) -> Co
 WHOLE, BINS = 65_536, 4_096
 
 
-def exact_quantiles(df: DataFrame, key: str, value: str, share: float = 0.99, *, whole: int = WHOLE, bins: int = BINS, name: str = "quantile") -> DataFrame:
+def exact_quantiles(df: DataFrame, key: str, value: str, share: float = 0.99, *, whole: int = WHOLE, bins: int = BINS, name: str = "quantile", weight: str | None = None) -> DataFrame:
     """A3: each group's exact, interpolated quantile in bounded memory; nulls are left out, groups without a value too.
 
     Groups of up to ``whole`` values are ordered at once. For larger ones the two values around the quantile are
     looked for by rank: values are counted in bins between the least and the greatest, the bin that holds the
     rank is counted again, until it has one value or fits in a buffer (two passes, unless values crowd). Bins are
     counted before the shuffle, so a group may hold any share of the rows. ``df`` is read once a pass and should be a table.
+    ``weight``: a row stands for so many (a whole number above 0) equal ones.
     """
     v = F.col(value).cast("double")
-    rows = df.select(F.col(key).alias("__key"), v.alias("__v")).filter("__v is not null")
-    sizes = staged(rows.groupBy("__key").agg(F.count("*").alias("n"), F.min("__v").alias("a"), F.max("__v").alias("b")), "group-sizes")
-    large = sizes.filter(F.col("n") > whole)
+    rows = df.select(F.col(key).alias("__key"), v.alias("__v"), (F.col(weight).cast("long") if weight else F.lit(1).cast("long")).alias("__w")).filter("__v is not null")
+    whole_group = F.percentile("__v", share, F.col("__w")).alias(name) if weight else F.percentile("__v", share).alias(name)
+    sizes = staged(rows.groupBy("__key").agg(F.count("*").alias("rows"), F.sum("__w").alias("n"), F.min("__v").alias("a"), F.max("__v").alias("b")), "group-sizes")
+    large = sizes.filter(F.col("rows") > whole)
     if large.isEmpty():
-        return rows.groupBy("__key").agg(F.percentile("__v", share).alias(name)).withColumnRenamed("__key", key)
-    small = rows.join(large.select("__key"), "__key", "left_anti").groupBy("__key").agg(F.percentile("__v", share).alias(name))
+        return rows.groupBy("__key").agg(whole_group).withColumnRenamed("__key", key)
+    small = rows.join(large.select("__key"), "__key", "left_anti").groupBy("__key").agg(whole_group)
     place = F.lit(float(share)) * (F.col("n") - 1)
     ranks = F.explode(F.array_distinct(F.array(F.floor(place), F.ceil(place))))
     wanted = staged(large.select("__key", ranks.alias("rank"), "a", "b", F.lit(0).cast("long").alias("below")), "ranks")
@@ -51,15 +53,16 @@ def exact_quantiles(df: DataFrame, key: str, value: str, share: float = 0.99, *,
         finite = lambda c: F.least(F.greatest(c, F.lit(-1.7e308)), F.lit(1.7e308)) / 2
         spot = F.floor(F.try_divide(finite(F.col("__v")) - finite(F.col("a")), finite(F.col("b")) - finite(F.col("a"))) * bins)
         spot = F.when(F.col("__v") == ends[1], bins).when(F.col("__v") == ends[0], -1).otherwise(F.least(F.coalesce(spot, F.lit(0)), F.lit(bins - 1)))
-        held = within.groupBy("__key", "rank", "below", spot.alias("bin")).agg(F.count("*").alias("n"), F.min("__v").alias("a"), F.max("__v").alias("b"))
+        held = within.groupBy("__key", "rank", "below", spot.alias("bin")).agg(F.count("*").alias("rows"), F.sum("__w").alias("n"), F.min("__v").alias("a"), F.max("__v").alias("b"))
         before = F.sum("n").over(Window.partitionBy("__key", "rank").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1))
         hit = held.withColumn("below", F.col("below") + F.coalesce(before, F.lit(0))).filter((F.col("below") <= F.col("rank")) & (F.col("rank") < F.col("below") + F.col("n")))
-        hit = staged(hit.select("__key", "rank", "a", "b", "below", "n"), "bins")
+        hit = staged(hit.select("__key", "rank", "a", "b", "below", "n", "rows"), "bins")
         found.append(hit.filter("a = b").select("__key", "rank", F.col("a").alias("value")))
-        fits = hit.filter((F.col("a") < F.col("b")) & (F.col("n") <= whole))
-        kept = rows.join(fits, "__key").filter(F.col("__v").between(F.col("a"), F.col("b"))).groupBy("__key", "rank").agg(F.sort_array(F.collect_list("__v")).alias("values"), F.first("below").alias("below"))
-        found.append(kept.select("__key", "rank", F.get("values", (F.col("rank") - F.col("below")).cast("int")).alias("value")))
-        wanted = hit.filter((F.col("a") < F.col("b")) & (F.col("n") > whole)).select("__key", "rank", "a", "b", "below")
+        fits = hit.filter((F.col("a") < F.col("b")) & (F.col("rows") <= whole)).drop("n", "rows")
+        kept = rows.join(fits, "__key").filter(F.col("__v").between(F.col("a"), F.col("b")))
+        upto = F.col("below") + F.sum("__w").over(Window.partitionBy("__key", "rank").orderBy("__v").rowsBetween(Window.unboundedPreceding, 0))
+        found.append(kept.withColumn("__upto", upto).filter(F.col("__upto") > F.col("rank")).groupBy("__key", "rank").agg(F.min("__v").alias("value")))
+        wanted = hit.filter((F.col("a") < F.col("b")) & (F.col("rows") > whole)).select("__key", "rank", "a", "b", "below")
         if wanted.isEmpty():
             break
     ends_of = reduce(DataFrame.unionByName, found).join(large.select("__key", "n"), "__key").groupBy("__key", "n").agg(F.min(F.struct("rank", "value")).alias("lo"), F.max(F.struct("rank", "value")).alias("hi"))

@@ -53,12 +53,21 @@ def crown_sums(cells: DataFrame, crowns: DataFrame, *, on: list[str], bands: str
 def zonal_p99(cells: DataFrame, shapes: DataFrame, key: str, *, value: str = "value", on: list[str] | None = None, name: str = "CHM_height", **places) -> DataFrame:
     """Each shape's 99th percentile of cells of at least 0.5 (NaN is none); null where there is none.
 
-    Shape and height of each cell met are written once; shapes of any number of cells are worked out in bounded memory.
+    Cells of one place and height count as one with a weight, shapes of one extent as one zone (those whose key comes
+    again as one zone of that key). Zone, height and weight are written once; zones of any number of cells are
+    worked out in bounded memory.
     """
-    v = F.col(value).cast("double")
-    met = points_in_boxes(cells.filter((v >= 0.5) & ~F.isnan(v)), shapes, on=on, **places)
-    heights = exact_quantiles(staged(met.select(key, v.alias("__value")), "zone-cells"), key, "__value", name=name)
-    return shapes.join(heights, key, "left")
+    on, v = on or [], F.col(value).cast("double")
+    x, y, box = places.get("x", "x"), places.get("y", "y"), places.get("box", Box())
+    again = shapes.groupBy(key).count().filter("count > 1").select(F.col(key).alias("__again"))
+    zone = F.when(F.col("__again").isNotNull(), F.concat(F.lit("key "), F.col("__again").cast("string"))).otherwise(F.to_json(F.struct(*on, *_extent(box))))
+    zoned = shapes.join(again, F.col(key) == F.col("__again"), "left").withColumn("__zone", zone).drop("__again")
+    spots = cells.filter((v >= 0.5) & ~F.isnan(v)).groupBy(*on, x, y, v.alias("__value")).agg(F.count("*").alias("__weight"))
+    met = places_in_extents(spots, zoned, on=on, **places).join(spots, [*on, x, y])
+    zones = zoned.filter(F.col(key).isNotNull()).groupBy("__zone", *on, *_extent(box)).agg(F.when(F.col("__zone").startswith("key "), F.count("*")).otherwise(1).alias("__times"))
+    held = zones.join(met, [*on, *_extent(box)]).groupBy("__zone", "__value").agg(F.sum(F.col("__weight") * F.col("__times")).alias("__weight"))
+    heights = exact_quantiles(staged(held, "zone-cells"), "__zone", "__value", name=name, weight="__weight")
+    return zoned.join(heights, "__zone", "left").drop("__zone")
 
 
 def point_values(cells: DataFrame, points: DataFrame, *, left: str = "left", top: str = "top", resolution: float = 1.0, on: list[str], value: str = "value", name: str = "CHM_height") -> DataFrame:
