@@ -235,7 +235,8 @@ SELECT a.individual, 'fixed_box_' || c.individual AS box_id, c.x - 1 AS xmin, c.
 """)
 def fallback_boxes(spark, sf_dir):
     """J2, J9."""
-    got = spatial.fallback_boxes(_points(spark, sf_dir).withColumn("number", F.col("individual")), _pairs(spark, sf_dir).filter("xmax - xmin >= 15"))
+    points = _points(spark, sf_dir).select("individual", "x", "y", F.col("individual").alias("number"))
+    got = spatial.fallback_boxes(points, spatial.points_in_any(points, _boxes(spark, sf_dir).filter("xmax - xmin >= 15")))
     return got.select("individual", "box_id", "xmin", "ymax")
 
 
