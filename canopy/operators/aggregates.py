@@ -82,15 +82,25 @@ def enough_rows(df: DataFrame, key: str, more_than: int) -> DataFrame:
     return df.join(keep, key, "left_semi")
 
 
+def individuals_of(df: DataFrame, key: str, individual: str, name: str) -> DataFrame:
+    """Distinct individuals of each key; null keys go.
+
+    Pairs are sent by both columns to a fixed number of tasks, which isn't lowered by size: distinct pairs take far more memory than they take to send.
+    """
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    pairs = df.select(key, individual).dropna(subset=[key]).repartition(n, key, individual).distinct()
+    return pairs.groupBy(key).agg(F.count(individual).alias(name))
+
+
 def enough_individuals(df: DataFrame, key: str, individual: str, at_least: int) -> DataFrame:
     """Rows of keys with at least so many individuals."""
-    keep = df.dropna(subset=[key]).groupBy(key).agg(F.countDistinct(individual).alias("__n")).filter(F.col("__n") >= at_least).select(key)
+    keep = individuals_of(df, key, individual, "__n").filter(F.col("__n") >= at_least).select(key)
     return df.join(keep, key, "left_semi")
 
 
 def species_floor(df: DataFrame, taxon: str, individual: str, least: int, share: float = 0.05) -> DataFrame:
     """Per taxon the greater of a share of its individuals and ``least``."""
-    n = df.dropna(subset=[taxon]).groupBy(taxon).agg(F.countDistinct(individual).alias("individuals"))
+    n = individuals_of(df, taxon, individual, "individuals")
     return n.withColumn("floor", F.greatest(share * F.col("individuals"), F.lit(float(least))))
 
 

@@ -118,3 +118,10 @@ def test_rings_of_one_shape(spark):
     got = spatial.points_in_rings(p, rings)
     assert sorted(got.columns) == ["k", "ring", "ring_id", "x", "y"]
     assert plain(got, "k", "ring_id") == sorted(repr(r) for r in p.filter("x <= 2").crossJoin(rings).select("k", "ring_id").collect())
+
+
+def test_individuals_are_spread_over_tasks(spark):
+    df = spark.createDataFrame([("a", 1), ("a", 1), ("a", 2), ("a", None), ("b", None), (None, 1)], "k string, i int")
+    got = aggregates.individuals_of(df, "k", "i", "n")
+    assert {tuple(r) for r in got.collect()} == {("a", 2), ("b", 0)}
+    assert "REPARTITION_BY_NUM" in got._jdf.queryExecution().executedPlan().toString()
