@@ -7,7 +7,8 @@ registers take the next full one (rotation), so short documents have whole sketc
 Candidates are confirmed on full shingle sets, so sketches decide what is looked at, never
 what is linked. Before that, pairs of ``WHOLE`` shingles or more each have to pass on a
 collision-corrected Jaccard estimate; sketches of smaller sets repeat registers, which makes
-estimates far noisier than their number says, so smaller sets are compared at once.
+estimates far noisier than their number says, so smaller sets do without. Pairs of any size have to pass
+an exact bound: shingles of two similar sets differ in few buckets, and registers show many of these.
 
 To keep groups of copies from pairing with each other:
 
@@ -27,7 +28,7 @@ To keep groups of copies from pairing with each other:
 
 At similarity 0.85 a pair misses all bands with probability under 1e-8. A pair of ``WHOLE`` shingles or more
 each is passed over if its estimate is five standard errors too low, which befalls a pair right at the wanted similarity
-with probability about 3e-7 (one far above it, less); smaller pairs are always compared. Bands of up to ``HOT`` members
+with probability about 3e-7 (one far above it, less); smaller pairs are compared unless their registers rule them out for certain. Bands of up to ``HOT`` members
 are compared pair by pair in blocks, larger ones by the shingles above; either way is exact.
 
 A set with fewer words than a shingle is its whole word sequence; texts without words
@@ -192,9 +193,11 @@ def _confirmed(similarity: int):
 def _likely(group, band, own, diagonal, c, comp, size, sketch, similarity: int, banded: bool):
     """Pairs of rows of one group and different components that may be similar; if groups are of bands, each in the first band it shares.
 
-    Sizes bound the similarity of any pair; sketches are asked for pairs of large sets only. Groups of two parts hold pairs across them; pairs within a part belong to the group of that part alone.
+    Sizes bound the similarity of any pair, and so do registers: an empty one equals the next, so one that differs from the next is its bucket's own,
+    and where it also differs from the other set's, the bucket holds a shingle that only one of both sets has. Estimates are asked for pairs of large sets only. Groups of two parts hold pairs across them; pairs within a part belong to the group of that part alone.
     """
     lowest = _lowest(similarity)
+    own_register = sketch != np.roll(sketch, -1, 1)
     left, right = [], []
     for d in range(1, len(c)):
         i = np.flatnonzero(group[d:] == group[:-d])
@@ -206,7 +209,9 @@ def _likely(group, band, own, diagonal, c, comp, size, sketch, similarity: int,
             p = i[s : s + 4096]
             q = p + d
             equal = sketch[p] == sketch[q]
-            near = (np.minimum(size[p], size[q]) < WHOLE) | (estimate(equal.sum(1)) >= lowest)
+            apart = (~equal & (own_register[p] | own_register[q])).sum(1)
+            near = (100 + similarity) * apart <= (100 - similarity) * (size[p] + size[q])
+            near &= (np.minimum(size[p], size[q]) < WHOLE) | (estimate(equal.sum(1)) >= lowest)
             p, q, equal = p[near], q[near], equal[near]
             if len(p) and not banded:
                 left.append(p)

@@ -6,6 +6,7 @@ import random
 import re
 import zlib
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -344,6 +345,39 @@ def test_template_pages_do_not_meet_in_pairs(spark, monkeypatch, counted):
     assert sent[1] < 20 * 600 and sent[1] <= 6 * max(sent[0], 150)
 
 
+def test_short_texts_of_a_template_are_not_marked(spark, counted):
+    """Short texts of one template share bands, and registers alone tell that they are not alike; those that are alike are found."""
+    base = prose(7, 200)
+    texts = [base + " " + prose(80_000 + i, 60) for i in range(600)]
+    texts += [texts[k].rsplit(" ", 2)[0] + " x y" for k in range(0, 600, 40)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {(r["doc_id"], r["component_id"]) for r in minhash.near_duplicates(docs).collect()}
+    assert got == {(i, i if i < 600 else 40 * (i - 600)) for i in range(615)}
+    assert counted["marked"] < len(texts)
+
+
+def test_registers_rule_out_no_similar_pair():
+    """Pairs at and around the wanted similarity, of all sizes: each that is similar on full sets stays."""
+    r, kept, lost = np.random.default_rng(8), 0, 0
+    for _ in range(3_000):
+        n = int(r.integers(1, 500))
+        extra = int(r.integers(0, n // 5 + 2))
+        grams = r.integers(0, 1 << 64, n + extra, dtype=np.uint64)
+        both = int(r.integers(0, 2)) * int(r.integers(0, extra + 1))
+        x, y = grams[: n + both], np.concatenate([grams[extra:n], grams[n:]])
+        own = np.repeat([0, 1], [len(x), len(y)])
+        sketch = minhash.registers(own, np.concatenate([np.sort(x), np.sort(y)]), 2)
+        one, two, zero = np.array([0, 1]), np.array([len(x), len(y)]), np.zeros(2, np.int64)
+        p, _ = minhash._likely(zero, zero, zero, np.ones(2, bool), one, one, two, sketch, 85, False)
+        shared = len(np.intersect1d(x, y))
+        if shared and 100 * shared >= 85 * (len(x) + len(y) - shared):
+            kept += 1
+            assert len(p) == 1
+        else:
+            lost += len(p) == 0
+    assert kept > 300 and lost > 300
+
+
 @pytest.mark.parametrize("seed", [1, 2])
 def test_templates_with_variants_against_plain(spark, monkeypatch, seed):
     """Several templates with edits, own words of all lengths and copies: every link is found though bands are hot."""
