@@ -79,7 +79,12 @@ def extent(df: DataFrame, x: str = "x", y: str = "y", keys: list[str] | None = N
 def enough_rows(df: DataFrame, key: str, more_than: int) -> DataFrame:
     """Rows of keys with strictly more than so many rows."""
     keep = counts(df, key, name="__n").filter(F.col("__n") > more_than).select(key)
-    return df.join(keep, key, "left_semi")
+    return of_keys(df, keep, key)
+
+
+def of_keys(df: DataFrame, keep: DataFrame, key: str) -> DataFrame:
+    """Rows of the keys in ``keep``, which is written first: the planner then knows its size, and rows of few keys need not meet in as few tasks."""
+    return df.join(staged(keep, "keys"), key, "left_semi")
 
 
 def individuals_of(df: DataFrame, key: str, individual: str, name: str) -> DataFrame:
@@ -95,7 +100,7 @@ def individuals_of(df: DataFrame, key: str, individual: str, name: str) -> DataF
 def enough_individuals(df: DataFrame, key: str, individual: str, at_least: int) -> DataFrame:
     """Rows of keys with at least so many individuals."""
     keep = individuals_of(df, key, individual, "__n").filter(F.col("__n") >= at_least).select(key)
-    return df.join(keep, key, "left_semi")
+    return of_keys(df, keep, key)
 
 
 def species_floor(df: DataFrame, taxon: str, individual: str, least: int, share: float = 0.05) -> DataFrame:
@@ -189,8 +194,8 @@ def union_all(*tables: DataFrame) -> DataFrame:
 
 def shared_taxa(train: DataFrame, test: DataFrame, taxon: str) -> tuple[DataFrame, DataFrame]:
     """Train cut to the taxa of test, then test to those of the reduced train."""
-    train = train.join(test.select(taxon).distinct(), taxon, "left_semi")
-    return train, test.join(train.select(taxon).distinct(), taxon, "left_semi")
+    train = of_keys(train, test.select(taxon).distinct(), taxon)
+    return train, of_keys(test, train.select(taxon).distinct(), taxon)
 
 
 def never_sampled(df: DataFrame, train: DataFrame, test: DataFrame, individual: str, taxon: str) -> DataFrame:

@@ -69,7 +69,7 @@ def test_plots(df: DataFrame, home, iterations: int, *, min_test: int, names: Na
 
 def apply_split(df: DataFrame, plots: DataFrame, *, min_train: int, min_test: int, names: Names = Names()) -> tuple[DataFrame, DataFrame]:
     """Train and test from test plots: no fallback boxes in test, enough individuals in each, taxa of both."""
-    keys = plots.select(F.col("plot").alias(names.plot)).distinct()
+    keys = staged(plots.select(F.col("plot").alias(names.plot)).distinct(), "keys")
     test, train = df.join(keys, names.plot, "left_semi"), df.join(keys, names.plot, "left_anti")
     if names.box_id in df.columns:
         test = without_fixed(test, names.box_id)

@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from canopy.operators import aggregates, raster, spatial
+from canopy.operators import aggregates, raster, spatial, split
 from canopy.plans import pipelines
 
 COPIES = 20_000
@@ -125,3 +125,13 @@ def test_individuals_are_spread_over_tasks(spark):
     got = aggregates.individuals_of(df, "k", "i", "n")
     assert {tuple(r) for r in got.collect()} == {("a", 2), ("b", 0)}
     assert "REPARTITION_BY_NUM" in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_rows_of_few_keys_are_not_brought_together(spark):
+    """Rows of eight taxa and forty plots: none is sorted or sent by its key to be kept or dropped."""
+    rows = spark.range(3_000_000).select("id", F.concat(F.lit("t"), F.col("id") % 8).alias("taxonID"), F.concat(F.lit("P"), F.col("id") % 40).alias("plotID"), (F.col("id") % 4_000).alias("individual"))
+    plots = spark.createDataFrame([(0, f"P{k}") for k in range(16)], "iteration int, plot string")
+    train, test = split.apply_split(rows, plots, min_train=2, min_test=1)
+    found = [aggregates.enough_rows(rows, "taxonID", 10), aggregates.enough_individuals(rows, "taxonID", "individual", 2), train, test]
+    assert [f.count() for f in found] == [3_000_000, 3_000_000, 1_800_000, 1_200_000]
+    assert not any("SortMergeJoin" in f._jdf.queryExecution().executedPlan().toString() for f in found)
