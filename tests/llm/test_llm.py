@@ -97,6 +97,20 @@ def test_suffix_dedup_edges(edge, empty):
     assert suffix_dedup.suffix_dedup(empty).count() == 0
 
 
+def test_suffix_dedup_anchor_of_short_and_long_texts(spark):
+    """Two grams of one passage whose hashes differ in their last 18 bits only: a text's length must not decide between them."""
+    left, right = "vabqhykdjmpegvlvajhwiyocaaxpgcwy", "pgxrhwkrxhlqjofqvszrmyzgnimataiy"
+    r = random.Random(0)
+    filler = ["".join(r.choices("abcdefghijklmnopqrstuvwxyz", k=k)) for k in (112, 112, 112)]
+    passage = filler[0] + left + filler[1] + right + filler[2]
+    assert len(passage) == suffix_dedup.LENGTH
+    texts = [passage, "".join(r.choices("abcdefgh", k=140_000)) + " " + passage]
+    rows = suffix_dedup.suffix_dedup(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    got = {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in rows}
+    assert [got[i] for i in range(2)] == plain_removed([t.encode() for t in texts])
+    assert got[0][1] == got[1][1] == suffix_dedup.LENGTH
+
+
 # ---- op 2 ----------------------------------------------------------------------------
 
 
