@@ -135,3 +135,26 @@ def test_rows_of_few_keys_are_not_brought_together(spark):
     found = [aggregates.enough_rows(rows, "taxonID", 10), aggregates.enough_individuals(rows, "taxonID", "individual", 2), train, test]
     assert [f.count() for f in found] == [3_000_000, 3_000_000, 1_800_000, 1_200_000]
     assert not any("SortMergeJoin" in f._jdf.queryExecution().executedPlan().toString() for f in found)
+
+
+def test_crops_of_one_place_are_not_held_at_once(spark):
+    """36 million rows of 6,000 cells and 6,000 crowns, which a task hands on block by block."""
+    cells = spark.range(6_000).select(F.lit("0_0").alias("geo_index"), F.lit(1.0).alias("cell_x"), F.lit(1.0).alias("cell_y"))
+    crowns = spark.range(6_000).select(F.col("id").alias("individual"), F.lit("0_0").alias("geo_index"), *[F.lit(v).alias(n) for n, v in (("xmin", 0.0), ("ymin", 0.0), ("xmax", 2.0), ("ymax", 2.0))])
+    blocks = spatial._blocks(cells, ["geo_index", "cell_x", "cell_y"], "some").select(F.size("some").alias("n"))
+    assert blocks.agg(F.sum("n"), F.max("n")).first() == (6_000, 256)
+    raster.crop_cells(cells, crowns, on=["geo_index"], x="cell_x", y="cell_y").write.format("noop").mode("overwrite").save()
+
+
+def test_crops_come_apart_in_many_tasks(spark):
+    cells = spark.range(4_000).select(F.lit("0_0").alias("geo_index"), (F.col("id") % 400).cast("double").alias("cell_x"), F.lit(1.0).alias("cell_y"))
+    crowns = spark.range(4_000).select(F.col("id").alias("individual"), F.lit("0_0").alias("geo_index"), (F.col("id") % 400).cast("double").alias("xmin"), F.lit(0.0).alias("ymin")).withColumns({"xmax": F.col("xmin") + 1, "ymax": F.col("ymin") + 1})
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = raster.crop_cells(cells, crowns, on=["geo_index"], x="cell_x", y="cell_y")
+        per_task = got.groupBy(F.spark_partition_id()).count().collect()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    assert sum(r["count"] for r in per_task) == 4_000 * 10 + 3_990 * 10
+    assert len(per_task) == 16 and max(r["count"] for r in per_task) < 3 * 79_900 // 16
