@@ -137,6 +137,12 @@ def test_rows_of_few_keys_are_not_brought_together(spark):
     assert not any("SortMergeJoin" in f._jdf.queryExecution().executedPlan().toString() for f in found)
 
 
+def written(df, tmp_path):
+    """Rows and bytes of a result that is written."""
+    df.write.parquet(str(tmp_path / "out"))
+    return df.sparkSession.read.parquet(str(tmp_path / "out")).count(), sum(f.stat().st_size for f in (tmp_path / "out").glob("*.parquet"))
+
+
 def test_crops_of_one_place_are_not_held_at_once(spark):
     """36 million rows of 6,000 cells and 6,000 crowns, which a task hands on block by block."""
     cells = spark.range(6_000).select(F.lit("0_0").alias("geo_index"), F.lit(1.0).alias("cell_x"), F.lit(1.0).alias("cell_y"))
@@ -158,3 +164,11 @@ def test_crops_come_apart_in_many_tasks(spark):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
     assert sum(r["count"] for r in per_task) == 4_000 * 10 + 3_990 * 10
     assert len(per_task) == 16 and max(r["count"] for r in per_task) < 3 * 79_900 // 16
+
+
+def test_written_pairs_of_copies_are_small(spark, tmp_path):
+    """40,000 points at one place, read in 64 parts, and two extents of 50 boxes."""
+    p = spark.range(0, 40_000, 1, 64).select(F.col("id").alias("individual"), F.lit(1.0).alias("x"), F.lit(1.0).alias("y"))
+    b = spark.range(0, 100, 1, 64).select(F.col("id").alias("box"), F.lit(0.0).alias("xmin"), F.lit(0.0).alias("ymin"), (F.col("id") % 2 + 2).cast("double").alias("xmax"), F.lit(2.0).alias("ymax"))
+    rows, size = written(spatial.copies_in_boxes(p, b).select("individual", "box"), tmp_path)
+    assert rows == 40_000 * 100 and size < 0.5 * rows
