@@ -172,3 +172,13 @@ def test_written_pairs_of_copies_are_small(spark, tmp_path):
     b = spark.range(0, 100, 1, 64).select(F.col("id").alias("box"), F.lit(0.0).alias("xmin"), F.lit(0.0).alias("ymin"), (F.col("id") % 2 + 2).cast("double").alias("xmax"), F.lit(2.0).alias("ymax"))
     rows, size = written(spatial.copies_in_boxes(p, b).select("individual", "box"), tmp_path)
     assert rows == 40_000 * 100 and size < 0.5 * rows
+
+
+def test_written_pairs_of_rings_are_small(spark, tmp_path):
+    """40,000 points at one place, read in 64 parts, and two shapes of 50 rings."""
+    p = spark.range(0, 40_000, 1, 64).select(F.col("id").alias("k"), F.lit(1.0).alias("x"), F.lit(1.0).alias("y"))
+    corner = lambda x, y: F.struct(x.cast("double").alias("x"), F.lit(y).alias("y"))
+    east = F.col("id") % 2 + 2
+    rings = spark.range(0, 100, 1, 64).select(F.col("id").alias("ring_id"), F.array(corner(F.lit(0), 0.0), corner(east, 0.0), corner(east, 2.0), corner(F.lit(0), 2.0)).alias("ring"))
+    rows, size = written(spatial.points_in_rings(p, rings).select("k", "ring_id"), tmp_path)
+    assert rows == 40_000 * 100 and size < 0.5 * rows
